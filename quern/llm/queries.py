@@ -21,9 +21,58 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_report(_table(spark, sf_dir, "documents"))
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contamination_report
+
+    return contamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op5_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(_table(spark, sf_dir, "documents"))
+
+
+def op6_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .kdshard import shard_report
+
+    return shard_report(_table(spark, sf_dir, "documents"))
+
+
+def op7_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .brownlm import lm_report
+
+    return lm_report(_table(spark, sf_dir, "documents"))
+
+
+def op8_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .linecrf import quality_report
+
+    return quality_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op9_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .multiindex import neighbour_report
+
+    return neighbour_report(_table(spark, sf_dir, "embeddings"))
+
+
+def op10_lexicon_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity_report
+
+    return toxicity_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op3_benchmark_decontamination": op3_benchmark_decontamination,
+    "op5_retrieval_packing": op5_retrieval_packing,
+    "op6_kd_sharding": op6_kd_sharding,
+    "op7_brown_lm": op7_brown_lm,
+    "op8_line_crf_quality": op8_line_crf_quality,
+    "op9_inverted_multi_index": op9_inverted_multi_index,
+    "op10_lexicon_toxicity": op10_lexicon_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {}
