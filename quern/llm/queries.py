@@ -27,6 +27,12 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffixdedup import repeats_report
+
+    return repeats_report(_table(spark, sf_dir, "documents"))
+
+
 def op5_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -67,6 +73,7 @@ QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_retrieval_packing": op5_retrieval_packing,
     "op6_kd_sharding": op6_kd_sharding,
     "op7_brown_lm": op7_brown_lm,
