@@ -8,6 +8,7 @@ is turned into a score by a logistic curve fitted on labelled rows.
 from __future__ import annotations
 
 import math
+import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -37,15 +38,22 @@ def _folds() -> dict[int, str]:
         base = unicodedata.normalize("NFKD", chr(code)).lower()[:1]
         if base.isascii() and base.isalnum():
             table[code] = LOOKALIKES.get(base, base)
-    return table | dict.fromkeys((0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF), "")
+    return table
 
 
 _FOLD = _folds()
+_INVISIBLE = re.compile("[\xad\u200b-\u200d\u2060\ufeff]")
+_WORD = re.compile(r"\w{3,24}")
+
+
+def lowered(text: str) -> str:
+    """Lower case without invisible characters."""
+    return _INVISIBLE.sub("", text.lower())
 
 
 def fold(text: str) -> str:
-    """Lower case with look-alikes, digits and signs as letters; invisible characters go."""
-    return text.lower().translate(_FOLD)
+    """lowered() with look-alikes, digits and signs as the letters they stand for, character by character."""
+    return lowered(text).translate(_FOLD)
 
 
 @dataclass
@@ -76,11 +84,11 @@ class Lexicon:
         """(sum of the weights, number of hits) of a whole text."""
         if not self.weights and not self.exceptions:
             return 0.0, 0
-        folded = fold(text)
-        found, free = [], []
+        bare = lowered(text)
+        folded, found, free = bare.translate(_FOLD), [], []
         for stop, (size, w) in self.automaton().iter(folded):
             start = stop - size + 1
-            if (start and folded[start - 1].isalpha()) or (stop + 1 < len(folded) and folded[stop + 1].isalpha()):
+            if (start and bare[start - 1].isalpha()) or (stop + 1 < len(bare) and bare[stop + 1].isalpha()):
                 continue
             (free if w is None else found).append((start, stop + 1, w))
         total, n = 0.0, 0
@@ -115,9 +123,9 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", t
             for part, _, _ in text_slices(batch):
                 counts: dict[str, list[int]] = {}
                 for label, text in zip(part.column(0).to_pylist(), texts_of(part)):
-                    bare = "".join(c if c.isalpha() else " " for c in fold(text))
-                    for w in {w for w in bare.split() if 3 <= len(w) <= 24}:
-                        counts.setdefault(w, [0, 0])[label] += 1
+                    for w in {w.translate(_FOLD) for w in set(_WORD.findall(lowered(text)))}:
+                        if w.isalpha():
+                            counts.setdefault(w, [0, 0])[label] += 1
                 yield pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.array([c[0] for c in counts.values()], pa.int64()), pa.array([c[1] for c in counts.values()], pa.int64())], ["word", "clean", "toxic"])
 
     by = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
