@@ -39,7 +39,8 @@ def _places(rows: DataFrame, numbers: list[str], names: list[str]) -> DataFrame:
 def _by_node(rows: DataFrame, **values: dict[int, int]) -> DataFrame:
     """`rows` with numbers looked up by node; rows of other nodes go. A table of a row a node, at most the shards."""
     nodes = sorted(set.intersection(*[set(v) for v in values.values()]))
-    table = rows.sparkSession.createDataFrame([(n, *[int(v[n]) for v in values.values()]) for n in nodes], "node int, " + ", ".join(f"{name} long" for name in values))
+    lines = [F.struct(F.lit(n).alias("node"), *[F.lit(int(v[n])).cast("long").alias(name) for name, v in values.items()]) for n in nodes]
+    table = rows.sparkSession.range(1).select(F.inline(F.array(*lines)))
     return rows.join(F.broadcast(table), "node")
 
 
