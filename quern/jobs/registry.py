@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import catalog, text_jobs  # noqa: F401
+from . import catalog, rank_jobs, text_jobs  # noqa: F401
 
 
 def queries() -> dict[str, catalog.Query]:
@@ -16,4 +16,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.QUERIES["token_counts"](spark, sf_dir)
+    return catalog.QUERIES["hybrid_search"](spark, sf_dir)
