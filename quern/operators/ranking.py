@@ -6,6 +6,7 @@ questions: what the service did for one question is partitioned by query_id.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -281,69 +282,88 @@ def interleave(ranked: DataFrame, limit: int) -> DataFrame:
     return kept.withColumn("pick", F.row_number().over(Window.partitionBy("query_id").orderBy("turn", "sub_no"))).where(F.col("pick") <= limit)
 
 
+FEATURES = ("sentence", "phrase", "idf_cov", "proximity", "bigram", "code")
+BLEND = np.array([0.26, 0.20, 0.18, 0.14, 0.10, 0.12])
+
+
 def rerank_features(pairs: DataFrame, idf: DataFrame) -> DataFrame:
     """Joint features of rows (query_id, chunk_id, question, text, doc, ...) and their blend, rerank_score.
 
-    idf: (term, idf). The idf of the question's stems travels with the pair as a small map, all else is
-    computed on the pair's own columns.
+    idf: (term, idf). What belongs to a question alone is made once per question with columns; the idf of
+    its stems travels with it as a small map. The features of a pair are measured in Arrow batches, since as
+    nested column expressions they repeat each other many times over.
     """
-    stems = pairs.select("query_id", "question").distinct()
-    q = stems.select("query_id", X.content_terms(F.col("question")).alias("terms"))
-    q = q.select("query_id", "terms", F.array_distinct(F.transform("terms", X.stem)).alias("own"), X.synonym_stems(F.col("terms")).alias("syn"))
-    q = q.select("query_id", "terms", "own", F.array_except("syn", "own").alias("syn"))
+    asked = pairs.select("query_id", "question").distinct()
+    q = asked.select("query_id", "question", X.content_terms(F.col("question")).alias("terms"))
+    anchor_syn = F.map_from_entries(F.transform("terms", lambda t: F.struct(t.alias("key"), X.synonym_stems(F.array(t)).alias("value"))))
+    q = q.select("query_id", "question", "terms", F.array_distinct(F.transform("terms", X.stem)).alias("own"), X.synonym_stems(F.col("terms")).alias("syn"), anchor_syn.alias("by_term"))
     need = q.select("query_id", F.explode(F.array_union("own", "syn")).alias("term"))
-    known = need.join(idf.select("term", "idf"), "term").groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "idf"))).alias("idf"))
-    q = q.join(known, "query_id", "left").withColumn("idf", F.coalesce("idf", F.create_map().cast("map<string,double>")))
-    rows = pairs.join(q, "query_id")
-
-    weight = lambda s, other=1.5: F.coalesce(F.try_element_at(F.col("idf"), s), F.lit(other))
-    total = lambda a, other=1.5: F.aggregate(a, F.lit(0.0), lambda x, s: x + weight(s, other))
-    codes = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(L.ENTITY_CODE), F.lit(0)))
-    rows = rows.withColumns({
-        "anchor": F.array_max(F.transform("own", lambda s: F.struct(weight(s).alias("w"), s.alias("s"))))["s"],
-        "q_codes": codes(F.col("question")),
-        "q_words": F.filter(F.split(F.lower("question"), "\\s+"), lambda w: w != ""),
-        "low": F.lower(F.concat_ws(" ", "text", "doc")),
-        "held": chunk_stems(F.concat_ws(" ", "text", "doc")),
-    })
-    anchor_syn = X.synonym_stems(F.filter("terms", lambda t: X.stem(t) == F.col("anchor")))
-    rows = rows.withColumns({"anchor_syn": anchor_syn, "whole": total(F.col("own")), "quant": F.col("question").rlike("(?i)" + L.QUANT_QUERY)})
-
-    def phrases(n: int) -> Column:
-        kept = F.filter(X.grams(F.col("q_words"), n, " "), lambda g: F.exists(F.split(g, " "), lambda w: (F.length(w) > 3) | w.rlike("^[0-9]+$")))
-        return kept
-
-    all_phrases = F.concat(phrases(4), phrases(3))
-    phrase = F.when(F.size(all_phrases) > 0, F.size(F.filter(all_phrases, lambda g: F.contains(F.col("low"), g))) / F.size(all_phrases)).otherwise(0.0)
-
-    def sentence(u: Column) -> Column:
-        own = chunk_stems(u)
-        hit, syn = F.array_intersect("own", own), F.array_intersect("syn", own)
-        gate = F.array_contains(own, F.col("anchor")) | F.arrays_overlap(own, F.col("anchor_syn"))
-        got = (total(hit) + 0.5 * total(syn, 1.2)) / F.when(F.col("whole") > 0, F.col("whole")).otherwise(1.0)
-        got = got + F.when(F.arrays_overlap(codes(u), F.col("q_codes")), 0.12).otherwise(0.0) + F.when(F.col("quant") & u.rlike("(?i)" + L.QUANT_EVIDENCE), 0.10).otherwise(0.0)
-        return F.when(gate & (F.size(hit) + F.size(syn) > 0), F.least(F.lit(1.0), got)).otherwise(0.0)
-
-    rated = F.transform(X.sentence_windows(F.col("text")), lambda u, i: F.struct(sentence(u).alias("cov"), (-i).alias("order"), u.alias("unit")))
-    best = F.array_max(rated)
-    at = F.filter(F.transform(X.words(F.col("text")), lambda t, i: F.when(F.array_contains(F.array_union("own", "syn"), X.stem(t)), i)), lambda i: i.isNotNull())
-    rows = rows.withColumns({"best": best, "at": at})
-    n_at = F.size("at")
-    own_held, syn_held = F.array_intersect("own", "held"), F.array_intersect("syn", "held")
-    q_pairs, c_pairs = F.array_distinct(X.grams(F.col("q_words"), 2, " ")), X.grams(F.filter(F.split("low", "\\s+"), lambda w: w != ""), 2, " ")
-    rows = rows.withColumns({
-        "phrase": phrase,
-        "sentence": F.coalesce(F.col("best.cov"), F.lit(0.0)),
-        "proximity": F.when(n_at >= 2, n_at / (F.array_max("at") - F.array_min("at") + 1)).when(n_at == 1, 0.35).otherwise(0.0),
-        "idf_cov": F.when(F.col("whole") > 0, F.least(F.lit(1.0), (total(own_held) + 0.5 * total(syn_held, 1.2)) / F.col("whole"))).otherwise(0.0),
-        "bigram": F.when(F.size(q_pairs) > 0, F.size(F.array_intersect(q_pairs, c_pairs)) / F.size(q_pairs)).otherwise(0.0),
-        "code": F.when(F.size("q_codes") > 0, F.size(F.array_intersect("q_codes", codes(F.concat_ws(" ", "text", F.regexp_replace("doc", "_", " "))))) / F.size("q_codes")).otherwise(0.5),
-    })
-    best_unit = F.when(F.col("sentence") > 0, F.col("best.unit")).otherwise("")
-    score = 0.26 * F.col("sentence") + 0.20 * F.col("phrase") + 0.18 * F.col("idf_cov") + 0.14 * F.col("proximity") + 0.10 * F.col("bigram") + 0.12 * F.col("code")
-    score = F.when(F.col("quant") & best_unit.rlike("(?i)" + L.QUANT_EVIDENCE), F.least(F.lit(1.0), score + 0.06)).otherwise(score)
-    features = [F.round(c, 4).alias(c) for c in ("phrase", "sentence", "proximity", "idf_cov", "bigram", "code")]
-    return rows.select(*pairs.columns, *features, F.round(F.least(F.lit(1.0), score), 4).alias("rerank_score"), F.substring(best_unit, 1, 200).alias("best_sentence"))
+    known = need.join(idf.select("term", "idf"), "term").groupBy("query_id").agg(F.collect_list(F.struct("term", "idf")).alias("known"))
+    rich = pairs.join(q.drop("question").join(known, "query_id", "left"), "query_id")
+    schema, columns = pairs.schema, pairs.columns
+    for name in (*FEATURES, "rerank_score"):
+        schema = schema.add(name, "double")
+    schema = schema.add("best_sentence", "string")
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.to_pylist()
+            made = [pair_features(r["question"], r["text"] or "", r["doc"] or "", r["terms"], r["own"], r["syn"], dict(r["by_term"]), {x["term"]: x["idf"] for x in r["known"] or ()}) for r in rows]
+            out = [batch.column(batch.schema.get_field_index(c)) for c in columns]
+            out += [pa.array([m[0][k] for m in made], pa.float64()) for k in range(len(FEATURES))]
+            out += [pa.array([m[1] for m in made], pa.float64()), pa.array([m[2] for m in made], pa.string())]
+            yield pa.RecordBatch.from_arrays(out, [*columns, *FEATURES, "rerank_score", "best_sentence"])
+
+    return rich.mapInArrow(measured, schema)
+
+
+def pair_features(question: str, text: str, doc: str, terms: list[str], own: list[str], syn: list[str], by_term: dict[str, list[str]], idf: dict[str, float]) -> tuple[list[float], float, str]:
+    """(FEATURES, score, best sentence) of one pair of a question and a chunk."""
+    own_set, syn_set = set(own), set(syn) - set(own)
+    weight = lambda stems, other=1.5: sum(idf.get(s, other) for s in stems)
+    codes = lambda t: set(re.findall(L.ENTITY_CODE, t.lower()))
+    focus = max(own, key=lambda s: (idf.get(s, 1.5), s), default="")
+    near_focus = {s for t in terms if light_stem(t) == focus for s in by_term.get(t) or ()} | {focus}
+    whole, asked = weight(own_set) or 1.0, codes(question)
+    measurable = re.search(L.QUANT_QUERY, question, re.I) is not None
+    body = f"{text} {doc}".lower()
+    held = {light_stem(w) for w in re.findall("[a-z0-9]+", body) if len(w) > 2 or w.isdigit()}
+
+    words = question.lower().split()
+    runs = [words[i : i + n] for n in (4, 3) for i in range(len(words) - n + 1)]
+    runs = [" ".join(r) for r in runs if any(len(w) > 3 or w.isdigit() for w in r)]
+    phrase = sum(r in body for r in runs) / len(runs) if runs else 0.0
+
+    best, best_unit = 0.0, ""
+    parts = [u.strip() for u in re.split(r"(?<=[.!?;])\s+|\n+", text)]
+    for unit in [u for u in parts if len(u) >= 24] or [text.strip()]:
+        found = {light_stem(w) for w in re.findall("[a-z0-9]+", unit.lower()) if len(w) > 2 or w.isdigit()}
+        hit, also = found & own_set, found & syn_set
+        if not (hit or also) or (focus and not found & near_focus):
+            continue
+        got = (weight(hit) + 0.5 * weight(also, 1.2)) / whole
+        got += 0.12 * bool(asked & codes(unit)) + 0.10 * (measurable and re.search(L.QUANT_EVIDENCE, unit, re.I) is not None)
+        if min(1.0, got) > best:
+            best, best_unit = min(1.0, got), unit
+
+    at = [i for i, w in enumerate(re.findall("[a-z0-9]+", text.lower())) if light_stem(w) in own_set | syn_set]
+    proximity = len(at) / (at[-1] - at[0] + 1) if len(at) > 1 else 0.35 * len(at)
+    covered = min(1.0, (weight(own_set & held) + 0.5 * weight(syn_set & held, 1.2)) / whole) if own_set else 0.0
+    pairs, there = set(zip(words, words[1:])), body.split()
+    bigram = len(pairs & set(zip(there, there[1:]))) / len(pairs) if pairs else 0.0
+    code = len(asked & (codes(text) | codes(doc.replace("_", " ")))) / len(asked) if asked else 0.5
+    values = [best, phrase, covered, proximity, bigram, code]
+    score = float(BLEND @ values)
+    if measurable and best_unit and re.search(L.QUANT_EVIDENCE, best_unit, re.I):
+        score += 0.06
+    return [round(v, 4) for v in values], round(min(1.0, score), 4), best_unit[:200]
+
+
+def light_stem(word: str) -> str:
+    for suffix in L.SUFFIXES:
+        if word.endswith(suffix) and len(word) - len(suffix) >= 4:
+            return word[: -len(suffix)]
+    return word
 
 
 def reranked(pool: DataFrame, n: int = 10) -> DataFrame:
