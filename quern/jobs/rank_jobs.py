@@ -76,11 +76,11 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.dense_top(vectors, vectors.where("id % 20 = 0"), 10).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
 
 
-@query(f"SELECT query_id, chunk_id, round(score, 6) AS score FROM (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, {SQL_COS} AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({SQL_COS}, 6) DESC, b.vec_id) AS rank FROM embeddings a, embeddings b WHERE a.vec_id % 10 = 0 AND b.vec_id < a.vec_id AND {SQL_COS} >= 0.4 - 1e-9) WHERE rank = 1")
+@query(f"SELECT query_id, chunk_id, round(score, 6) AS score FROM (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, {SQL_COS} AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({SQL_COS}, 6) DESC, b.vec_id) AS rank FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND b.vec_id < a.vec_id AND {SQL_COS} >= 0.4 - 1e-9) WHERE rank = 1")
 def semantic_cache_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest earlier entry of each question, if it is near enough to be served again."""
     vectors = vectors_of(spark, sf_dir)
-    return R.dense_top(vectors, vectors.where("id % 10 = 0"), 1, earlier=True, least=0.4).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
+    return R.dense_top(vectors, vectors.where("id % 20 = 0"), 1, earlier=True, least=0.4).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
 
 
 @query(

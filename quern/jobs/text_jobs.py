@@ -22,6 +22,9 @@ def sql_stem(x: str, suffixes=L.SUFFIXES, least: int = 4) -> str:
     return f"(CASE {cases} ELSE {x} END)"
 
 
+SQL_STOPPED_STEMS = f"list_distinct(list_transform({SQL_TOKENS}, lambda t: {sql_stem('t')}))"
+
+
 @query(f"SELECT doc_id, len({SQL_WORDS}) AS n_words, len({SQL_TOKENS}) AS n_tokens, len(list_distinct({SQL_TOKENS})) AS n_distinct FROM documents")
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", X.words(F.col("text")).alias("w"), X.tokens(F.col("text")).alias("t"))

@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from ..functions import lexicon as L
@@ -300,7 +301,7 @@ def rerank_features(pairs: DataFrame, idf: DataFrame) -> DataFrame:
     need = q.select("query_id", F.explode(F.array_union("own", "syn")).alias("term"))
     known = need.join(idf.select("term", "idf"), "term").groupBy("query_id").agg(F.collect_list(F.struct("term", "idf")).alias("known"))
     rich = pairs.join(q.drop("question").join(known, "query_id", "left"), "query_id")
-    schema, columns = pairs.schema, pairs.columns
+    schema, columns = StructType([*pairs.schema.fields]), pairs.columns
     for name in (*FEATURES, "rerank_score"):
         schema = schema.add(name, "double")
     schema = schema.add("best_sentence", "string")
