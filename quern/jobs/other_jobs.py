@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -53,14 +51,9 @@ def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^[a-z]+://([^/:]+)", 1).alias("host"), F.length("html").alias("size"), F.size(F.regexp_extract_all("html", F.lit("<a[ >]"), F.lit(0))).alias("links"))
 
 
-def _shared(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def _streamed(spark: SparkSession, result: DataFrame) -> DataFrame:
     """The rows of a stream's last batch, after it has run over all that is there."""
-    folder = _shared(spark)
+    folder = tables.shared_folder(spark, "stream")
     rates.drain(result, f"{folder}/out", f"{folder}/state")
     out = spark.read.parquet(f"{folder}/out")
     last = out.agg(F.max("batch")).first()[0]

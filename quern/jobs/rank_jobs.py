@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import ranking as R
+from ..sources.tables import kept
 from .catalog import query, table
 from .text_jobs import SQL_TERMS, SQL_TOKENS, SQL_WORDS, sql_stem
 
@@ -125,7 +126,7 @@ SQL_FUSED = f"""{SQL_BM25}, {SQL_COVER},
 def fused_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks, questions = chunks_of(spark, sf_dir), questions_of(spark, sf_dir)
     by_cover = R.top_k(R.coverage(chunks, questions), 20, score="coverage")
-    return R.rrf([ranked_bm25(spark, sf_dir), by_cover])
+    return kept(R.rrf([ranked_bm25(spark, sf_dir), by_cover]))
 
 
 @query(f"WITH {SQL_FUSED} SELECT query_id, chunk_id, round(fused, 6) AS fused, lists, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(fused, 6) DESC, chunk_id) AS rank FROM fused) WHERE rank <= 40")
@@ -147,10 +148,10 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hybrid_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As hybrid_search, with hashed vectors and diversity picks as the second retriever."""
     chunks, questions = chunks_of(spark, sf_dir), questions_of(spark, sf_dir)
-    vectors = R.hash_vectors(chunks, "chunk_id", "text")
+    vectors = kept(R.hash_vectors(chunks, "chunk_id", "text"))
     pool = R.dense_top(vectors, R.hash_vectors(questions, "query_id", "question", query_side=True), 24)
     picks = R.mmr(pool.join(vectors.select(F.col("id").alias("chunk_id"), "vector"), "chunk_id"), 6)
-    fused = R.rrf([picks.withColumnRenamed("pick", "rank"), ranked_bm25(spark, sf_dir, 18)])
+    fused = kept(R.rrf([picks.withColumnRenamed("pick", "rank"), ranked_bm25(spark, sf_dir, 18)]))
     scored = R.blend(fused, chunks, questions)
     return R.top_k(scored, 6, places=4).select("query_id", "chunk_id", "score", "coverage", "rank_0", "rank_1", "rank")
 
@@ -158,10 +159,10 @@ def hybrid_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def rerank_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks, questions = chunks_of(spark, sf_dir), questions_of(spark, sf_dir)
-    pool = R.top_k(R.blend(fused_of(spark, sf_dir), chunks, questions), 10, places=4).withColumnRenamed("rank", "fusion_rank")
+    pool = kept(R.top_k(R.blend(fused_of(spark, sf_dir), chunks, questions), 10, places=4).withColumnRenamed("rank", "fusion_rank"))
     pairs = pool.select("query_id", "chunk_id", "fusion_rank").join(chunks, "chunk_id").join(questions, "query_id")
     idf = R.idf_table(chunks, questions.select(F.explode(R.X.words(F.col("question"))).alias("term")))
-    scored = R.reranked(R.rerank_features(pairs, idf))
+    scored = R.reranked(R.rerank_features(pairs, questions, idf))
     return scored.select("query_id", "chunk_id", "fusion_rank", "rank", "phrase", "sentence", "proximity", "idf_cov", "bigram", "code", "rerank_score")
 
 

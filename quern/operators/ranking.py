@@ -287,15 +287,14 @@ FEATURES = ("sentence", "phrase", "idf_cov", "proximity", "bigram", "code")
 BLEND = np.array([0.26, 0.20, 0.18, 0.14, 0.10, 0.12])
 
 
-def rerank_features(pairs: DataFrame, idf: DataFrame) -> DataFrame:
+def rerank_features(pairs: DataFrame, questions: DataFrame, idf: DataFrame) -> DataFrame:
     """Joint features of rows (query_id, chunk_id, question, text, doc, ...) and their blend, rerank_score.
 
     idf: (term, idf). What belongs to a question alone is made once per question with columns; the idf of
     its stems travels with it as a small map. The features of a pair are measured in Arrow batches, since as
     nested column expressions they repeat each other many times over.
     """
-    asked = pairs.select("query_id", "question").distinct()
-    q = asked.select("query_id", "question", X.content_terms(F.col("question")).alias("terms"))
+    q = questions.select("query_id", "question", X.content_terms(F.col("question")).alias("terms"))
     anchor_syn = F.map_from_entries(F.transform("terms", lambda t: F.struct(t.alias("key"), X.synonym_stems(F.array(t)).alias("value"))))
     q = q.select("query_id", "question", "terms", F.array_distinct(F.transform("terms", X.stem)).alias("own"), X.synonym_stems(F.col("terms")).alias("syn"), anchor_syn.alias("by_term"))
     need = q.select("query_id", F.explode(F.array_union("own", "syn")).alias("term"))

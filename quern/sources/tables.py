@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -10,6 +12,19 @@ from pyspark.sql.utils import AnalysisException
 from ..operators.telemetry import last_write
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that the driver and all executors see: below spark.checkpoint.dir, or the warehouse where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder, for plans that use them more than once; it outlives lost executors."""
+    path = shared_folder(df.sparkSession, "kept")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def restore_json(spark: SparkSession, path: str, schema: StructType, required: tuple[str, ...]) -> DataFrame:
     """Rows of a JSON-lines store; rows that don't parse or lack a required field go."""
     rows = spark.read.schema(StructType([*schema.fields]).add("_bad", "string")).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
