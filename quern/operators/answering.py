@@ -23,7 +23,7 @@ def route(questions: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """
     q = questions.select("query_id", F.lower(F.trim("question")).alias("q"), X.content_terms(F.col("question")).alias("terms"))
     known = q.select("query_id", F.explode("terms").alias("term")).join(vocabulary.select("term").distinct(), "term").groupBy("query_id").agg(F.count("*").alias("known"))
-    rows = q.join(known, "query_id", "left").withColumn("share", F.coalesce("known", F.lit(0)) / F.size("terms"))
+    rows = q.join(known, "query_id", "left").withColumn("share", F.coalesce("known", F.lit(0)) / F.greatest(F.lit(1), F.size("terms")))
     social = F.lit(False)
     for p in L.CHITCHAT:
         social = social | F.col("q").rlike(p)

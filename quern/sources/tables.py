@@ -63,7 +63,7 @@ def csv_lines(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 def markdown_rows(rows: DataFrame, columns: list[str]) -> DataFrame:
     """(line): table rows with bars escaped and line breaks as blanks."""
-    cell = lambda c: F.regexp_replace(F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("–")), r"\|", r"\\\\|"), "\n", " ")
+    cell = lambda c: F.regexp_replace(F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("–")), r"\|", r"\\\|"), "\n", " ")
     return rows.select(F.concat(F.lit("| "), F.concat_ws(" | ", *[cell(c) for c in columns]), F.lit(" |")).alias("line"))
 
 
