@@ -262,7 +262,7 @@ def word_diff(pairs: DataFrame, most: int = 400) -> DataFrame:
 def context_blocks(prompts: DataFrame) -> DataFrame:
     """(query_id, rank, doc, page, text, score) of prompts that hold numbered [CTX n] (document) blocks."""
     blocks = prompts.select("query_id", F.posexplode(F.filter(F.split("block", r"\[CTX \d+\]"), lambda b: F.trim(b) != "")).alias("k", "b"))
-    return blocks.select("query_id", (F.col("k") + 1).alias("rank"), F.regexp_extract("b", r"\(([^)]*)\)", 1).alias("doc"), F.lit(1).alias("page"), F.trim(F.regexp_replace("b", r"^\s*\([^)]*\)", "")).alias("text"), F.lit(1.0).alias("score"))
+    return blocks.select("query_id", (F.col("k") + 1).alias("rank"), F.regexp_extract("b", r"\(([^)]*)\)", 1).alias("doc"), F.lit(1).alias("page"), F.regexp_replace(F.regexp_replace("b", r"^\s*\([^)]*\)", ""), r"^\s+|\s+$", "").alias("text"), F.lit(1.0).alias("score"))
 
 
 def fallback_text(rows: DataFrame) -> DataFrame:

@@ -270,3 +270,17 @@ def test_late_events_are_left_out(spark, tmp_path):
     rates.drain(rates.route_rates(stream), str(tmp_path / "out"), str(tmp_path / "state"), "append")
     rows = spark.read.parquet(str(tmp_path / "out")).collect()
     assert sorted((r["start"].hour, r["n"]) for r in rows) == [(1, 1), (3, 2)]
+
+
+def test_plugins_degrade(spark):
+    from quern.functions.plugins import batched
+
+    def call(client, values):
+        if any(v == "bad" for v in values):
+            raise RuntimeError("down")
+        return [client + v for v in values]
+
+    good = spark.createDataFrame([("a",), ("b",)], "t string").select(batched(lambda: "x", call, "string")("t").alias("r"))
+    assert sorted(r["r"] for r in good.collect()) == ["xa", "xb"]
+    rule = spark.createDataFrame([("bad",)], "t string").select(F.coalesce(batched(lambda: "x", call, "string")("t"), F.lit("rule")).alias("r"))
+    assert rule.first()["r"] == "rule"
