@@ -34,7 +34,7 @@ GRAM = 24
 #: Distances in a row's range after each cut; a core is `size` less this plus one bytes.
 WIDTHS = (32, 8, 1)
 #: Rows that a task holds to settle repeats among them.
-HELD = 500_000
+HELD = 200_000
 
 _ROW = "removed boolean, core long, whole long, doc long, at int, near int, far int"
 _FIELDS = ("core", "whole", "doc", "at", "near", "far")
@@ -104,7 +104,7 @@ def _anchored(source: DataFrame, size: int) -> DataFrame:
             return _batch(rows, *_settle(rows, size))
 
         for batch in batches:
-            for part, data, at in text_slices(batch, 2 << 20):
+            for part, data, at in text_slices(batch, 1 << 20):
                 total = prefix_sums(data)
                 row, anchor, first, last = window_anchors(total, at, size, GRAM)
                 if not len(row):
@@ -165,8 +165,8 @@ def _finer(rows: DataFrame, size: int, width: int) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 50_000):
-                part = batch.slice(lo, 50_000)
+            for lo in range(0, batch.num_rows, 10_000):
+                part = batch.slice(lo, 10_000)
                 doc, at, near, far = (part.column(k).to_numpy(zero_copy_only=False) for k in range(4))
                 texts = part.column(4).to_pylist()
                 ends = np.cumsum([0, *map(len, texts)])
