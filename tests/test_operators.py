@@ -284,3 +284,24 @@ def test_plugins_degrade(spark):
     assert sorted(r["r"] for r in good.collect()) == ["xa", "xb"]
     rule = spark.createDataFrame([("bad",)], "t string").select(F.coalesce(batched(lambda: "x", call, "string")("t"), F.lit("rule")).alias("r"))
     assert rule.first()["r"] == "rule"
+
+
+def test_ask(spark, chunks):
+    from quern.operators.asking import ask
+
+    vocabulary = chunks.select(F.explode(X.tokens(F.concat_ws(" ", "text", F.regexp_replace("doc", "[_.]", " ")))).alias("term")).distinct()
+    q = asked(spark, "How long is the warranty of the X300?", "hello", "banana smoothie recipe", "how long does a unit return take", "months thirty keep bananas smoothies recipes kitchens")
+    got = {r["query_id"]: r for r in ask(q, chunks, vocabulary).collect()}
+    assert len(got) == 5
+    assert got[1]["route"] == "document" and "36 months" in got[1]["answer"] and got[1]["attempts"] == 1
+    assert got[2]["route"] == "chitchat" and got[3]["route"] == "out_of_scope" and "outside" in got[3]["answer"]
+    assert got[5]["route"] in ("fallback", "document")
+
+
+def test_cases(spark):
+    from quern.operators import testing as C
+
+    rows = spark.createDataFrame([("24 Months", ["x", "24 ?months"]), ("a+b", ["a+b", "z"]), ("none", ["q"])], "t string, p array<string>")
+    assert [r["m"] for r in rows.select(C.first_match(F.col("t"), F.col("p")).alias("m")).collect()] == ["24 ?months", "a+b", None]
+    docs = spark.createDataFrame([(["x200_manual.md"], ["x200"]), (["a.md"], ["b"])], "d array<string>, e array<string>")
+    assert [r["m"] for r in docs.select(C.expected_document(F.col("d"), F.col("e")).alias("m")).collect()] == [True, False]
