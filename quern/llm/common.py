@@ -43,6 +43,19 @@ def fold_remainder(column: Column, modulus: int) -> Column:
     return F.crc32(column.cast("string").cast("binary")) % F.lit(modulus)
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str, max_rows: int) -> DataFrame:
+    """(label, text) of at most max_rows labelled documents, drawn by a hash of the id, as a table of its own.
+
+    The bound makes the drawn labels small enough to broadcast, so that no text is shuffled for them.
+    """
+    marked = plain(labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()), id_col, label_col).toDF("doc_id", "label")
+    n = marked.count()
+    if n > max_rows:
+        marked = marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(970_000 * max_rows / n)).limit(max_rows)
+    rows = plain(docs, id_col, text_col).toDF("doc_id", "text").join(F.broadcast(marked), "doc_id")
+    return materialise(rows.select(F.col("label").cast("int").alias("label"), F.coalesce("text", F.lit("")).alias("text")))
+
+
 def text_slices(batch: pa.RecordBatch, limit: int = SLICE_BYTES, name: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Cut a batch into runs of rows of about `limit` bytes of text.
 

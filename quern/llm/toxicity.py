@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_remainder, plain, text_slices, texts_of
+from .common import fold_remainder, labelled_sample, plain, text_slices, texts_of
 
 # Common English insults, from which the lexicon starts.
 SEED_WORDS = ("idiot", "moron", "stupid", "loser", "trash", "scum", "clown", "pathetic", "worthless", "disgusting", "dumb", "fool", "jerk", "filth", "vermin", "imbecile", "bastard", "garbage")
@@ -111,12 +111,11 @@ class Lexicon:
 def fit_lexicon(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_words: int = 150, min_share: float = 0.01, max_rows: int = 20_000) -> Lexicon:
     """Lexicon weights and curve from labelled rows.
 
-    Every labelled row counts towards the words' weights: smoothed log odds of a word among toxic rows
-    against the others. Learned words need at least min_share of the toxic rows and clear odds; at
-    most max_words are taken (documented bound, as is max_rows: rows used for the three numbers of the curve).
+    Words weigh by the smoothed log odds of a word among toxic rows against the others. Learned words need
+    at least min_share of the toxic rows and clear odds. Documented bounds: at most max_words are learned,
+    from at most max_rows labelled documents.
     """
-    rows = plain(docs, id_col, text_col).toDF("doc_id", "text").join(plain(labels.where(F.col(label_col).isin(0, 1)), id_col, label_col).toDF("doc_id", "label"), "doc_id")
-    rows = rows.select("label", F.coalesce("text", F.lit("")).alias("text"))
+    rows = labelled_sample(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, max_rows=max_rows)
 
     def distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,9 +148,7 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", t
                 made = [lexicon.features(t) for t in texts_of(part)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([m[0] for m in made]), pa.array([m[1] for m in made])], ["label", "a", "b"])
 
-    share = min(1.0, max_rows / (n_clean + n_toxic))
-    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else rows
-    data = np.array(sample.withColumn("label", F.col("label").cast("int")).mapInArrow(measured, "label int, a double, b double").limit(2 * max_rows).collect(), float).reshape(-1, 3)
+    data = np.array(rows.mapInArrow(measured, "label int, a double, b double").collect(), float).reshape(-1, 3)  # max_rows at most
     x, y, beta = np.column_stack([np.ones(len(data)), data[:, 1:]]), data[:, 0], np.zeros(3)
     for _ in range(50):  # ridge-damped Newton steps
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -40, 40)))
