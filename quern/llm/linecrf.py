@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_remainder, plain, text_slices, texts_of
+from .common import fold_remainder, labelled_sample, plain, text_slices, texts_of
 
 _SYMBOLS = re.compile(r"[^\w\s.,;:!?'\"()\-]")
 _DIGITS = re.compile(r"\d")
@@ -165,12 +165,8 @@ def _fit(features: np.ndarray, sizes: np.ndarray, counts: np.ndarray, labels: np
 
 
 def fit_line_model(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 5_000, steps: int = 60) -> LineModel:
-    """Fit on at most about max_rows labelled documents (a documented bound), drawn by a hash of their text."""
-    marked = plain(labels.where(F.col(label_col).isin(0, 1)), id_col, label_col).toDF("doc_id", "label")
-    n = marked.count()
-    rows = plain(docs, id_col, text_col).toDF("doc_id", "text").join(marked, "doc_id").select(F.col("label").cast("int").alias("label"), F.coalesce("text", F.lit("")).alias("text"))
-    if n > max_rows:
-        rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(1_000_000 * max_rows / n))
+    """Fit on at most about max_rows labelled documents (a documented bound), drawn by a hash of their ids."""
+    rows = labelled_sample(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, max_rows=max_rows)
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,7 +174,7 @@ def fit_line_model(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
                 made = [line_features(t) for t in texts_of(part)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([f.astype(np.float32).tobytes() for f, _ in made]), pa.array([s.astype(np.float32).tobytes() for _, s in made])], ["label", "features", "sizes"])
 
-    found = rows.mapInArrow(measured, "label int, features binary, sizes binary").limit(2 * max_rows).toArrow()
+    found = rows.mapInArrow(measured, "label int, features binary, sizes binary").toArrow()
     kept = [(y, np.frombuffer(f, np.float32), np.frombuffer(s, np.float32)) for y, f, s in zip(*[found.column(c).to_pylist() for c in ("label", "features", "sizes")])]
     y = np.array([k[0] for k in kept], float)
     if len(set(y)) < 2:  # nothing to tell apart: every text scores the share of good labels
