@@ -121,6 +121,13 @@ def answer_units(chunks: DataFrame, most: int = 20) -> DataFrame:
     return chunks.mapInArrow(cut, schema)
 
 
+def affirmed_version(text: Column) -> Column:
+    """The first version number of a text without a negation in the 70 characters before it or the 30 behind; null if there is none."""
+    no = r"(?:must\s{1,3}not|or\s{1,3}earlier|prior\s{1,3}to|older\s{1,3}than|do\s{1,3}not\s{1,3}use|not\s{1,3}be\s{1,3}used|before\s{1,3}v?\d)"
+    found = F.regexp_extract(text, rf"(?is)(?<!{no}.{{0,70}})(?<!before\s{{1,3}}){L.VERSION_EVIDENCE}(?!.{{0,30}}{no})", 0)
+    return F.when(found != "", found)
+
+
 def extract_answers(contexts: DataFrame, questions: DataFrame, most: int = 3) -> DataFrame:
     """(query_id, answer) from ranked contexts (query_id, rank, doc, page, text): the best units, one a context, cited."""
     q = questions.select("query_id", "question", X.content_terms(F.col("question")).alias("terms"))
@@ -150,7 +157,9 @@ def extract_answers(contexts: DataFrame, questions: DataFrame, most: int = 3) ->
     )
     scored = rows.withColumn("score", (1.6 * F.col("cover") + 0.5 / F.col("rank") + 0.15 / (1 + F.col("pos"))) * penalty * boost)
     norm = F.substring(F.regexp_replace(F.lower("unit"), "\\W+", ""), 1, 80)
-    item = F.struct((-F.round("score", 9)).alias("order"), "rank", "pos", norm.alias("norm"), F.concat("unit", F.lit(" [Source: "), "doc", F.lit(", page "), F.col("page").cast("string"), F.lit("]")).alias("said"))
+    version = F.when(F.col("version") & ~F.col("unit").rlike("(?i)" + L.VERSION_EVIDENCE), affirmed_version(F.col("text")))
+    named = F.when(version.isNotNull(), F.concat(version, F.lit(" — "), "unit")).otherwise(F.col("unit"))
+    item = F.struct((-F.round("score", 9)).alias("order"), "rank", "pos", norm.alias("norm"), F.concat(named, F.lit(" [Source: "), "doc", F.lit(", page "), F.col("page").cast("string"), F.lit("]")).alias("said"))
     listed = scored.groupBy("query_id").agg(F.array_sort(F.collect_list(item)).alias("items"), F.max("score").alias("top"))  # 6 contexts of 20 units at most
     first = F.slice("items", 1, 0)
     pick = lambda s, x: F.when((F.size(s) < most) & ~F.exists(s, lambda y: (y["rank"] == x["rank"]) | (y["norm"] == x["norm"])), F.concat(s, F.array(x))).otherwise(s)
@@ -160,6 +169,34 @@ def extract_answers(contexts: DataFrame, questions: DataFrame, most: int = 3) ->
     return questions.select("query_id").join(best, "query_id", "left").join(chosen, "query_id", "left").select("query_id", F.coalesce("answer", "snippet", none).alias("answer"))
 
 
+def compare_answers(contexts: DataFrame, subs: DataFrame, most: int = 2, least: int = 40) -> DataFrame:
+    """(query_id, answer): a block for each sub-query (query_id, sub_no, sub_query), of its own contexts (query_id, sub_no, rank, doc, page, text).
+
+    A sub-query without a usable unit gets an honest line of its own.
+    """
+    key = F.concat_ws("#", F.col("query_id").cast("string"), F.col("sub_no").cast("string"))
+    own = subs.select(key.alias("query_id"), F.col("sub_query").alias("question"))
+    code = F.lower(F.element_at(F.split("sub_query", " "), -1))
+    named = contexts.join(subs, ["query_id", "sub_no"]).withColumn("first", F.contains(F.lower("doc"), code).cast("int"))
+    ordered = named.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "sub_no").orderBy(F.desc("first"), "rank")))
+    parts = extract_answers(ordered.select(key.alias("query_id"), "rank", "doc", "page", "text"), own, most).withColumnRenamed("query_id", "key")
+    rows = subs.withColumn("key", key).join(parts, "key", "left")
+    good = F.length(F.regexp_replace("answer", L.SOURCE_TAG, "")) >= least
+    line = F.concat("sub_query", F.lit(": "), F.when(good & ~F.col("answer").startswith("I couldn't find"), F.col("answer")).otherwise(F.lit("no passage of the documents covers this.")))
+    lines = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("sub_no", line.alias("line")))).alias("lines"))
+    return lines.select("query_id", F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("answer"))
+
+
+def small_talk(question: Column) -> Column:
+    """A reply to chit-chat: to thanks, to a question about what the service does, or to a greeting."""
+    low = F.lower(question)
+    return (
+        F.when(low.rlike("thank|cheers|great|awesome|nice"), "You're welcome. Is there anything else in the documents that I can look up?")
+        .when(low.rlike("who are you|what can you do|introduce"), "I answer questions from the indexed documents and cite the passages that I use.")
+        .otherwise("Hello! Ask me about the indexed documents.")
+    )
+
+
 def verify(answers: DataFrame, contexts: DataFrame, least: float = 0.5) -> DataFrame:
     """(query_id, verdict, support): the share of an answer's content terms whose stems its contexts hold."""
     plain = F.regexp_replace("answer", "\\[Source:[^\\]]*\\]", "")

@@ -38,8 +38,8 @@ def ask(questions: DataFrame, chunks: DataFrame, vocabulary: DataFrame, rewrites
     answered = questions.join(found.select("query_id", "attempts").distinct(), "query_id")
     drafts = kept(A.extract_answers(contexts, answered.select("query_id", "question")))
     checked = A.verify(drafts, contexts)
-    rows = routed.select("query_id", "route").join(answered.select("query_id", "attempts"), "query_id", "left").join(drafts, "query_id", "left").join(checked, "query_id", "left")
+    rows = routed.select("query_id", "route", "question").join(answered.select("query_id", "attempts"), "query_id", "left").join(drafts, "query_id", "left").join(checked, "query_id", "left")
     good = F.col("verdict") == "supported"
     told = A.fallback_text(rows.select("query_id", "route", F.lit(0.0).alias("best"), "support", F.lit(rewrites).alias("retries"))).select("query_id", F.col("answer").alias("honest"))
-    answer = F.when(F.col("route") == "chitchat", "Hello! Ask me about the indexed documents.").when(good, F.col("answer")).otherwise(F.col("honest"))
+    answer = F.when(F.col("route") == "chitchat", A.small_talk(F.col("question"))).when(good, F.col("answer")).otherwise(F.col("honest"))
     return rows.join(told, "query_id").select("query_id", F.when((F.col("route") == "document") & ~F.coalesce(good, F.lit(False)), "fallback").otherwise(F.col("route")).alias("route"), F.coalesce("attempts", F.lit(0)).alias("attempts"), F.coalesce("verdict", F.lit("none")).alias("verdict"), F.coalesce("support", F.lit(0.0)).alias("support"), answer.alias("answer"))

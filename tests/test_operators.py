@@ -305,3 +305,55 @@ def test_cases(spark):
     assert [r["m"] for r in rows.select(C.first_match(F.col("t"), F.col("p")).alias("m")).collect()] == ["24 ?months", "a+b", None]
     docs = spark.createDataFrame([(["x200_manual.md"], ["x200"]), (["a.md"], ["b"])], "d array<string>, e array<string>")
     assert [r["m"] for r in docs.select(C.expected_document(F.col("d"), F.col("e")).alias("m")).collect()] == [True, False]
+
+
+def test_versions_and_comparisons(spark, chunks):
+    assert one(spark, A.affirmed_version, "v3.2.0 or earlier must not be used. " + "x " * 40 + "Install v3.2.1 now.") == "v3.2.1"
+    assert one(spark, A.affirmed_version, "units before v2.0 fail") is None
+    subs = spark.createDataFrame([(1, 0, "warranty X200"), (1, 1, "warranty X300"), (1, 2, "warranty X999")], "query_id long, sub_no int, sub_query string")
+    contexts = subs.where("sub_no < 2").select("query_id", "sub_no").crossJoin(chunks.where("chunk_id <= 2")).withColumn("rank", F.col("chunk_id").cast("int"))
+    lines = A.compare_answers(contexts, subs).first()["answer"].split("\n")
+    assert lines[0].startswith("warranty X200: The X200 warranty lasts 24") and lines[1].startswith("warranty X300: The X300 warranty lasts 36")
+    assert lines[2] == "warranty X999: no passage of the documents covers this."
+
+
+def test_ingest_and_stream_ingest(spark, tmp_path):
+    from quern.jobs import ingest as I
+    from quern.streaming import sessions
+
+    folder, out = tmp_path / "corpus", str(tmp_path / "out")
+    folder.mkdir()
+    (folder / "a.md").write_text("# One\n\nFirst text of the corpus. It has two sentences.")
+    (folder / "b.txt").write_text("Second text, without any heading at all.")
+    assert {r["doc"]: r["chunks"] for r in I.ingest(spark, str(folder), out).collect()} == {"a.md": 1, "b.txt": 1}
+    (folder / "a.md").write_text("# One\n\nAnother text.")
+    I.ingest(spark, str(folder), out)
+    texts = {r["doc"]: r["text"] for r in spark.read.parquet(f"{out}/chunks").collect()}
+    assert "Another text." in texts["a.md"] and len(texts) == 2
+    assert spark.read.parquet(f"{out}/postings").where("term = 'second'").count() == 1 and spark.read.parquet(f"{out}/vectors").count() == 2
+    figures = I.figure_chunks(spark.createDataFrame([("p.pdf", 3, 1, "a chart"), ("p.pdf", 3, 2, "a plot")], "doc string, page int, figure_no int, caption string"))
+    assert figures.select("chunk_id").distinct().count() == 2 and I.numbered(figures).agg(F.max("ordinal")).first()[0] == 2
+    I.reset(spark, out)
+    assert spark.read.parquet(f"{out}/chunks").count() == 0
+
+    from quern.sources.documents import corpus_files
+
+    schema = spark.read.format("binaryFile").load(str(folder)).schema
+    stream = spark.readStream.format("binaryFile").schema(schema).load(str(folder))
+    files = stream.select("path", F.element_at(F.split("path", "/"), -1).alias("doc"), F.element_at(F.split("path", r"\."), -1).alias("kind"), "content")
+    sessions.ingest_jobs(files, f"{out}/stream", str(tmp_path / "state"), f"{out}/jobs").awaitTermination()
+    assert spark.read.parquet(f"{out}/stream").select("doc").distinct().count() == 2 == corpus_files(spark, str(folder)).count()
+    assert spark.read.parquet(f"{out}/jobs").agg(F.sum("files")).first()[0] == 2
+
+
+def test_session_memory_stream(spark, tmp_path):
+    from quern.streaming.sessions import remember
+
+    schema = "session_id string, turn int, question string, route string, own array<string>, cue boolean"
+    folder = str(tmp_path / "turns")
+    for k, rows in enumerate([[("s", 0, "About the X200", "document", ["x200"], False)], [("s", 1, "its range?", "document", [], True), ("t", 0, "its range?", "document", [], True)]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/{k}")
+    got = []
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(folder)
+    remember(stream).writeStream.outputMode("append").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).foreachBatch(lambda df, _: got.extend(df.collect())).start().awaitTermination()
+    assert sorted((r["session_id"], r["turn"], r["effective_question"]) for r in got) == [("s", 0, "About the X200"), ("s", 1, "its range? x200"), ("t", 0, "its range?")]
