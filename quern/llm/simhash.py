@@ -5,7 +5,8 @@ changed bits, so fingerprints that can be linked share a shard: a pair of blocks
 shard's task builds the shard's tree, keyed by Hamming distance to the parent, and looks its own
 fingerprints up in it along the edges within the radius. The trees grow with the corpus, hence they
 are not broadcast: each is built where its shard is. A shard of many fingerprints is cut again by
-the same rule over its 32 open bits; then 16 bits are open and a shard holds 65,536 at most.
+the same rule over its 32 open bits, and if need be over the 16 that are open then: 8 open bits are left,
+so a shard holds at most the limit or 256 fingerprints, whatever the corpus.
 """
 
 from __future__ import annotations
@@ -117,20 +118,20 @@ def near_links(prints: DataFrame, shard_limit: int = 2048) -> DataFrame:
 
     shard_limit: fingerprints of a shard from which it is cut again. No candidate is dropped.
     """
-    first = _masks(list(range(64)), 0)
-    second = [_masks(_open(m), m & (2**64 - 1)) for m in first]
-    shard = lambda masks: F.explode(F.array(*[F.struct(F.lit(m).cast("long").alias("mask"), F.col("bits").bitwiseAND(F.lit(m).cast("long")).alias("part")) for m in masks])).alias("s")
-    keyed = prints.select("bits", shard(first)).select("bits", "s.mask", "s.part")
-    sizes = keyed.groupBy("mask", "part").agg(F.count("*").alias("n")).where("n > 1")
-    sized = keyed.join(sizes, ["mask", "part"])
-    finer = F.create_map(*[x for m, ms in zip(first, second) for x in (F.lit(m).cast("long"), F.array(*[F.lit(k).cast("long") for k in ms]))])
-    recut = (
-        sized.where(F.col("n") > shard_limit)
-        .select("bits", F.explode(finer[F.col("mask")]).alias("mask"))
-        .select("bits", "mask", F.col("bits").bitwiseAND(F.col("mask")).alias("part"))
-        .distinct()
-    )
-    shards = sized.where(F.col("n") <= shard_limit).select("bits", "mask", "part").union(recut).groupBy("mask", "part").agg(F.collect_list("bits").alias("members")).where(F.size("members") > 1)
+    pool, shards = prints.select("bits", F.lit(0).cast("long").alias("mask")), None
+    masks = [0]
+    for depth in range(3):
+        children = {m: _masks(_open(m), m & (2**64 - 1)) for m in masks}
+        masks = sorted({c for own in children.values() for c in own})
+        below = F.create_map(*[x for m, own in children.items() for x in (F.lit(m).cast("long"), F.array(*[F.lit(c).cast("long") for c in own]))])
+        keyed = pool.select("bits", F.explode(below[F.col("mask")]).alias("mask")).withColumn("part", F.col("bits").bitwiseAND(F.col("mask")))
+        keyed = keyed.distinct() if depth else keyed
+        sizes = keyed.groupBy("mask", "part").agg(F.count("*").alias("n")).where("n > 1")
+        sized = keyed.join(sizes, ["mask", "part"])
+        small = sized if depth == 2 else sized.where(F.col("n") <= shard_limit)
+        shards = small.select("bits", "mask", "part") if shards is None else shards.union(small.select("bits", "mask", "part"))
+        pool = sized.where(F.col("n") > shard_limit).select("bits", "mask")
+    shards = shards.groupBy("mask", "part").agg(F.collect_list("bits").alias("members"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
