@@ -132,7 +132,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", v
     piece = 4_096
     parted = index.join(F.broadcast(spark.createDataFrame([(r["cell"], -(-r["n"] // piece)) for r in held], "cell long, parts long")), "cell")
     parted = parted.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))).drop("parts")
-    visits = asked.mapInArrow(walked, f"cell long, query_id {kind}, q array<float>")
+    visits = asked.repartition(spark.sparkContext.defaultParallelism, "id").mapInArrow(walked, f"cell long, query_id {kind}, q array<float>")
     visits = visits.join(F.broadcast(spark.createDataFrame([(r["cell"], p) for r in held for p in range(-(-r["n"] // piece))], "cell long, part long")), "cell")
 
     def compared(key: tuple, entries: pa.Table, questions: pa.Table) -> pa.Table:
