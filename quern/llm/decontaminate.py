@@ -19,8 +19,8 @@ from .common import plain, text_slices
 from .wordhash import runs, winnowed, words
 
 SPAN, GRAM = 10, 5
-#: Benchmark fingerprints up to which they are sent to every task (8 bytes each); beyond, documents' fingerprints are shuffled to them.
-BROADCAST_LIMIT = 2_000_000
+#: Benchmark fingerprints up to which they are sent to every task (some 150 bytes each); beyond, documents' fingerprints are shuffled to them.
+BROADCAST_LIMIT = 200_000
 
 _HIT = pa.struct([("fp", pa.int64()), ("pos", pa.int32()), ("size", pa.int32()), ("left", pa.list_(pa.int64())), ("right", pa.list_(pa.int64()))])
 _HIT_SQL = "fp:bigint,pos:int,size:int,left:array<bigint>,right:array<bigint>"
@@ -95,11 +95,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "
     short, wanted, few = tuple(sorted(sizes)), None, False
     if prints.limit(broadcast_limit + 1).count() <= broadcast_limit:
         few = True
-        wanted = spark.sparkContext.broadcast(np.unique(np.array([r[0] for r in prints.select("fp").distinct().collect()], np.int64)))
+        wanted = spark.sparkContext.broadcast(np.unique(prints.select("fp").distinct().toArrow().column(0).to_numpy()))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, data, offsets in text_slices(batch, 2 << 20):
+            for rows, data, offsets in text_slices(batch):
                 hashes, counts = words(data, offsets)
                 fps, at, size, row_of, first = _kept(hashes, counts, short, False)
                 if wanted is not None:
@@ -172,6 +172,6 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, **options) -> Da
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """`docs` without the rows that hold a benchmark passage; clean rows and all columns stay as they are."""
-    bad = find_contamination(docs, benchmark, id_col=id_col, text_col=text_col, **options).where(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    kept = docs.join(bad, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("_key")), "left_anti")
+    bad = find_contamination(docs, benchmark, id_col=id_col, text_col=text_col, **options).where(F.size("spans") > 0).select(F.col("doc_id").alias("__contaminated_id"), F.col("text_key").alias("__contaminated_key")).distinct()
+    kept = docs.join(bad, F.col(id_col).eqNullSafe(F.col("__contaminated_id")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("__contaminated_key")), "left_anti")
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
