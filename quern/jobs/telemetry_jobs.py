@@ -53,17 +53,17 @@ def route_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.route_counts(ledger_of(spark, sf_dir))
 
 
-@query(f"WITH {SQL_LEDGER} SELECT route, round(quantile_cont(latency_ms, 0.5), 1) AS p50, round(quantile_cont(latency_ms, 0.95), 1) AS p95 FROM ledger GROUP BY route")
+@query(f"WITH {SQL_LEDGER} SELECT route, round(quantile_cont(latency_ms, 0.5), 4) AS p50, round(quantile_cont(latency_ms, 0.95), 4) AS p95 FROM ledger GROUP BY route")
 def latency_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger_of(spark, sf_dir).groupBy("route").agg(*T.percentiles("latency_ms"))
 
 
-@query(f"WITH {SQL_LEDGER} SELECT route, round(quantile_disc(latency_ms, 0.5), 1) AS p50, round(quantile_disc(latency_ms, 0.95), 1) AS p95 FROM ledger GROUP BY route")
+@query(f"WITH {SQL_LEDGER} SELECT route, round(quantile_disc(latency_ms, 0.5), 4) AS p50, round(quantile_disc(latency_ms, 0.95), 4) AS p95 FROM ledger GROUP BY route")
 def latency_nearest_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger_of(spark, sf_dir).groupBy("route").agg(*T.percentiles("latency_ms", nearest=True))
 
 
-@query(f"WITH {SQL_LEDGER} SELECT count(*) AS n, round(quantile_cont(latency_ms, 0.5), 1) AS p50, round(quantile_cont(latency_ms, 0.95), 1) AS p95 FROM (SELECT * FROM ledger ORDER BY ts DESC, request_id DESC LIMIT 500)")
+@query(f"WITH {SQL_LEDGER} SELECT count(*) AS n, round(quantile_cont(latency_ms, 0.5), 4) AS p50, round(quantile_cont(latency_ms, 0.95), 4) AS p95 FROM (SELECT * FROM ledger ORDER BY ts DESC, request_id DESC LIMIT 500)")
 def latency_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentiles of the last 500 observations: the ring of the running service."""
     return T.newest(ledger_of(spark, sf_dir), 500, "ts", "request_id").agg(F.count("*").alias("n"), *T.percentiles("latency_ms"))
@@ -160,7 +160,7 @@ SQL_RESULTS = "r AS (SELECT doc_id, lang AS category, quality = 1 AS passed, CAS
 
 @query(
     f"""WITH {SQL_RESULTS} SELECT category, grouping(category) AS is_total, count(*) AS total, count(*) FILTER (WHERE passed) AS passed, round(avg(passed::INT), 4) AS accuracy, round(avg(retrieval_hit::INT), 4) AS hit_rate, round(avg(faithfulness), 4) AS faithfulness,
-    round(quantile_cont(CASE WHEN latency_ms > 0 THEN latency_ms END, 0.5), 1) AS p50, round(quantile_cont(CASE WHEN latency_ms > 0 THEN latency_ms END, 0.95), 1) AS p95 FROM r GROUP BY GROUPING SETS ((category), ())"""
+    round(quantile_cont(CASE WHEN latency_ms > 0 THEN latency_ms END, 0.5), 4) AS p50, round(quantile_cont(CASE WHEN latency_ms > 0 THEN latency_ms END, 0.95), 4) AS p95 FROM r GROUP BY GROUPING SETS ((category), ())"""
 )
 def eval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.eval_report(results_of(spark, sf_dir))
@@ -177,7 +177,7 @@ def configs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {SQL_CONFIGS}, b AS (SELECT config, round(avg(passed::INT), 4) AS accuracy, round(quantile_cont(latency_ms, 0.5), 1) AS p50 FROM k GROUP BY config)
+    f"""WITH {SQL_CONFIGS}, b AS (SELECT config, round(avg(passed::INT), 4) AS accuracy, round(quantile_cont(latency_ms, 0.5), 4) AS p50 FROM k GROUP BY config)
     SELECT config, accuracy, p50, round(accuracy - (SELECT accuracy FROM b WHERE config = 'baseline'), 4) AS delta, config = (SELECT config FROM b ORDER BY accuracy DESC, p50, config DESC LIMIT 1) AS winner FROM b"""
 )
 def ablation_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -251,7 +251,7 @@ def stage_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.stage_times(table(spark, sf_dir, "events").select(F.col("user_id").alias("run"), "ts", F.col("event_id").alias("seq"), F.col("event_type").alias("step")))
 
 
-@query("SELECT user_id % 8 AS worker, count(*) FILTER (WHERE event_type <> 'error') AS ok, count(*) FILTER (WHERE event_type = 'error') AS failed, round(quantile_disc(value, 0.5), 1) AS p50, round(quantile_disc(value, 0.95), 1) AS p95, round(sum(CASE WHEN event_type <> 'error' THEN value END) / (epoch(max(ts)) - epoch(min(ts))), 6) AS rate FROM events GROUP BY 1")
+@query("SELECT user_id % 8 AS worker, count(*) FILTER (WHERE event_type <> 'error') AS ok, count(*) FILTER (WHERE event_type = 'error') AS failed, round(quantile_disc(value, 0.5), 4) AS p50, round(quantile_disc(value, 0.95), 4) AS p95, round(sum(CASE WHEN event_type <> 'error' THEN value END) / (epoch(max(ts)) - epoch(min(ts))), 6) AS rate FROM events GROUP BY 1")
 def bench_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = F.col("event_type") != "error"
     span = T.micros(F.max("ts")) / 1e6 - T.micros(F.min("ts")) / 1e6

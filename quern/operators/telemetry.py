@@ -40,7 +40,7 @@ def newest_of_each(rows: DataFrame, key: str, cap: int, *order: str) -> DataFram
 def percentiles(name: str, nearest: bool = False) -> list[Column]:
     """p50 and p95, by linear interpolation or by nearest rank."""
     at = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {name})") if nearest else F.expr(f"percentile({name}, {p})")
-    return [F.round(at(p), 1).alias(f"p{round(100 * p)}") for p in (0.5, 0.95)]
+    return [F.round(at(p), 4).alias(f"p{round(100 * p)}") for p in (0.5, 0.95)]
 
 
 def route_counts(ledger: DataFrame) -> DataFrame:
@@ -117,14 +117,14 @@ def eval_report(results: DataFrame) -> DataFrame:
         F.round(F.avg(F.col("passed").cast("double")), 4).alias("accuracy"),
         F.round(F.avg(F.col("retrieval_hit").cast("double")), 4).alias("hit_rate"),
         F.round(F.avg("faithfulness"), 4).alias("faithfulness"),
-        F.round(F.expr("percentile(if(latency_ms > 0, latency_ms, null), 0.5)"), 1).alias("p50"),
-        F.round(F.expr("percentile(if(latency_ms > 0, latency_ms, null), 0.95)"), 1).alias("p95"),
+        F.round(F.expr("percentile(if(latency_ms > 0, latency_ms, null), 0.5)"), 4).alias("p50"),
+        F.round(F.expr("percentile(if(latency_ms > 0, latency_ms, null), 0.95)"), 4).alias("p95"),
     )
 
 
 def ablation(results: DataFrame, baseline: str) -> DataFrame:
     """(config, accuracy, p50, delta, winner) of results (config, passed, latency_ms); the winner by accuracy, then speed, then name."""
-    by = results.groupBy("config").agg(F.round(F.avg(F.col("passed").cast("double")), 4).alias("accuracy"), F.round(F.expr("percentile(latency_ms, 0.5)"), 1).alias("p50"))
+    by = results.groupBy("config").agg(F.round(F.avg(F.col("passed").cast("double")), 4).alias("accuracy"), F.round(F.expr("percentile(latency_ms, 0.5)"), 4).alias("p50"))
     whole = by.agg(F.max(F.when(F.col("config") == baseline, F.col("accuracy"))).alias("base"), F.max_by("config", F.struct("accuracy", -F.col("p50"), "config")).alias("best")).first()  # one row
     return by.select("config", "accuracy", "p50", F.round(F.col("accuracy") - F.lit(whole["base"]), 4).alias("delta"), (F.col("config") == F.lit(whole["best"])).alias("winner"))
 
