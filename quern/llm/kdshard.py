@@ -2,9 +2,9 @@
 
 Each level splits every node at the weighted median, by bytes, of its widest dimension. A row's place
 along a dimension is a 62-bit number: 16 bits of the dimension's coordinate and below them finer bits
-of it, if it is a number, and a hash of the row that breaks ties. A median is found by 16 bits at a time:
-bytes are summed by node and value of those bits, which is a bounded table, and the value where half of the
-node's bytes lie is opened further until what is left undecided is small. The tree itself is a few
+of it, if it is a number, and a hash of the row that breaks ties. A median is found by 8 bits at a time:
+bytes are summed by node and value of those bits, which are at most 256 sums a node, and the value where half
+of the node's bytes lie is opened further until what is left undecided is small. The tree itself is a few
 numbers a node and is what the driver sees.
 """
 
@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import materialise, plain
+from .common import materialise
 
-_STEPS = (46, 31, 16, 0)  # what is below 16, 31, 46 and 62 bits
+_STEPS = (54, 46, 38, 30, 22, 14, 6, 0)  # 8 bits at a time, from the top
 _TIE = (1 << 31) - 1
 
 
@@ -27,7 +27,7 @@ def _places(rows: DataFrame, numbers: list[str], names: list[str]) -> DataFrame:
     tie = F.xxhash64("doc_id", "size", "text_crc32").bitwiseAND(F.lit(_TIE))
     made = []
     for c in names:
-        made.append(F.shiftleft(F.pmod(F.crc32(F.coalesce(F.col(c).cast("string"), F.lit("")).cast("binary")), F.lit(1 << 16)).cast("long"), 46) + tie)
+        made.append(F.shiftleft(F.pmod(F.crc32(F.coalesce(F.col(c).cast("string"), F.lit("")).cast("binary")), F.lit(1 << 16)).cast("long"), 46) + F.shiftleft(tie, 15))
     for c in numbers:
         low, high = bounds[f"lo_{c}"], bounds[f"hi_{c}"]
         span = (high - low) if low is not None and high > low else 1.0
