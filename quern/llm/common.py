@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import base64
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task handles at once; bounds the temporary arrays of a batch.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -56,6 +58,17 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col
     return materialise(rows.select(F.col("label").cast("int").alias("label"), F.coalesce("text", F.lit("")).alias("text")))
 
 
+@lru_cache(maxsize=1)
+def byte_pair_encoding(ranks: str | None = None):
+    """A tiktoken encoding from a file of ranks (None: the public one that is installed); one in each worker."""
+    import public_tokenizers
+    import tiktoken
+
+    with open(ranks or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as lines:
+        table = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+
+
 def text_slices(batch: pa.RecordBatch, limit: int = SLICE_BYTES, name: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Cut a batch into runs of rows of about `limit` bytes of text.
 
@@ -77,6 +90,8 @@ def text_slices(batch: pa.RecordBatch, limit: int = SLICE_BYTES, name: str = "te
         stop = min(n, max(start + 1, stop))
         yield batch.slice(start, stop - start), data[offsets[start] : offsets[stop]], offsets[start : stop + 1] - offsets[start]
         start = stop
+    del column, buffers, offsets, data
+    pa.default_memory_pool().release_unused()  # workers live on after a task
 
 
 def texts_of(rows: pa.RecordBatch, name: str = "text") -> list[str]:

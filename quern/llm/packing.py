@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import plain, text_slices, texts_of
+from .common import byte_pair_encoding, plain, text_slices, texts_of
 
 _SPECIAL = "<|endoftext|>"
 
@@ -30,18 +30,6 @@ def _tokenizer(vocabulary: str | None):
     return Tokenizer.from_file(vocabulary or public_tokenizers.path("byte_bpe_50k.json"))
 
 
-@lru_cache(maxsize=2)
-def _ranks(path: str | None):
-    import base64
-
-    import public_tokenizers
-    import tiktoken
-
-    with open(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
-    return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-
 def encode(text: str, vocabulary: str | None = None, ranks: str | None = None) -> list[int]:
     """Token ids of a text as the tokenizer file gives them, without added special tokens.
 
@@ -50,7 +38,7 @@ def encode(text: str, vocabulary: str | None = None, ranks: str | None = None) -
     """
     if (vocabulary and not ranks) or _SPECIAL in text:
         return _tokenizer(vocabulary).encode(text, add_special_tokens=False).ids
-    return _ranks(ranks).encode_ordinary(text)
+    return byte_pair_encoding(ranks).encode_ordinary(text)
 
 
 class ShardIndex:

@@ -7,16 +7,14 @@ as random. Known digests and identifiers are excluded first. One scan of each te
 
 from __future__ import annotations
 
-import base64
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import plain, text_slices, texts_of
+from .common import byte_pair_encoding, plain, text_slices, texts_of
 
 #: Kinds in the order that breaks ties of the same start; the last is the method's own.
 KINDS = ("assign", "access", "hex", "random")
@@ -34,16 +32,6 @@ _NAME = re.compile(r"[A-Za-z]+(?:[-_/][A-Za-z]+)*[-_/]?\d{0,4}")
 _NUMBER = re.compile(r"[0-9+/_=-]+")
 
 
-@lru_cache(maxsize=2)
-def _encoding(vocabulary: str | None):
-    import public_tokenizers
-    import tiktoken
-
-    with open(vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
-    return tiktoken.Encoding("secrets", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-
 def _known(run: str) -> bool:
     """Digests, UUIDs, plain names and numbers are identifiers, not secrets."""
     if _UUID.fullmatch(run) or _NAME.fullmatch(run) or _NUMBER.fullmatch(run):
@@ -67,7 +55,7 @@ def secret_spans(text: str, vocabulary: str | None, max_ratio: float) -> list[tu
             continue
         if any(s < end and start < e for s, _, e in base):
             continue
-        if len(run) <= max_ratio * len(_encoding(vocabulary).encode_ordinary(run)):
+        if len(run) <= max_ratio * len(byte_pair_encoding(vocabulary).encode_ordinary(run)):
             found.append((start, 3, end))
     return [(KINDS[k], s, e) for s, k, e in sorted(found)]
 
