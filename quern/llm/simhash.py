@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import materialise, plain, text_slices
 from .components import components
+from .nearcopies import near_copies
 
 RADIUS = 2
 
@@ -166,11 +167,11 @@ def near_duplicate_report(docs: DataFrame, **options) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with one document of each group: the one of the smallest id. Rows without an id stay.
+    """`docs` with one document of each group of near_copies(): the one of the smallest id. Rows without an id stay.
 
     Rows that repeat an id are one document; one of them stays, that with the least text.
     """
-    found = materialise(near_duplicates(docs, id_col=id_col, text_col=text_col))
+    found = materialise(near_copies(docs, id_col=id_col, text_col=text_col))
     gone = found.where(F.col("doc_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(id_col)).distinct()
     # the ids that go are few against the texts: hashing them saves sorting the texts
     kept = docs.join(gone.hint("shuffle_hash"), id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

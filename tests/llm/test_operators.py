@@ -108,6 +108,44 @@ def test_one_of_each_group_stays(spark):
     assert [r["doc_id"] for r in twice.collect()] == [1]
 
 
+@pytest.mark.parametrize("limit", [3, 4096])
+def test_near_copies_match_brute_force(spark, limit):
+    """Planted copies of changing distance, most of them far over two SimHash bits."""
+    from quern.llm import nearcopies
+
+    rng = random.Random(limit)
+    texts = corpus(9, 20)
+    for _ in range(6):
+        base = [f"{rng.choice(WORDS)}{rng.randint(0, 99)}" for _ in range(rng.randint(60, 200))]
+        for k in range(12):
+            copy = list(base)
+            for at in rng.sample(range(len(base)), rng.randint(0, 4)):
+                copy[at] = f"new{rng.randint(0, 999)}"
+            texts.append(" ".join(copy))
+    words = [[w for w in brute.ascii_lower(t or "").split()] for t in texts]
+    own = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+    group, wide = list(range(len(texts))), 0
+    for i in range(len(texts)):
+        for j in range(i):
+            if own[i] == own[j] or 5 * len(own[i] & own[j]) >= 4 * len(own[i] | own[j]):
+                low, high = sorted((group[i], group[j]))
+                group = [low if g == high else g for g in group]
+                wide += (brute.simhash(texts[i] or "") ^ brute.simhash(texts[j] or "")).bit_count() > 2
+    assert wide > 50 and len({g for g in group if group.count(g) > 1}) > 5
+    found = nearcopies.near_copies(make(spark, texts), group_limit=limit).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == dict(enumerate(group))
+    kept = simhash.drop_near_duplicates(make(spark, texts))
+    assert {r["doc_id"] for r in kept.collect()} == set(group)
+
+
+def test_members_of_a_group_are_compared_beyond_its_pivot():
+    from quern.llm import nearcopies
+
+    a, b, c = (np.unique(np.random.default_rng(0).integers(0, 2**64, 300, dtype=np.uint64))[s] for s in (slice(0, 200), slice(95, 295), slice(100, 300)))
+    rows = [{"bits": k, "n": len(s), "root": k, "block": 0, "pivot": 0, **dict(zip(nearcopies._MAP, nearcopies.parity_map(s).tolist()))} for k, s in enumerate((a, b, c))]
+    assert [p.tolist() for p in nearcopies._possible(rows, 80)] == [[[1, 2]]]
+
+
 def test_components(spark):
     from quern.llm.components import components
 
