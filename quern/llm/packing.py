@@ -44,7 +44,7 @@ def encode(text: str, vocabulary: str | None = None, ranks: str | None = None) -
 class ShardIndex:
     """BM25 over the documents of one shard, with tokens as terms."""
 
-    def __init__(self, docs: list[np.ndarray], k1: float = 1.2, b: float = 0.75, query_terms: int = 16) -> None:
+    def __init__(self, docs: list[np.ndarray], k1: float = 1.2, b: float = 0.75) -> None:
         self.n = len(docs)
         lengths = np.array([len(d) for d in docs], float)
         terms, owners, weights = [], [], []
@@ -62,20 +62,27 @@ class ShardIndex:
         self.owner, self.weight = np.concatenate(owners)[order], np.concatenate(weights)[order]
         self.df = np.bincount(flat, minlength=1 << 16)
         self.end = np.cumsum(self.df)
-        self.idf = np.log1p((self.n - self.df + 0.5) / (self.df + 0.5))
-        self.query_terms = query_terms
+        idf = np.log1p((self.n - self.df + 0.5) / (self.df + 0.5)).astype(np.float32)
+        self.weight *= np.repeat(idf, self.df)  # in order of the terms
+        # terms that many documents hold are columns of a matrix, which has at most 8 cells a posting
+        often = np.flatnonzero(self.df * 8 > self.n)
+        self.column = np.full(len(self.df), -1, np.int64)
+        self.column[often] = np.arange(len(often))
+        self.often = np.zeros((self.n, len(often)), np.float32)
+        for k, t in enumerate(often.tolist()):
+            part = slice(self.end[t] - self.df[t], self.end[t])
+            self.often[self.owner[part], k] = self.weight[part]
 
     def scores(self, doc: int) -> np.ndarray:
-        """BM25 of every document for a document's rarest terms that others hold too."""
+        """BM25 of every document for all of a document's distinct terms."""
         own = self.terms[doc]
-        own = own[self.df[own] > 1]
-        if len(own) > self.query_terms:
-            own = own[np.argpartition(self.df[own], self.query_terms)[: self.query_terms]]
-        out = np.zeros(self.n, np.float32)
-        for t in own.tolist():
-            part = slice(self.end[t] - self.df[t], self.end[t])
-            out[self.owner[part]] += self.weight[part] * self.idf[t]
-        return out
+        column = self.column[own]
+        asked = np.zeros(self.often.shape[1], np.float32)
+        asked[column[column >= 0]] = 1
+        rare = own[(column < 0) & (self.df[own] > 1)]  # no other document holds a term of one
+        sizes = self.df[rare]
+        at = np.repeat(self.end[rare] - np.cumsum(sizes), sizes) + np.arange(sizes.sum())
+        return (self.often @ asked + np.bincount(self.owner[at], self.weight[at], self.n)).astype(np.float32)
 
 
 def _filled(docs: list[np.ndarray], window: int, batch: int = 16) -> list[tuple[int, int, int, int, int]]:

@@ -249,6 +249,21 @@ def test_packing_takes_near_documents_first():
     assert len({d % 4 for d in first[:5]}) == 1
 
 
+def test_scores_count_all_terms_of_a_seed():
+    rng = np.random.default_rng(5)
+    docs = [np.concatenate([rng.integers(0, 40, 60), rng.integers(100, 900, rng.integers(1, 200))]).astype(np.uint16) for _ in range(60)]
+    index, mean = packing.ShardIndex(docs), np.mean([len(d) for d in docs])
+    for seed in (0, 7, 59):
+        want = np.zeros(len(docs))
+        for t in set(docs[seed].tolist()):
+            held = [int((d == t).sum()) for d in docs]
+            df = sum(h > 0 for h in held)
+            idf = np.log1p((len(docs) - df + 0.5) / (df + 0.5))
+            want += [idf * h * 2.2 / (h + 1.2 * (0.25 + 0.75 * len(d) / mean)) for h, d in zip(held, docs)]
+        others = np.arange(len(docs)) != seed
+        assert np.allclose(index.scores(seed)[others], want[others], rtol=1e-4)
+
+
 # --- 6: sharding
 
 
