@@ -83,7 +83,7 @@ def grader_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def answer_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.extract_answers(contexts_of(spark, sf_dir), questions_of(spark, sf_dir))
+    return A.extract_answers(contexts_of(spark, sf_dir), questions_of(spark, sf_dir), units=None)
 
 
 SQL_ANSWER = "a AS (SELECT item_id AS query_id, text || ' [Source: ' || (item_id % 7)::VARCHAR || '.md, page 2]' AS answer FROM benchmark)"

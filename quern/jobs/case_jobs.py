@@ -65,4 +65,4 @@ def rerank_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ask_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark item as a question: routed, retrieved, graded, rewritten where needed, answered and checked."""
     chunks = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("doc"), F.col("lang").alias("page"), "text")
-    return asking.ask(questions_of(spark, sf_dir), chunks, corpus_vocabulary(spark, sf_dir))
+    return asking.ask(questions_of(spark, sf_dir), chunks, corpus_vocabulary(spark, sf_dir), units=None)

@@ -106,8 +106,8 @@ def units_of(text: str) -> list[str]:
     return out
 
 
-def answer_units(chunks: DataFrame, most: int = 20) -> DataFrame:
-    """Rows with a text, exploded into (pos, unit) by units_of()."""
+def answer_units(chunks: DataFrame, most: int | None = 20) -> DataFrame:
+    """Rows with a text, exploded into (pos, unit) by units_of(); `most` of each text, all of them where it is None."""
     schema = StructType([*chunks.schema.fields]).add("pos", "integer").add("unit", "string")
     columns, at = chunks.columns, chunks.columns.index("text")
 
@@ -128,14 +128,17 @@ def affirmed_version(text: Column) -> Column:
     return F.when(found != "", found)
 
 
-def extract_answers(contexts: DataFrame, questions: DataFrame, most: int = 3) -> DataFrame:
-    """(query_id, answer) from ranked contexts (query_id, rank, doc, page, text): the best units, one a context, cited."""
+def extract_answers(contexts: DataFrame, questions: DataFrame, most: int = 3, units: int | None = 20) -> DataFrame:
+    """(query_id, answer) from ranked contexts (query_id, rank, doc, page, text): the best units, one a context, cited.
+
+    units: that many of each context can be quoted, which covers a chunk; None where contexts are whole documents.
+    """
     q = questions.select("query_id", "question", X.content_terms(F.col("question")).alias("terms"))
     heavy = F.filter("terms", lambda t: t.rlike("^([0-9]+|[a-z]+[0-9].*)$"))
     q = q.select("query_id", "question", F.array_distinct(F.transform("terms", X.stem)).alias("own"), X.synonym_stems(F.col("terms")).alias("others"), F.array_distinct(F.transform(heavy, X.stem)).alias("heavy"), (F.size("terms") + F.size(heavy)).alias("whole"))
     q = q.withColumns({"syn": F.array_except("others", "own"), "codes": F.regexp_extract_all(F.lower("question"), F.lit(L.ENTITY_CODE), F.lit(0)), "quant": F.col("question").rlike("(?i)" + L.QUANT_QUERY), "version": F.col("question").rlike("(?i)" + L.VERSION_QUERY)})
     used = contexts.where(F.col("rank") <= 6)
-    rows = answer_units(used.select("query_id", "rank", "doc", "page", "text")).join(q.drop("others"), "query_id")
+    rows = answer_units(used.select("query_id", "rank", "doc", "page", "text"), units).join(q.drop("others"), "query_id")
     rows = rows.withColumn("held", F.array_union(X.stems(F.col("unit")), X.stems(F.regexp_replace("doc", "_", " "))))
     hit = F.array_intersect("own", "held")
     got = F.size(hit) + F.size(F.array_intersect(hit, "heavy")) + 0.8 * F.size(F.array_intersect("syn", "held"))
@@ -160,7 +163,7 @@ def extract_answers(contexts: DataFrame, questions: DataFrame, most: int = 3) ->
     version = F.when(F.col("version") & ~F.col("unit").rlike("(?i)" + L.VERSION_EVIDENCE), affirmed_version(F.col("text")))
     named = F.when(version.isNotNull(), F.concat(version, F.lit(" — "), "unit")).otherwise(F.col("unit"))
     item = F.struct((-F.round("score", 9)).alias("order"), "rank", "pos", norm.alias("norm"), F.concat(named, F.lit(" [Source: "), "doc", F.lit(", page "), F.col("page").cast("string"), F.lit("]")).alias("said"))
-    listed = scored.groupBy("query_id").agg(F.array_sort(F.collect_list(item)).alias("items"), F.max("score").alias("top"))  # 6 contexts of 20 units at most
+    listed = scored.groupBy("query_id").agg(F.array_sort(F.collect_list(item)).alias("items"), F.max("score").alias("top"))  # of 6 contexts
     first = F.slice("items", 1, 0)
     pick = lambda s, x: F.when((F.size(s) < most) & ~F.exists(s, lambda y: (y["rank"] == x["rank"]) | (y["norm"] == x["norm"])), F.concat(s, F.array(x))).otherwise(s)
     chosen = listed.where("top >= 0.6").select("query_id", F.array_join(F.transform(F.aggregate("items", first, pick), lambda x: x["said"]), " ").alias("answer"))

@@ -16,13 +16,13 @@ def retrieve(chunks: DataFrame, questions: DataFrame, k: int = 6) -> DataFrame:
     return R.top_k(R.blend(kept(R.rrf(pool)), chunks, questions), k, places=4).select("query_id", "chunk_id", "score", "rank")
 
 
-def ask(questions: DataFrame, chunks: DataFrame, vocabulary: DataFrame, rewrites: int = 2, least: float = 0.35) -> DataFrame:
+def ask(questions: DataFrame, chunks: DataFrame, vocabulary: DataFrame, rewrites: int = 2, least: float = 0.35, units: int | None = 20) -> DataFrame:
     """(query_id, route, attempts, verdict, support, answer): one row a question.
 
     questions: (query_id, question); chunks: (chunk_id, doc, page, text). Each round takes only the questions that
     are still without a relevant chunk, under their rewritten form; there are rewrites + 1 rounds at most, and
     each is a table in the shared folder. What is never resolved, or isn't supported by its
-    contexts, gets the honest fallback.
+    contexts, gets the honest fallback. units: as in extract_answers(), None where chunks are whole documents.
     """
     routed = kept(A.route(questions, vocabulary).join(questions, "query_id"))
     todo, found = routed.where("route = 'document'").select("query_id", "question"), None
@@ -36,7 +36,7 @@ def ask(questions: DataFrame, chunks: DataFrame, vocabulary: DataFrame, rewrites
         todo = kept(A.rewrite(left).withColumnRenamed("rewritten", "question"))
     contexts = R.per_doc_quota(found).withColumn("rank", F.col("pick")).drop("pick")
     answered = questions.join(found.select("query_id", "attempts").distinct(), "query_id")
-    drafts = kept(A.extract_answers(contexts, answered.select("query_id", "question")))
+    drafts = kept(A.extract_answers(contexts, answered.select("query_id", "question"), units=units))
     checked = A.verify(drafts, contexts)
     rows = routed.select("query_id", "route", "question").join(answered.select("query_id", "attempts"), "query_id", "left").join(drafts, "query_id", "left").join(checked, "query_id", "left")
     good = F.col("verdict") == "supported"

@@ -286,6 +286,15 @@ def test_plugins_degrade(spark):
     assert rule.first()["r"] == "rule"
 
 
+def test_answers_from_the_end_of_a_whole_document(spark, tmp_path):
+    from quern.jobs.answer_jobs import answer_extract
+
+    text = " ".join(f"This sentence number {k} tells nothing of any use." for k in range(40)) + " The zorblat flange needs seventeen quivels."
+    spark.createDataFrame([(1, text, "en", "manual")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "zorblat flange quivels")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert "seventeen quivels. [Source: manual" in answer_extract(spark, str(tmp_path)).first()["answer"]
+
+
 def test_ask(spark, chunks):
     from quern.operators.asking import ask
 
