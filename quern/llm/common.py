@@ -16,23 +16,46 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 1 << 20
 
 
+#: Spark's own settings while a table is written: shuffle files go when it is there, and tasks hand Python at most so many rows at once.
+_WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors share; the tests' own setting where none is given."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """A new folder below spark.checkpoint.dir, which all executors share. Only a local master, as in tests, may leave it unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        context_dir = spark.sparkContext.getCheckpointDir()
-        if context_dir:
-            base = context_dir
-        else:
-            base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_quern_checkpoints"
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_quern_checkpoints"
     return f"{base.rstrip('/')}/quern-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a table in the shared folder: it survives lost executors, unlike a local checkpoint."""
+    """Cut the lineage by a table in the shared folder: it survives lost executors, unlike a local checkpoint.
+
+    The shuffle files that made it are removed; the table itself stays until discard().
+    """
     spark, path = df.sparkSession, shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = {k: spark.conf.get(k) for k in _WHILE_WRITING}
+    for k, v in _WHILE_WRITING.items():
+        spark.conf.set(k, v)
+    try:
+        df.write.parquet(path)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["_written_to"] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of materialise() that no later plan reads."""
+    for table in tables:
+        if path := table.__dict__.pop("_written_to", None):
+            spark = table.sparkSession
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
 
 
 def plain(docs: DataFrame, *columns: str) -> DataFrame:

@@ -1,19 +1,22 @@
-"""Removal of long byte strings that occur earlier in the corpus, by sparse prefix doubling.
+"""Removal of long byte strings that occur earlier in the corpus, by prefix doubling.
 
-Doubling sorts (position, rank) pairs at growing lengths and keeps on while a rank is shared and the
-length is below the threshold. Doing so for every byte would shuffle the corpus many times over, so
-the positions are sparse: every `size`-byte string has an anchor, the least gram in it (see anchors.py),
+Doubling ranks the positions of the corpus by the strings of a length that begin there, then pairs the rank at a
+position with that at an offset, which makes the rank for a greater length; it goes on until a rank is unique or
+the length reaches the threshold. Byte positions of a corpus are too many to be sorted over and over, so the
+first ranks are sparse. Every `size`-byte string has an anchor, the least gram in it (see anchors.py),
 and equal strings have it at the same distance from their start. A row is an anchor with the range of
-distances at which strings belong to it. Its rank at a length is a hash of what all its strings share
-(the core); its identity is a hash of all bytes of its strings together (the whole).
+distances at which strings belong to it. Its name is a hash of what all its strings share (the core);
+the whole is a hash of all bytes of its strings together.
 
  * A core that occurs once: none of the row's strings repeats. The row is unique and is done.
  * A whole that occurs earlier: all of the row's strings do. Their bytes are removed, the row is done.
- * Otherwise the range is cut into smaller ones, whose cores are longer: 24, 69, 93 and then `size` bytes.
+ * Otherwise the range is cut into blocks of at most BLOCK distances, whose cores are longer.
 
-At a length of `size` a row is one string and its core is its whole, so the answer is exact (up to 64-bit
-hashes of what is compared). Tasks settle repeated wholes among their own rows before they shuffle any, so
-a passage in a third of all documents sends few rows; core counts are pre-aggregated and joined back.
+This is done for cores of GRAM and then of `size` - BLOCK + 1 bytes. What is left are a few positions in a hundred, and
+these are doubled one by one: Spark sorts the pairs of names of two strings of a quarter of the size and ranks those that
+occur twice, drops the positions whose pair is their own, ranks the halves at the offset in the same way, and
+sorts the pairs of ranks, which stand for strings of the whole size. The answer is exact, up to 64-bit hashes of what is named. Tasks settle repeated wholes among their own rows before they shuffle any, so a passage in
+a third of all documents sends few rows; counts are pre-aggregated and joined back by joins that Spark can split.
 """
 
 from __future__ import annotations
@@ -22,19 +25,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .anchors import prefix_sums, stretch, window_anchors
-from .common import materialise, plain, text_slices
+from .common import discard, materialise, plain, text_slices
 from .wordhash import mix
 
 GRAM = 24
-#: Distances in a row's range after each cut; a core is `size` less this plus one bytes.
-WIDTHS = (32, 8, 1)
+#: Distances in a block's range; its core is `size` less this plus one bytes.
+BLOCK = 32
 #: Rows that a task holds to settle repeats among them.
-HELD = 200_000
+HELD = 100_000
+#: Bytes of text or context that a task works on at once.
+SLICE = 1 << 18
 
 _ROW = "removed boolean, core long, whole long, doc long, at int, near int, far int"
 _FIELDS = ("core", "whole", "doc", "at", "near", "far")
@@ -104,7 +110,7 @@ def _anchored(source: DataFrame, size: int) -> DataFrame:
             return _batch(rows, *_settle(rows, size))
 
         for batch in batches:
-            for part, data, at in text_slices(batch):
+            for part, data, at in text_slices(batch, SLICE):
                 total = prefix_sums(data)
                 row, anchor, first, last = window_anchors(total, at, size, GRAM)
                 if not len(row):
@@ -135,7 +141,7 @@ def _packed(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(pack, "doc long, packed binary")
 
 
-def _with_context(source: DataFrame, rows: DataFrame, size: int) -> DataFrame:
+def _with_context(packed: DataFrame, rows: DataFrame, size: int) -> DataFrame:
     """The rows with the bytes of their strings."""
     by_doc = rows.groupBy("doc").agg(F.collect_list(F.struct("at", "near", "far")).alias("anchors"))
 
@@ -143,49 +149,105 @@ def _with_context(source: DataFrame, rows: DataFrame, size: int) -> DataFrame:
         import zstandard
 
         unpack = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
-            anchors = batch.column(2)
-            items = anchors.flatten()
-            at, near, far = (items.field(k).to_numpy(zero_copy_only=False) for k in range(3))
-            counts = np.diff(anchors.offsets.to_numpy())
-            whole = batch.column(1).to_pylist()
-            context, k = [], 0
-            for i, n in enumerate(counts.tolist()):
-                text = unpack(whole[i]) if n else b""
-                context += [text[a - f : a - c + size] for a, c, f in zip(at[k : k + n].tolist(), near[k : k + n].tolist(), far[k : k + n].tolist())]
-                k += n
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), counts)), pa.array(at), pa.array(near), pa.array(far), pa.array(context, pa.binary())], ["doc", "at", "near", "far", "context"])
-
-    return source.join(by_doc, "doc").select("doc", "packed", "anchors").mapInArrow(cut, "doc long, at int, near int, far int, context binary")
+        doc, at, near, far, context, held = [], [], [], [], [], 0
 
+        def out() -> pa.RecordBatch:
+            made = [pa.array(doc, pa.int64()), *[pa.array(x, pa.int32()) for x in (at, near, far)], pa.array(context, pa.binary())]
+            for x in (doc, at, near, far, context):
+                x.clear()
+            return pa.RecordBatch.from_arrays(made, ["doc", "at", "near", "far", "context"])
 
-def _finer(rows: DataFrame, size: int, width: int) -> DataFrame:
-    """Rows cut at multiples of `width` distances, with the core and the whole of each part."""
-    core_size = size - width + 1
+        for batch in batches:
+            for i in range(batch.num_rows):
+                text, anchors = unpack(batch.column(1)[i].as_py()), batch.column(2)[i].values
+                for a, c, f in zip(*[anchors.field(k).to_pylist() for k in range(3)]):
+                    doc.append(batch.column(0)[i].as_py())
+                    at.append(a)
+                    near.append(c)
+                    far.append(f)
+                    context.append(text[a - f : a - c + size])
+                    held += len(context[-1])
+                    if held > SLICE:
+                        yield out()
+                        held = 0
+        yield out()
+
+    return packed.join(by_doc, "doc").select("doc", "packed", "anchors").mapInArrow(cut, "doc long, at int, near int, far int, context binary")
+
+
+def _context_slices(batches: Iterator[pa.RecordBatch], place: int) -> Iterator[tuple[dict[str, np.ndarray], list[bytes], np.ndarray]]:
+    """(doc, at, near and far; contexts; where each begins in all of them) of runs of rows whose contexts, column `place`, have about SLICE bytes."""
+    for batch in batches:
+        sizes = pa.compute.binary_length(batch.column(place)).to_numpy(zero_copy_only=False)
+        piece = np.cumsum(sizes) // SLICE
+        for lo, hi in zip(first := np.flatnonzero(np.diff(piece, prepend=-1)).tolist(), [*first[1:], batch.num_rows]):
+            part = batch.slice(lo, hi - lo)
+            columns = {k: part.column(part.schema.get_field_index(k)).to_numpy(zero_copy_only=False) for k in ("doc", "at", "near", "far")}
+            yield columns, part.column(place).to_pylist(), np.cumsum(sizes[lo:hi], dtype=np.int64) - sizes[lo:hi]
+
+
+def _blocks(rows: DataFrame, size: int) -> DataFrame:
+    """Rows cut at multiples of BLOCK distances, with the core and the whole of each part."""
+    core_size = size - BLOCK + 1
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 10_000):
-                part = batch.slice(lo, 10_000)
-                doc, at, near, far = (part.column(k).to_numpy(zero_copy_only=False) for k in range(4))
-                texts = part.column(4).to_pylist()
-                ends = np.cumsum([0, *map(len, texts)])
-                data = np.frombuffer(b"".join(texts), np.uint8)
-                total = prefix_sums(data)
-                block, last = near // width, far // width
-                n = last - block + 1
-                of = np.repeat(np.arange(len(n)), n)
-                b = block[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-                low, high = np.maximum(near[of], b * width), np.minimum(far[of], b * width + width - 1)
-                zero = ends[of] + far[of]  # where the anchor is
-                core = zero - b * width  # all strings of the block hold the bytes from here on, core_size of them
-                rows = {"core": stretch(total, core, core + core_size), "whole": stretch(total, zero - high, zero - low + size), "doc": doc[of], "at": at[of], "near": low, "far": high}
-                context = [texts[i][f - h : f - c + size] for i, f, h, c in zip(of.tolist(), far[of].tolist(), high.tolist(), low.tolist())]
-                yield _batch(rows, *_settle(rows, size), context)
+        for r, texts, begin in _context_slices(batches, 4):
+            total = prefix_sums(np.frombuffer(b"".join(texts), np.uint8))
+            block = r["near"] // BLOCK
+            n = r["far"] // BLOCK - block + 1
+            of = np.repeat(np.arange(len(n)), n)
+            b = block[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+            low, high = np.maximum(r["near"][of], b * BLOCK), np.minimum(r["far"][of], b * BLOCK + BLOCK - 1)
+            zero = begin[of] + r["far"][of]  # where the anchor is
+            core = zero - b * BLOCK  # all strings of the block hold the bytes from here on, core_size of them
+            rows = {"core": stretch(total, core, core + core_size), "whole": stretch(total, zero - high, zero - low + size), "doc": r["doc"][of], "at": r["at"][of], "near": low, "far": high}
+            context = [texts[i][f - h : f - c + size] for i, f, h, c in zip(of.tolist(), r["far"][of].tolist(), high.tolist(), low.tolist())]
+            yield _batch(rows, *_settle(rows, size), context)
 
     return rows.mapInArrow(cut, _ROW + ", context binary")
 
 
+def _positions(blocks: DataFrame, size: int) -> DataFrame:
+    """(doc, start, a, b, c, d): a row for every string of the blocks.
+
+    a to d: names of the strings of a quarter of the size that begin there and at the offsets at which two of them make a half,
+    and of those that make the other half.
+    """
+    half = -(-size // 2)
+    quarter = -(-half // 2)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r, texts, begin in _context_slices(batches, 4):
+            total = prefix_sums(np.frombuffer(b"".join(texts), np.uint8))
+            n = (r["far"] - r["near"] + 1).astype(np.int64)
+            of = np.repeat(np.arange(len(n)), n)
+            step = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+            start = ((r["at"] - r["far"])[of] + step).astype(np.int32)
+            names = [stretch(total, x, x + quarter) for x in (begin[of] + step + offset for offset in (0, half - quarter, size - half, size - quarter))]
+            yield pa.RecordBatch.from_arrays([pa.array(r["doc"][of]), pa.array(start), *map(pa.array, names)], ["doc", "start", *"abcd"])
+
+    return blocks.select("doc", "at", "near", "far", "context").mapInArrow(spread, "doc long, start int, a long, b long, c long, d long")
+
+
+def _reranked(rows: DataFrame, a: str, b: str, rank: str) -> DataFrame:
+    """The rows whose pair (a, b) another row has as well, with its rank among the sorted pairs instead of it."""
+    pairs = materialise(rows.groupBy(a, b).count().where("count > 1").orderBy(a, b).select(a, b, F.monotonically_increasing_id().alias(rank)))
+    out = materialise(rows.join(pairs, [a, b]).drop(a, b))
+    discard(pairs)
+    return out
+
+
+def _doubled(blocks: DataFrame, size: int) -> DataFrame:
+    """(doc, start) of the strings of the blocks that start earlier as well."""
+    first = _reranked(_positions(blocks, size), "a", "b", "left")  # by the first half, from names of its quarters
+    both = _reranked(first, "c", "d", "right")  # by the half at the offset; what was unique is gone
+    discard(first)
+    firsts = materialise(both.groupBy("left", "right").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    out = materialise(both.join(firsts, ["left", "right"]).where(F.struct("doc", "start") != F.col("first")).select("doc", "start"))
+    discard(both, firsts)
+    return out
+
+
 def _again(rows: DataFrame) -> DataFrame:
     """Mark the rows whose whole occurs earlier. Tasks have settled their own, so a whole has at most a row a task."""
     by = Window.partitionBy("core", "whole", "near", "far").orderBy("doc", "at")
@@ -198,30 +260,35 @@ def _shared(rows: DataFrame) -> DataFrame:
     return rows.join(cores, "core")
 
 
+def _ranges(rows: DataFrame, removed: Column, start: Column, stop: Column) -> DataFrame:
+    return rows.where(removed).select("doc", start.alias("start"), stop.alias("stop"))
+
+
 def repeated_stretches(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 100) -> DataFrame:
     """(doc, start, stop): stretches of bytes that are covered by strings of `size` bytes that start earlier; they may overlap."""
-    if not max(WIDTHS) + GRAM <= size < 128 + GRAM:
-        raise ValueError(f"size must be from {max(WIDTHS) + GRAM} to {127 + GRAM}")
     source = plain(docs, id_col, text_col).toDF("doc", "text").where("doc is not null").withColumn("doc", F.col("doc").cast("long"))
-    all_rows = materialise(_anchored(source, size))
-    stretches = [all_rows.where("removed").select("doc", F.col("near").alias("start"), F.col("far").alias("stop"))]
-    covered = lambda rows: rows.where("again").select("doc", (F.col("at") - F.col("far")).alias("start"), (F.col("at") - F.col("near") + size).alias("stop"))
-    ranked = _again(_shared(all_rows.where("not removed").drop("removed")))
-    stretches.append(covered(ranked))
-    open_rows = _shared(ranked.where("not again")).select("doc", "at", "near", "far")
-    open_rows = _with_context(_packed(source), open_rows, size)
-    for width in WIDTHS:
-        cut = materialise(_finer(open_rows, size, width))
-        stretches.append(cut.where("removed").select("doc", F.col("near").alias("start"), F.col("far").alias("stop")))
-        cut = cut.where("not removed").drop("removed")
-        ranked = _again(_shared(cut) if width > 1 else cut.drop("context"))
-        stretches.append(covered(ranked))
-        if width > 1:
-            open_rows = ranked.where("not again").select("doc", "at", "near", "far", "context")
-    out = stretches[0]
-    for more in stretches[1:]:
-        out = out.union(more)
-    return out
+    return _stretches(source, _packed(source), size)
+
+
+def _stretches(source: DataFrame, packed: DataFrame, size: int) -> DataFrame:
+    if not BLOCK + GRAM <= size < 128 + GRAM:
+        raise ValueError(f"size must be from {BLOCK + GRAM} to {127 + GRAM}")
+    settled = lambda rows: _ranges(rows, F.col("removed"), F.col("near"), F.col("far"))
+    covered = lambda rows: _ranges(rows, F.col("again"), F.col("at") - F.col("far"), F.col("at") - F.col("near") + size)
+    anchored = materialise(_anchored(source, size))
+    ranked = _again(_shared(anchored.where("not removed").drop("removed")))
+    stretches = [materialise(settled(anchored).union(covered(ranked)))]
+    discard(anchored)
+    blocks = materialise(_blocks(_with_context(packed, _shared(ranked.where("not again")).select("doc", "at", "near", "far"), size), size))
+    discard(ranked)
+    ranked = _again(_shared(blocks.where("not removed").drop("removed")))
+    stretches.append(materialise(settled(blocks).union(covered(ranked))))
+    discard(blocks)
+    left = materialise(_shared(ranked.where("not again")).select("doc", "at", "near", "far", "context"))
+    discard(ranked)
+    again = _doubled(left, size)
+    discard(left)
+    return stretches[0].union(stretches[1]).union(again.select("doc", "start", (F.col("start") + size).alias("stop")))
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 100) -> DataFrame:
@@ -234,9 +301,9 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     repeat an id are one document, whose earlier copy they aren't: none is removed for the other. An empty
     table gives an empty result; other columns are ignored; very long texts are treated whole.
     """
-    found = repeated_stretches(docs, id_col=id_col, text_col=text_col, size=size)
-    by_doc = found.groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("found"))
     source = plain(docs, id_col, text_col).toDF("doc", "text").withColumn("doc", F.col("doc").cast("long"))
+    packed = _packed(source)
+    by_doc = _stretches(source.where("doc is not null"), packed, size).groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("found"))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,22 +311,32 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
         unpack = zstandard.ZstdDecompressor().decompress
         span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+        doc, kept, spans, held = [], [], [], 0
+
+        def out() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(kept, pa.binary()), pa.array(spans, span)], ["doc_id", "kept", "spans"])
+            for x in (doc, kept, spans):
+                x.clear()
+            return made
+
         for batch in batches:
-            kept, spans = [], []
-            for packed, found in zip(batch.column(1), batch.column(2)):
-                text = unpack(packed.as_py())
-                if not found.is_valid:
-                    kept.append(text)
-                    spans.append([])
-                    continue
-                pairs = np.column_stack([found.values.field(k).to_numpy(zero_copy_only=False) for k in range(2)])
-                pairs = merged(np.zeros(len(pairs), np.int64), pairs[:, 0], np.minimum(pairs[:, 1], len(text)))[:, 1:].tolist()
+            for i in range(batch.num_rows):
+                text, found = unpack(batch.column(1)[i].as_py()), batch.column(2)[i]
+                pairs = []
+                if found.is_valid:
+                    pairs = np.column_stack([found.values.field(k).to_numpy(zero_copy_only=False) for k in range(2)])
+                    pairs = merged(np.zeros(len(pairs), np.int64), pairs[:, 0], np.minimum(pairs[:, 1], len(text)))[:, 1:].tolist()
                 ends = [0, *[x for p in pairs for x in p], len(text)]
+                doc.append(batch.column(0)[i].as_py())
                 kept.append(b"".join(text[a:b] for a, b in zip(ends[::2], ends[1::2])))
                 spans.append([{"start": a, "stop": b} for a, b in pairs])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary()), pa.array(spans, span)], ["doc_id", "kept", "spans"])
+                held += len(text)
+                if held > SLICE:
+                    yield out()
+                    held = 0
+        yield out()
 
-    out = _packed(source).join(by_doc, "doc", "left").select("doc", "packed", "found").mapInArrow(cut, "doc_id long, kept binary, spans array<struct<start:bigint,stop:bigint>>")
+    out = packed.join(by_doc, "doc", "left").select("doc", "packed", "found").mapInArrow(cut, "doc_id long, kept binary, spans array<struct<start:bigint,stop:bigint>>")
     return out.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
