@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task handles at once; bounds the temporary arrays of a batch.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 
 #: Spark's own settings while a table is written: shuffle files go when it is there, and tasks hand Python at most so many rows at once.

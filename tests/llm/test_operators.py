@@ -241,6 +241,26 @@ def test_packing(spark):
     assert sum(1 for parts in sequences.values() if sum(n for _, n in parts) < 1024) <= shards
 
 
+def test_layout_is_the_same_for_any_partitions(spark):
+    texts = [*corpus(4, 80), *corpus(5, 80)]
+    docs = make(spark, texts + texts[:5], [*range(len(texts)), *range(5)])
+    layouts = [sorted(map(str, packing.pack(docs.repartition(n), shard_bytes=8_000).collect())) for n in (1, 7)]
+    assert layouts[0] == layouts[1] and len(layouts[0]) > 150
+
+
+def test_copies_share_a_shard_and_hot_cells_are_cut(spark):
+    rng = random.Random(3)
+    topics = [[f"{c}{i}" for i in range(60)] for c in ("ka", "lo", "mi", "ne")]
+    texts = [" ".join(rng.choices(topics[k % 4], k=80)) for k in range(160)] + ["ka1 lo2 mi3 " * 30] * 200
+    shards = {}
+    for r in packing.pack(make(spark, texts), shard_bytes=10_000).collect():
+        shards.setdefault(r["sequence_id"] >> 32, set()).add(r["doc_id"])
+    size = lambda ids: sum(len(texts[i]) + 1 for i in ids)
+    assert len(shards) > 6 and max(map(size, shards.values())) < 20_000
+    together = [len({i % 4 for i in ids if i < 160}) for ids in shards.values() if any(i < 160 for i in ids)]
+    assert sum(together) / len(together) < 2.5
+
+
 def test_packing_takes_near_documents_first():
     rng = np.random.default_rng(0)
     topics = [np.concatenate([1000 + 20 * t + np.arange(20), rng.integers(0, 50, 23)]).astype(np.uint16) for t in [0, 1, 2, 3] * 6]
