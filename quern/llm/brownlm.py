@@ -1,7 +1,10 @@
 """Class-based n-gram scoring: exchange clustering, class transitions and word emissions.
 
-The most frequent words of the training rows are assigned to classes so that the classes' bigrams tell
-most of each other (the exchange criterion); every other word belongs to a class by its length. A text's
+All words of a table of the most frequent ones are assigned to classes so that the classes' bigrams tell
+most of each other (the exchange criterion). The few most frequent are exchanged one by one from their bigrams. For
+the whole table, each sweep is a Spark job: tasks count the classes on both sides of every word, the
+counts are summed by word, and the words' partitions decide on moves against the class-by-class table, which is all
+that is broadcast. Words beyond the table, which are the rarest, belong to classes by their length. A text's
 probability is the product of class transitions and of words within their classes, both smoothed.
 
 Counts cover all training rows. The counts of up to `table_size` most frequent words go to every task, a
@@ -17,10 +20,11 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_remainder, materialise, plain, text_slices
+from .common import discard, fold_remainder, materialise, plain, text_slices
 
 #: Not a word, since it is white space: the end of a text.
 END = b"\n"
@@ -73,29 +77,61 @@ def word_counts(docs: DataFrame, text_col: str = "text", flush: int = 300_000) -
     return source.mapInArrow(count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def class_bigrams(docs: DataFrame, vocabulary: dict[bytes, int], text_col: str = "text") -> np.ndarray:
-    """Counts of neighbouring tokens over all rows; 0: the end, then words by length, then the vocabulary."""
-    source, n = plain(docs, text_col).toDF("text"), _FIXED + len(vocabulary)
-    shared = docs.sparkSession.sparkContext.broadcast({**vocabulary, END: -_FIXED})
+def encode_words(docs: DataFrame, table: dict[bytes, int], *, id_col: str = "doc_id", text_col: str = "text", flag: Column | None = None) -> DataFrame:
+    """(row, doc_id, flag, ids, rare): tokens as 32-bit numbers; below _FIXED: the end or a length of a word outside the table, and these words with their counts."""
+    source = plain(docs, id_col, text_col).toDF("doc_id", "text").withColumn("row", F.monotonically_increasing_id()).withColumn("flag", F.lit(True) if flag is None else flag)
+    shared = docs.sparkSession.sparkContext.broadcast(table)  # bounded by the table's size and WORD_BYTES
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, get = np.zeros(n * n, np.int64), shared.value.get
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get = {**shared.value, END: -_FIXED}.get
         for batch in batches:
-            for _, data, at in text_slices(batch):
-                found, _ = _slice_tokens(data, at)
-                ids = _FIXED + np.fromiter(map(get, found, repeat(-_FIXED - 1)), np.int64, len(found))
-                other = ids < 0
-                ids[other] = _by_length(np.fromiter(map(len, found), np.int64, len(found))[other])
-                code = np.concatenate([[0], ids[:-1]]) * n + ids
-                values, counts = np.unique(code, return_counts=True)
-                held[values] += counts
+            for rows, data, at in text_slices(batch):
+                found, n = _slice_tokens(data, at)
+                ids = _FIXED + np.fromiter(map(get, found, repeat(-_FIXED - 1)), np.int32, len(found))
+                outside = np.flatnonzero(ids < 0)
+                ids[outside] = _by_length(np.fromiter(map(len, map(found.__getitem__, outside.tolist())), np.int32, len(outside)))
+                ends = np.cumsum(n)
+                cut = np.searchsorted(outside, np.concatenate([[0], ends]))
+                held = [list(Counter(map(found.__getitem__, outside[a:b].tolist())).items()) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
+                pairs = [p for h in held for p in h]
+                words = pa.StructArray.from_arrays([pa.array([w for w, _ in pairs], pa.binary()), pa.array([k for _, k in pairs], pa.int32())], names=["word", "k"])
+                offsets = pa.array(np.cumsum([0, *map(len, held)]).astype(np.int32))
+                numbers = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((4 * np.concatenate([[0], ends])).astype(np.int32)), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([rows.column(2), rows.column(0), rows.column(3), numbers, pa.ListArray.from_arrays(offsets, words)], ["row", "doc_id", "flag", "ids", "rare"])
+
+    kind = source.schema["doc_id"].dataType.simpleString()
+    return materialise(source.mapInArrow(encoded, f"row long, doc_id {kind}, flag boolean, ids binary, rare array<struct<word:binary,k:int>>"), compression="zstd")
+
+
+def _pairs(batches: Iterator[pa.RecordBatch], column: int, tokens_at_once: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(number of the token before, number of the token) of runs of rows; an end is before a row's first token."""
+    for batch in batches:
+        held, size = [], 0
+        for k, row in enumerate(batch.column(column)):
+            held.append(np.frombuffer(row.as_buffer(), np.int32))
+            size += len(held[-1])
+            if size >= tokens_at_once or k + 1 == batch.num_rows:
+                ids = np.concatenate(held)
+                yield np.concatenate([[0], ids[:-1]]), ids  # the last token of a row is the end, so the first one's is before it
+                held, size = [], 0
+
+
+def class_bigrams(encoded: DataFrame, class_of: np.ndarray, classes: int) -> np.ndarray:
+    """Counts of neighbouring classes over all rows of `ids`; class_of: by number of the token."""
+    shared = encoded.sparkSession.sparkContext.broadcast(class_of)
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, of = np.zeros(classes * classes, np.int64), shared.value
+        for before, here in _pairs(batches, 0):
+            values, counts = np.unique(of[before] * classes + of[here], return_counts=True)
+            held[values] += counts
         seen = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(held[seen])], ["pair", "c"])
 
-    out = np.zeros(n * n)
-    found = source.mapInArrow(pairs, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")).toArrow()  # at most n * n numbers
+    out = np.zeros(classes * classes)
+    found = encoded.select("ids").mapInArrow(pairs, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")).toArrow()  # at most classes * classes numbers
     out[found.column("pair").to_numpy()] = found.column("c").to_numpy()
-    return out.reshape(n, n)
+    return out.reshape(classes, classes)
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -149,13 +185,81 @@ def exchange_classes(bigrams: np.ndarray, classes: int, sweeps: int = 4) -> np.n
     return of
 
 
+def _moved(here: np.ndarray, right: np.ndarray, left: np.ndarray, joint: np.ndarray, size: np.ndarray, may: np.ndarray) -> np.ndarray:
+    """The class that is best for each word by the exchange criterion, all others staying where they are.
+
+    right, left: by word, counts of the classes behind and before it; here: its class. A word with itself is not told apart from its class.
+    """
+    out, mass = here.copy(), right.sum(axis=1)
+    for w in np.flatnonzero(may).tolist():
+        r, l, a = right[w], left[w], here[w]
+        table, sizes = joint, size
+        if a >= _FIXED:  # the word leaves its class before it looks for one
+            table, sizes = joint.copy(), size.copy()
+            table[a] -= r
+            table[:, a] -= l
+            np.maximum(table, 0, out=table)
+            sizes[a] -= mass[w]
+        to, from_ = np.flatnonzero(r), np.flatnonzero(l)
+        part, across = table[_FIXED:, to], table[from_, _FIXED:]
+        gain = (_xlogx(part + r[to]) - _xlogx(part)).sum(axis=1) + (_xlogx(across + l[from_, None]) - _xlogx(across)).sum(axis=0)
+        gain -= 2 * (_xlogx(sizes[_FIXED:] + mass[w]) - _xlogx(sizes[_FIXED:]))
+        best = int(np.argmax(gain))
+        if a < _FIXED or gain[best] > gain[a - _FIXED] + 1e-9:
+            out[w] = _FIXED + best
+    return out
+
+
+def sweep_classes(encoded: DataFrame, class_of: np.ndarray, total: int, turn: int) -> np.ndarray:
+    """One sweep of the exchange over the whole table; class_of: by number of the token, `total` classes.
+
+    Words that are still in a class by length all get a class. Of the others a half may move in a sweep, so that words
+    that suit each other don't change places for ever.
+    """
+    spark, n = encoded.sparkSession, len(class_of)
+    shared = spark.sparkContext.broadcast(class_of)
+    names = [f"r{c}" for c in range(total)] + [f"l{c}" for c in range(total)]
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = shared.value
+        held = np.zeros((n, 2 * total), np.int32)
+        flat = held.reshape(-1)
+        for before, here in _pairs(batches, 0):
+            for code in (before.astype(np.int64) * 2 * total + of[here], here.astype(np.int64) * 2 * total + total + of[before]):
+                values, counts = np.unique(code, return_counts=True)
+                flat[values] += counts.astype(np.int32)
+        seen = _FIXED + np.flatnonzero(held[_FIXED:].any(axis=1))
+        for lo in range(0, len(seen), 5_000):
+            part = seen[lo : lo + 5_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part), *[pa.array(held[part, k].astype(np.int64)) for k in range(2 * total)]], ["word", *names])
+
+    by_word = materialise(encoded.select("ids").mapInArrow(counted, "word long, " + ", ".join(f"{c} long" for c in names)).groupBy("word").agg(*[F.sum(c).alias(c) for c in names]))
+    joint = spark.sparkContext.broadcast(class_bigrams(encoded, class_of, total))
+
+    def decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, of = joint.value, shared.value
+        for batch in batches:
+            if batch.num_rows:
+                word = batch.column(0).to_numpy()
+                counts = np.column_stack([c.to_numpy() for c in batch.columns[1:]]).astype(float)
+                may = (of[word] < _FIXED) | ((word // 7 + turn) % 2 == 0)
+                best = _moved(of[word], counts[:, :total], counts[:, total:], table, table.sum(axis=0), may)
+                yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(best)], ["word", "class"])
+
+    out = class_of.copy()
+    found = materialise(by_word.mapInArrow(decided, "word long, class long"))
+    moved = found.toArrow()  # a row a word of the table
+    out[moved.column("word").to_numpy()] = moved.column("class").to_numpy()
+    discard(by_word, found)
+    return out
+
+
 @dataclass
 class BrownModel:
-    """Log probabilities (base 10); `table` gives a word's place among the most frequent ones."""
+    """Log probabilities (base 10), by number of the token: the end, words outside the table by length, then the table."""
 
-    table: dict[bytes, int]
-    counts: np.ndarray  # of the table's words, then the end's
-    class_of: np.ndarray  # of the clustered words
+    counts: np.ndarray  # of the end and of the table's words; 0 for lengths
+    class_of: np.ndarray
     step: np.ndarray  # class to class
     class_mass: np.ndarray  # tokens by class, and for classes by length also types and one unseen
     train_tokens: int
@@ -165,6 +269,12 @@ class BrownModel:
     def base_mass(self) -> float:
         return float(np.log10(self.train_tokens + self.types + 1))
 
+    def emissions(self) -> np.ndarray:
+        """log10 of the probability of each token within its class; of words outside the table without their own count."""
+        out = np.log10(np.where(self.class_of < _FIXED, self.counts + 1, self.counts)) - self.class_mass[self.class_of]
+        out[0] = 0.0  # the only word of its class
+        return out
+
 
 def frequent_words(counts: DataFrame, most: int) -> pa.Table:
     """At most `most` of the most frequent words, the most frequent first.
@@ -183,92 +293,77 @@ def frequent_words(counts: DataFrame, most: int) -> pa.Table:
     return kept.select("word", "c").toArrow().sort_by([("c", "descending"), ("word", "ascending")])
 
 
-def fit_brown(train: DataFrame, counts: DataFrame, *, text_col: str = "text", table_size: int = 200_000, clustered: int = 1_000, classes: int = 40, weight: float = 0.9) -> BrownModel:
-    """The model of the training rows, given their word_counts().
+def fit_brown(encoded: DataFrame, counts: DataFrame, top: pa.Table, ends: int, *, clustered: int = 1_000, classes: int = 40, sweeps: int = 3, weight: float = 0.9) -> BrownModel:
+    """The model of the training rows, encode_words() by the table `top`, given their word_counts() and their number.
 
-    table_size, clustered, classes: bounds of what the driver and the tasks hold, whatever the corpus.
+    clustered: words that are exchanged one by one, to begin with; sweeps: over the whole table.
     weight: of the class bigrams against the class shares in the transitions.
     """
-    top = frequent_words(counts, table_size)
-    words, c = top.column("word").to_pylist(), top.column("c").to_numpy()
-    clustered = min(clustered, len(words))
-    end = train.count()
-    bigrams = class_bigrams(train, {w: i for i, w in enumerate(words[:clustered])}, text_col)
-    of = exchange_classes(bigrams, max(1, min(classes, clustered)))
-    total = int(of.max()) + 1 if clustered else _FIXED
-    one_hot = np.zeros((len(of), total))
-    one_hot[np.arange(len(of)), of] = 1
-    joint, mass = one_hot.T @ bigrams @ one_hot, one_hot.T @ bigrams.sum(axis=0)
+    lengths, c = pa.compute.binary_length(top.column("word")).to_numpy(), top.column("c").to_numpy()
+    first = min(clustered, len(c))
+    class_of = np.concatenate([np.arange(_FIXED), _by_length(lengths)]).astype(np.int64)
+    if first:
+        alone = class_of.copy()
+        alone[_FIXED : _FIXED + first] = _FIXED + np.arange(first)
+        of = exchange_classes(class_bigrams(encoded, alone, _FIXED + first), max(1, min(classes, first)))
+        total = int(of.max()) + 1
+        class_of[_FIXED : _FIXED + first] = of[_FIXED:]
+        for turn in range(sweeps if len(c) > first else 0):
+            class_of = sweep_classes(encoded, class_of, total, turn)
+    else:
+        total = _FIXED
+    joint = class_bigrams(encoded, class_of, total)
+    mass = joint.sum(axis=0)
     share = (mass + 1) / (mass.sum() + total)
     step = weight * joint / np.maximum(joint.sum(axis=1, keepdims=True), 1) + (1 - weight) * share
     step = np.where(joint.sum(axis=1, keepdims=True) > 0, step, share)
     length = F.lit(1) + F.floor(F.least(F.octet_length("word"), F.lit(2 * _LENGTHS - 1)) / 2).cast("int")
     kinds = counts.groupBy(length.alias("kind")).agg(F.count("*").alias("types"), F.sum("c").alias("c")).collect()  # one row a length class
-    types, tokens_in = 0, 0
     class_mass = np.maximum(mass, 1.0)
     class_mass[1:_FIXED] = 1.0
     for r in kinds:
         class_mass[r["kind"]] += r["types"] + r["c"]
-        types, tokens_in = types + r["types"], tokens_in + r["c"]
-    for w, k in zip(words[:clustered], c[:clustered]):
-        class_mass[_by_length(np.array(len(w)))] -= k + 1
-    return BrownModel({w: i for i, w in enumerate(words)}, np.concatenate([c, [end]]).astype(float), of[_FIXED:], np.log10(step), np.log10(class_mass), tokens_in + end, types + (end > 0))
+    moved = class_of[_FIXED:] >= _FIXED  # these have left the classes by length
+    np.subtract.at(class_mass, _by_length(lengths[moved]), c[moved] + 1.0)
+    types, tokens_in = sum(r["types"] for r in kinds), sum(r["c"] for r in kinds)
+    return BrownModel(np.concatenate([[ends], np.zeros(_FIXED - 1), c]).astype(float), class_of, np.log10(step), np.log10(class_mass), tokens_in + ends, types + (ends > 0))
 
 
-def score_texts(docs: DataFrame, model: BrownModel, counts: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, n_known, base_score, score, perplexity): one row per input row, of the whole text.
+def score_texts(encoded: DataFrame, model: BrownModel, counts: DataFrame) -> DataFrame:
+    """(doc_id, flag, n_tokens, n_known, base_score, score, perplexity): one row per row of encode_words(), of the whole text.
 
     base_score: add-one unigrams; score: the class model; both log10 of the text's probability.
     """
-    source = plain(docs, id_col, text_col).toDF("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
-    model_of = docs.sparkSession.sparkContext.broadcast(model)  # bounded by table_size, WORD_BYTES and the classes
+    model_of = encoded.sparkSession.sparkContext.broadcast(model)  # bounded by the table and the classes
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model_of.value
-        get = {**m.table, END: len(m.counts) - 1}.get
-        log_count = np.log10(m.counts + 1)
-        clustered, last = len(m.class_of), len(m.counts) - 1
+        emit, log_count, known = m.emissions(), np.log10(m.counts + 1), m.counts > 0
+        log_count[1:_FIXED] = 0.0  # of words outside the table it is added later
         for batch in batches:
-            for rows, data, at in text_slices(batch):
-                found, n = _slice_tokens(data, at)
-                ids = np.fromiter(map(get, found, repeat(-1)), np.int64, len(found))
-                rare, end = ids < 0, ids == last
-                sizes = np.fromiter(map(len, found), np.int64, len(found))
-                kind = np.where(end, 0, _by_length(sizes))
-                in_class = (ids >= 0) & (ids < clustered) & ~end
-                kind[in_class] = m.class_of[ids[in_class]]
-                count = np.where(rare, 0.0, log_count[ids])  # of rare words it is added later
-                smooth = np.where(in_class, np.log10(np.maximum(m.counts[ids], 1)), count)
-                smooth[end] = 0.0  # the only word of its class
-                emit = np.where(end, 0.0, smooth - m.class_mass[kind])
-                step = m.step[np.concatenate([[0], kind[:-1]]), kind]
-                first = np.cumsum(n) - n
-                total = lambda x, f=first: np.add.reduceat(x, f)
-                known = total((~rare & (m.counts[ids] > 0)).astype(np.int64))
-                base = total(count) - n * m.base_mass
-                held: list[list[tuple[bytes, int]]] = [[] for _ in n]
-                at_rare = np.flatnonzero(rare)
-                doc = np.searchsorted(first, at_rare, side="right") - 1
-                cut = np.searchsorted(doc, np.arange(len(n) + 1))
-                for i in np.flatnonzero(np.diff(cut)):
-                    held[i] = list(Counter(map(found.__getitem__, at_rare[cut[i] : cut[i + 1]].tolist())).items())
-                ends = np.concatenate([[0], np.cumsum([len(h) for h in held])]).astype(np.int32)
-                pairs = [p for h in held for p in h]
-                words = pa.StructArray.from_arrays([pa.array([w for w, _ in pairs], pa.binary()), pa.array([k for _, k in pairs], pa.int32())], names=["word", "k"])
-                yield pa.RecordBatch.from_arrays([rows.column(2), rows.column(0), pa.array(n), pa.array(known), pa.array(base), pa.array(total(emit + step)), pa.ListArray.from_arrays(pa.array(ends), words)], ["row", "doc_id", "n_tokens", "n_known", "base", "model", "rare"])
-
-    kind = source.schema["doc_id"].dataType.simpleString()
-    near = materialise(source.mapInArrow(scored, f"row long, doc_id {kind}, n_tokens long, n_known long, base double, model double, rare array<struct<word:binary,k:int>>"))
+            n, of_ids, ours = [], [], []
+            for ids in batch.column(3):
+                i = np.frombuffer(ids.as_buffer(), np.int32)
+                c = m.class_of[i]
+                n.append(len(i))
+                of_ids.append((int(known[i].sum()), float(log_count[i].sum()) - len(i) * m.base_mass))
+                ours.append(float((emit[i] + m.step[np.concatenate([[0], c[:-1]]), c]).sum()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int64()), pa.array([k for k, _ in of_ids], pa.int64()), pa.array([b for _, b in of_ids], pa.float64()), pa.array(ours, pa.float64()), batch.column(4)], ["row", "doc_id", "flag", "n_tokens", "n_known", "base", "model", "rare"])
+
+    kind = encoded.schema["doc_id"].dataType.simpleString()
+    near = materialise(encoded.mapInArrow(scored, f"row long, doc_id {kind}, flag boolean, n_tokens long, n_known long, base double, model double, rare array<struct<word:binary,k:int>>"))
     rare = near.where(F.size("rare") > 0).select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.k")
     later = rare.join(counts, "word").groupBy("row").agg(F.sum("k").alias("more"), F.sum(F.col("k") * F.log10(F.col("c") + 1)).alias("gain"))
     whole = near.drop("rare").join(later, "row", "left")
     gain = F.coalesce("gain", F.lit(0.0))
-    return whole.select("doc_id", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), (F.col("base") + gain).alias("base_score"), (F.col("model") + gain).alias("score")).withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
+    return whole.select("doc_id", "flag", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), (F.col("base") + gain).alias("base_score"), (F.col("model") + gain).alias("score")).withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
 
 
-def lm_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def lm_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", table_size: int = 200_000, **options) -> DataFrame:
     """Learn from the rows outside the held-out fold, score all: the form of query op7.
 
+    table_size: bound of the words that are clustered and that the driver and the tasks hold.
+
     Null texts are empty: their only token is the end. Rows without an id aren't held out and are learnt
     from. Repeated rows count and return as often as they are there; an empty table gives an empty
     result, and one without training rows scores every token as unseen. Other columns are ignored.
@@ -277,6 +372,8 @@ def lm_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     source = plain(docs, id_col, text_col).toDF("doc_id", "text")
     train = source.where(~held_out)
     counts = materialise(word_counts(train))
-    model = fit_brown(train, counts, **options)
-    scored = score_texts(source, model, counts)
-    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.train_tokens).cast("long").alias("train_tokens"), "base_score", "score", "perplexity")
+    top = frequent_words(counts, table_size)
+    encoded = encode_words(source, {w: i for i, w in enumerate(top.column("word").to_pylist())}, flag=held_out)
+    model = fit_brown(encoded.where(~F.col("flag")), counts, top, train.count(), **options)
+    scored = score_texts(encoded, model, counts)
+    return scored.select("doc_id", F.col("flag").alias("held_out"), "n_tokens", "n_known", F.lit(model.train_tokens).cast("long").alias("train_tokens"), "base_score", "score", "perplexity")

@@ -30,7 +30,7 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/quern-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame) -> DataFrame:
+def materialise(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Cut the lineage by a table in the shared folder: it survives lost executors, unlike a local checkpoint.
 
     The shuffle files that made it are removed; the table itself stays until discard().
@@ -40,7 +40,7 @@ def materialise(df: DataFrame) -> DataFrame:
     for k, v in _WHILE_WRITING.items():
         spark.conf.set(k, v)
     try:
-        df.write.parquet(path)
+        df.write.parquet(path, compression=compression)
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
