@@ -1,7 +1,9 @@
 """Toxicity by a weighted lexicon that an Aho-Corasick automaton matches in folded text.
 
 Folding takes look-alike letters, digits and signs to the letters they stand for. Hits count with their
-weight at word boundaries only, hits inside an exception phrase don't. The sum, against the text's length,
+weight at word boundaries only, hits inside an exception phrase don't. The lexicon begins with common insults, which match
+in any spelling that folds to theirs, and learns words and beginnings of words from labelled rows; since accents tell
+words of other languages apart, these match as they are written. The sum, against the text's length,
 is turned into a score by a logistic curve fitted on labelled rows.
 """
 
@@ -10,6 +12,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -18,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_remainder, labelled_sample, plain, text_slices, texts_of
+from .common import discard, fold_remainder, labelled_sample, materialise, plain, text_slices, texts_of
 
 # Common English insults, from which the lexicon starts.
 SEED_WORDS = ("idiot", "moron", "stupid", "loser", "trash", "scum", "clown", "pathetic", "worthless", "disgusting", "dumb", "fool", "jerk", "filth", "vermin", "imbecile", "bastard", "garbage")
@@ -26,10 +29,10 @@ SEED_WORDS = ("idiot", "moron", "stupid", "loser", "trash", "scum", "clown", "pa
 EXCEPTIONS = ("trash can", "trash bin", "clown fish", "class clown", "garbage collection", "garbage collector", "dumb waiter", "dumb terminal", "dumb bell", "fool proof", "sore loser", "weight loser", "jerk chicken", "stupid simple")
 # Look-alikes of Latin letters among Cyrillic and Greek ones, digits and signs.
 LOOKALIKES = {
-    "а": "a", "в": "b", "с": "c", "е": "e", "ё": "e", "н": "h", "і": "i", "ї": "i", "ј": "j", "к": "k", "м": "m", "о": "o", "р": "p", "ѕ": "s", "т": "t", "у": "y", "х": "x", "ԁ": "d", "ɡ": "g", "ӏ": "l",
+    "а": "a", "в": "b", "с": "c", "е": "e", "ё": "e", "н": "h", "і": "i", "ї": "i", "ј": "j", "к": "k", "м": "m", "о": "o", "р": "p", "ѕ": "s", "т": "t", "у": "y", "х": "x", "ԁ": "d", "ɡ": "g", "ӏ": "i",
     "α": "a", "β": "b", "ε": "e", "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ı": "i",
-    "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "l",
-}
+    "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "i", "l": "i",
+}  # fmt: skip  i, l, 1, ! and | are written for each other and fold to one letter
 
 
 def _folds() -> dict[int, str]:
@@ -58,44 +61,57 @@ def fold(text: str) -> str:
 
 @dataclass
 class Lexicon:
-    """Weights by folded word, exception phrases, and the curve from density to score."""
+    """Weights by word in any folded spelling, and by word as written or, with a * behind it, by the beginning of longer words; exception phrases; the curve from density to score."""
 
     weights: dict[str, float]
+    written: dict[str, float] = field(default_factory=dict)
     exceptions: tuple[str, ...] = EXCEPTIONS
     curve: tuple[float, float, float] = (-2.2, 4.0, 1.0)
     _automaton: object = field(default=None, repr=False, compare=False)
 
     def __getstate__(self) -> dict:
-        return {"weights": self.weights, "exceptions": self.exceptions, "curve": self.curve, "_automaton": None}
+        return {**self.__dict__, "_automaton": None}
 
     def automaton(self):
+        """Folded patterns, each with its length and what it stands for: (as written or None, begins longer words, weight or None)."""
         if self._automaton is None:
             import ahocorasick
 
-            self._automaton = ahocorasick.Automaton()
+            entries: dict[str, list] = {}
             for word, w in self.weights.items():
-                self._automaton.add_word(fold(word), (len(fold(word)), w))
+                entries.setdefault(fold(word), []).append((None, False, w))
+            for word, w in self.written.items():
+                bare = word.rstrip("*")
+                entries.setdefault(fold(bare), []).append((bare, bare != word, w))
             for phrase in self.exceptions:
-                self._automaton.add_word(fold(phrase), (len(fold(phrase)), None))
+                entries.setdefault(fold(phrase), []).append((None, False, None))
+            self._automaton = ahocorasick.Automaton()
+            for pattern, meant in entries.items():
+                self._automaton.add_word(pattern, (len(pattern), meant))
             self._automaton.make_automaton()
         return self._automaton
 
     def hits(self, text: str) -> tuple[float, int]:
-        """(sum of the weights, number of hits) of a whole text."""
-        if not self.weights and not self.exceptions:
+        """(sum of the weights, number of words hit) of a whole text; of entries that begin at one place the heaviest counts."""
+        if not (self.weights or self.written or self.exceptions):
             return 0.0, 0
         bare = lowered(text)
-        folded, found, free = bare.translate(_FOLD), [], []
-        for stop, (size, w) in self.automaton().iter(folded):
-            start = stop - size + 1
-            if (start and bare[start - 1].isalpha()) or (stop + 1 < len(bare) and bare[stop + 1].isalpha()):
+        best: dict[int, tuple[float, int]] = {}
+        free: list[tuple[int, int]] = []
+        for stop, (size, meant) in self.automaton().iter(bare.translate(_FOLD)):
+            start, end = stop - size + 1, stop + 1
+            if start and bare[start - 1].isalpha():
                 continue
-            (free if w is None else found).append((start, stop + 1, w))
-        total, n = 0.0, 0
-        for start, stop, w in found:
-            if not any(a <= start and stop <= b for a, b, _ in free):
-                total, n = total + w, n + 1
-        return total, n
+            goes_on = end < len(bare) and bare[end].isalpha()
+            for word, begins, w in meant:
+                if goes_on != begins or (word is not None and bare[start:end] != word):
+                    continue
+                if w is None:
+                    free.append((start, end))
+                elif w > best.get(start, (0.0, 0))[0]:
+                    best[start] = w, end
+        found = [w for start, (w, end) in best.items() if not any(a <= start and end <= b for a, b in free)]
+        return float(sum(found)), len(found)
 
     def features(self, text: str) -> tuple[float, float]:
         """The weight in all, and by the square root of the length in hundreds of characters; both damped."""
@@ -108,39 +124,67 @@ class Lexicon:
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, c + u * a + v * b))))
 
 
-def fit_lexicon(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_words: int = 150, min_share: float = 0.01, max_rows: int = 20_000) -> Lexicon:
+def word_forms(text: str) -> set[str]:
+    """The words of a text as written, and the beginnings of 5 to 9 letters of longer ones, with a * behind them."""
+    out: set[str] = set()
+    for w in set(_WORD.findall(lowered(text))):
+        if w.isalpha():
+            out.add(w)
+            out.update(w[:k] + "*" for k in range(5, min(9, len(w) - 1) + 1))
+    return out
+
+
+def telling(found: dict[str, tuple[int, float]], most: int) -> dict[str, float]:
+    """Weights of at most `most` of the forms (toxic rows, odds).
+
+    A beginning gives way to a longer form that has nine in ten of its toxic rows, and a longer form to a beginning
+    whose odds are about as high.
+    """
+    prefixes = lambda w: [w[:k] + "*" for k in range(5, len(w.rstrip("*")))]
+    weak = {p for w, (n, _) in found.items() for p in prefixes(w) if p in found and n >= 0.9 * found[p][0]}
+    kept: dict[str, float] = {}
+    for w in sorted(found.keys() - weak, key=lambda w: (len(w), w)):
+        if found[w][1] > max((kept[p] for p in prefixes(w) if p in kept), default=0.0) + 1:
+            kept[w] = found[w][1]
+    return {w: min(2.0, kept[w] / 4) for w in sorted(kept, key=lambda w: (-found[w][0] * kept[w], w))[:most]}
+
+
+def fit_lexicon(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_words: int = 1_000, max_forms: int = 10_000, min_share: float = 0.01, max_rows: int = 20_000) -> Lexicon:
     """Lexicon weights and curve from labelled rows.
 
-    Words weigh by the smoothed log odds of a word among toxic rows against the others. Learned words need
-    at least min_share of the toxic rows and clear odds. Documented bounds: at most max_words are learned,
-    from at most max_rows labelled documents.
+    Words weigh by the smoothed log odds of a word among toxic rows against the others. Learned forms need
+    at least min_share of the toxic rows and clear odds. Documented bounds: at most max_words are learned, out of the max_forms of the highest
+    odds, from at most max_rows labelled documents.
     """
     rows = labelled_sample(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, max_rows=max_rows)
 
-    def distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, _, _ in text_slices(batch):
-                counts: dict[str, list[int]] = {}
+                clean, toxic = Counter(), Counter()
                 for label, text in zip(part.column(0).to_pylist(), texts_of(part)):
-                    for w in {w.translate(_FOLD) for w in set(_WORD.findall(lowered(text)))}:
-                        if w.isalpha():
-                            counts.setdefault(w, [0, 0])[label] += 1
-                yield pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.array([c[0] for c in counts.values()], pa.int64()), pa.array([c[1] for c in counts.values()], pa.int64())], ["word", "clean", "toxic"])
+                    (toxic if label else clean).update(word_forms(text))
+                forms = list(clean.keys() | toxic.keys())
+                yield pa.RecordBatch.from_arrays([pa.array(forms), *[pa.array([c[w] for w in forms], pa.int64()) for c in (clean, toxic)]], ["word", "clean", "toxic"])
 
     by = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     n_clean, n_toxic = by.get(0, 0), by.get(1, 0)
-    weights = {fold(w): 1.0 for w in SEED_WORDS}
+    weights = dict.fromkeys(SEED_WORDS, 1.0)
     if not (n_clean and n_toxic):
         return Lexicon(weights)
-    words = rows.mapInArrow(distinct_words, "word string, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    words = rows.mapInArrow(counted, "word string, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     odds = F.log(((F.col("toxic") + 0.1) / (n_toxic + 1)) / ((F.col("clean") + 0.1) / (n_clean + 1)))
     rated = words.withColumn("odds", odds)
     clear = (F.col("toxic") >= max(5, min_share * n_toxic)) & (F.col("odds") > 3.0)
-    for r in rated.where(clear).orderBy(F.desc("odds"), F.desc("toxic"), "word").limit(max_words).collect():
-        weights[r["word"]] = min(2.0, r["odds"] / 4)
-    for r in rated.where(F.col("word").isin(sorted(weights)) & (F.col("odds") < 0.5) & (F.col("clean") + F.col("toxic") >= 20)).collect():
+    harmless = F.col("word").isin(sorted(weights)) & (F.col("odds") < 0.5) & (F.col("clean") + F.col("toxic") >= 20)
+    rated = materialise(rated.where(clear | harmless))
+    found = {r["word"]: (r["toxic"], r["odds"]) for r in rated.where(clear).orderBy(F.desc("odds"), F.desc("toxic"), "word").limit(max_forms).collect()}
+    for r in rated.where(harmless).collect():
         weights.pop(r["word"])  # shown to be harmless here
-    lexicon = Lexicon(weights)
+    discard(rated)
+    written = telling(found, max_words)
+    weights.update({w: written.pop(w) for w in sorted(written.keys() & weights.keys())})  # insults keep any spelling
+    lexicon = Lexicon(weights, written)
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,7 +211,7 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, *, id_col: str = "doc_id",
     return a row; an empty table gives an empty result; other columns are ignored.
     """
     source = plain(docs, id_col, text_col).toDF("doc_id", "text")
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # at most max_words + 50 short words
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # at most max_words and the insults
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
