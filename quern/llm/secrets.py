@@ -23,23 +23,28 @@ _KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
-_RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-_UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
-_DIGEST = re.compile(r"(?:(?:md5|sha1|sha256|sha384|sha512)[-_=])?(?:[0-9a-f]+|[0-9A-F]+)")
-#: Lengths of hexadecimal digests: MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512.
-_DIGEST_LENGTHS = frozenset({32, 40, 56, 64, 96, 128})
-_NAME = re.compile(r"[A-Za-z]+(?:[-_/][A-Za-z]+)*[-_/]?\d{0,4}")
-_NUMBER = re.compile(r"[0-9+/_=-]+")
+_RUN = re.compile(r"[A-Za-z0-9+/_=-]+(?:\.[A-Za-z0-9+/_=-]+)*")
+#: Least characters of a run that is tested.
+RUN_CHARS = 20
+_NUMBER = re.compile(r"[0-9.+/_=-]+")
+#: UUIDs, and hexadecimal digests by their lengths: SHA-512, SHA-384, SHA-256, SHA-224, SHA-1, MD5.
+_IDENTIFIER = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|" + "|".join(f"[0-9a-f]{{{n}}}|[0-9A-F]{{{n}}}" for n in (128, 96, 64, 56, 40, 32)) + r")(?![0-9A-Za-z])")
 
 
-def _known(run: str) -> bool:
-    """Digests, UUIDs, plain names and numbers are identifiers, not secrets."""
-    if _UUID.fullmatch(run) or _NAME.fullmatch(run) or _NUMBER.fullmatch(run):
-        return True
-    return bool(_DIGEST.fullmatch(run)) and len(re.sub(r"^[a-z0-9]+[-_=]", "", run)) in _DIGEST_LENGTHS
+def random_run(run: str, vocabulary: str | None, max_ratio: float, letters_ratio: float) -> bool:
+    """Whether a run has few characters per token; digests, UUIDs and numbers are identifiers, not secrets.
+
+    Without the identifiers in it a run must still have a part of RUN_CHARS characters.
+    """
+    if len(run) < RUN_CHARS or _NUMBER.fullmatch(run):
+        return False
+    if max(map(len, _IDENTIFIER.sub(" ", run).split(" "))) < RUN_CHARS:
+        return False
+    most = max_ratio if any(c.isdigit() for c in run) else letters_ratio
+    return len(run) <= most * len(byte_pair_encoding(vocabulary).encode_ordinary(run))
 
 
-def secret_spans(text: str, vocabulary: str | None, max_ratio: float) -> list[tuple[str, int, int]]:
+def secret_spans(text: str, vocabulary: str | None, max_ratio: float, letters_ratio: float) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points, by start and then by kind as listed in KINDS."""
     found: list[tuple[int, int, int]] = []
     lowered = text.lower()
@@ -50,21 +55,18 @@ def secret_spans(text: str, vocabulary: str | None, max_ratio: float) -> list[tu
     found += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
     base = sorted(found)
     for m in _RUN.finditer(text):
-        run, start, end = m[0], m.start(), m.end()
-        if not (any(c.isdigit() for c in run) and any(c.isalpha() for c in run)) or _known(run):
-            continue
-        if any(s < end and start < e for s, _, e in base):
-            continue
-        if len(run) <= max_ratio * len(byte_pair_encoding(vocabulary).encode_ordinary(run)):
+        start, end = m.span()
+        if end - start >= RUN_CHARS and not any(s < end and start < e for s, _, e in base) and random_run(m[0], vocabulary, max_ratio, letters_ratio):
             found.append((start, 3, end))
     return [(KINDS[k], s, e) for s, k, e in sorted(found)]
 
 
-def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, max_ratio: float = 2.0, keep_text: bool = False) -> DataFrame:
+def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, max_ratio: float = 2.0, letters_ratio: float = 1.85, keep_text: bool = False) -> DataFrame:
     """One row per input row: the id, and `spans` array<struct<kind,start,end>> (empty where none).
 
     vocabulary: path of a tiktoken rank file on the executors (None: the public one that is installed).
-    max_ratio: characters per token up to which a run of 20 or more secret-like characters is random.
+    max_ratio, letters_ratio: characters per token up to which a run of RUN_CHARS or more secret-like characters is
+    random, with and without digits in it; single dots may stand in a run.
 
     Null texts count as empty, a null id stays null, repeated rows each return their own row, an empty
     table gives an empty result, and other columns are ignored. Very long texts are scanned whole.
@@ -76,7 +78,7 @@ def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, _, _ in text_slices(batch):
-                spans = [[{"kind": k, "start": s, "end": e} for k, s, e in secret_spans(t, vocabulary, max_ratio)] for t in texts_of(rows)]
+                spans = [[{"kind": k, "start": s, "end": e} for k, s, e in secret_spans(t, vocabulary, max_ratio, letters_ratio)] for t in texts_of(rows)]
                 out = [rows.column(0), pa.array(spans, span)]
                 yield pa.RecordBatch.from_arrays([*out, rows.column(1)][: 3 if keep_text else 2], ["doc_id", "spans", "text"][: 3 if keep_text else 2])
 
@@ -104,7 +106,7 @@ def secret_report(docs: DataFrame, **options) -> DataFrame:
     )
 
 
-def redact_secrets(docs: DataFrame, *, text_col: str = "text", mark: str = "<SECRET>", vocabulary: str | None = None, max_ratio: float = 2.0) -> DataFrame:
+def redact_secrets(docs: DataFrame, *, text_col: str = "text", mark: str = "<SECRET>", vocabulary: str | None = None, max_ratio: float = 2.0, letters_ratio: float = 1.85) -> DataFrame:
     """`docs` with every secret span of the text replaced by `mark`; all rows and columns stay.
 
     A column n_chars, where there is one, becomes the length of the new text of changed rows.
@@ -117,7 +119,7 @@ def redact_secrets(docs: DataFrame, *, text_col: str = "text", mark: str = "<SEC
             for rows, _, _ in text_slices(batch, name=text_col):
                 values = rows.column(at).to_pylist()
                 for i, text in enumerate(values):
-                    if text and (spans := secret_spans(text, vocabulary, max_ratio)):
+                    if text and (spans := secret_spans(text, vocabulary, max_ratio, letters_ratio)):
                         out, done = [], 0
                         for _, start, end in spans:
                             if start >= done:

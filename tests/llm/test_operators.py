@@ -61,6 +61,37 @@ def test_secret_base_spans(spark):
     assert rows[6]["n_random"] == 0
 
 
+def test_random_runs_match_a_plain_version(spark):
+    """Every run of secret-like characters, found character by character, against its tokens under the vocabulary."""
+    from quern.llm.common import byte_pair_encoding
+
+    rng = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    junk = lambda n, of=letters + "0123456789+/": "".join(rng.choices(of, k=n))
+    parts = [junk(40, letters), junk(24), f"{junk(14)}.{junk(12)}.{junk(16)}", "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"[:40].upper(), "sha1-" + "A" * 7, "550e8400-e29b-41d4-a716-446655440000", "internationalisation_of_very_long_names", "Donaudampfschifffahrtsgesellschaft", "2024-01-01.2024-12-31.0000", junk(19), "=" * 30, "www.example.com/a/rather/long/path/to/some/page", f"id_{junk(26)}", "x" * 25, "..", "é"]
+    texts = [rng.choice(["", " ", "é "]).join([rng.choice(parts) + rng.choice([" ", ", ", ". ", "\n"]) for _ in range(rng.randint(0, 7))]) for _ in range(60)] + parts
+    ok = set(letters + "0123456789+/_=-")
+    rows = by_id(secrets.secret_report(make(spark, texts)))
+    total = 0
+    for i, text in enumerate(texts):
+        want, a = [], 0
+        while a < len(text):
+            b = a
+            while b < len(text) and (text[b] in ok or (text[b] == "." and b > a and b + 1 < len(text) and text[b - 1] in ok and text[b + 1] in ok)):
+                b += 1
+            run = text[a:b]
+            ids = max(map(len, secrets._IDENTIFIER.sub(" ", run).split(" "))) < 20
+            if len(run) >= 20 and not ids and set(run) - set("0123456789+/_=-.") and not any(s < b and a < e for s, _, e in brute.secret_base(text)):
+                if len(run) / len(byte_pair_encoding().encode_ordinary(run)) <= (2.0 if set(run) & set("0123456789") else 1.85):
+                    want.append(f"random:{a}:{b}")
+            a = max(b, a + 1)
+        assert [s for s in rows[i]["spans"].split(",") if s.startswith("random")] == want
+        total += len(want)
+    assert total > 30
+    alone = [rows[60 + k]["n_random"] for k in range(len(parts))]
+    assert alone == [1, 1, 1, 0, 0, 0, 0, 0, 0, 0, 0, 0, 1, 0, 0, 0]
+
+
 def test_redaction_keeps_rows_and_columns(spark):
     docs = make(spark, SECRET_TEXTS)
     out = secrets.redact_secrets(docs)
@@ -322,6 +353,59 @@ def test_language_model(spark):
             assert r["base_score"] == pytest.approx(base, rel=1e-9) and r["score"] < 0
 
 
+@pytest.mark.parametrize("sweeps", [0, 3])
+def test_class_scores_match_a_plain_version(spark, sweeps):
+    texts = [*corpus(8, 60), "Unheard-of word"]
+    docs, learnt = make(spark, texts), make(spark, texts[:-1])
+    counts = brownlm.word_counts(learnt)
+    top = brownlm.frequent_words(counts, 60)
+    table = {w: i for i, w in enumerate(top.column("word").to_pylist())}
+    encoded = brownlm.encode_words(docs, table, flag=F.col("doc_id") == len(texts) - 1)
+    model = brownlm.fit_brown(encoded.where("not flag"), counts, top, len(texts) - 1, clustered=12, classes=4, sweeps=sweeps)
+    tally = {r["word"]: r["c"] for r in counts.collect()}
+    fixed = brownlm._FIXED
+    length_class = lambda w: 1 + min(len(w), 15) // 2
+
+    def place(w):  # (class, log10 of the probability in it)
+        if w in table and model.class_of[fixed + table[w]] >= fixed:
+            c = model.class_of[fixed + table[w]]
+            return c, np.log10(tally[w]) - model.class_mass[c]
+        return length_class(w), np.log10(tally.get(w, 0) + 1) - model.class_mass[length_class(w)]
+
+    rows = by_id(brownlm.score_texts(encoded, model, counts))
+    for i, text in enumerate(texts):
+        before, total = 0, 0.0
+        for w in (text or "").encode().lower().split():
+            c, emission = place(w)
+            total, before = total + model.step[before, c] + emission, c
+        assert rows[i]["score"] == pytest.approx(total + model.step[before, 0], rel=1e-9)
+    assert np.allclose((10**model.step).sum(axis=1), 1)
+    inside = {}
+    for w in tally:
+        c, emission = place(w)
+        inside[c] = inside.get(c, 0.0) + 10**emission
+    for c, p in inside.items():  # classes by length keep a part for an unheard word
+        assert p == pytest.approx(1.0 if c >= fixed else 1 - 10 ** -model.class_mass[c])
+    if sweeps:
+        assert (model.class_of[fixed:] >= fixed).all()
+
+
+def test_sweep_moves_words_to_what_they_behave_like(spark):
+    """Words seen once each between nouns or between verbs get the class of the others there."""
+    rng = random.Random(2)
+    nouns, verbs = [f"n{i}" for i in range(4)], [f"v{i}" for i in range(4)]
+    texts = [" ".join(w for _ in range(20) for w in (rng.choice(nouns), rng.choice(verbs))) for _ in range(30)]
+    texts += [f"{rng.choice(nouns)} rarev{i} {rng.choice(nouns)} {rng.choice(verbs)} raren{i} {rng.choice(verbs)}" for i in range(12)]
+    docs = make(spark, texts)
+    counts = brownlm.word_counts(docs)
+    top = brownlm.frequent_words(counts, 1000)
+    table = {w: i for i, w in enumerate(top.column("word").to_pylist())}
+    model = brownlm.fit_brown(brownlm.encode_words(docs, table), counts, top, len(texts), clustered=8, classes=2)
+    of = {w.decode(): int(model.class_of[brownlm._FIXED + i]) for w, i in table.items()}
+    assert len({of[n] for n in nouns}) == 1 and len({of[v] for v in verbs}) == 1 and of["n0"] != of["v0"]
+    assert sum(of[f"rarev{i}"] == of["v0"] for i in range(12)) >= 11 and sum(of[f"raren{i}"] == of["n0"] for i in range(12)) >= 11
+
+
 def test_exchange_finds_alternating_classes():
     rng = np.random.default_rng(1)
     n = brownlm._FIXED + 12
@@ -453,6 +537,41 @@ def test_toxicity(spark):
     assert rows[165]["score"] == rows[166]["score"] and rows[163]["n_hits"] == 0 and rows[167]["n_hits"] == 2
 
 
+def test_hits_match_a_plain_matcher():
+    lexicon = toxicity.Lexicon({"idiot": 1.0, "loser": 0.5}, {"réeux*": 1.5, "réeuxna": 1.25, "achlich": 0.75, "fool*": 0.25}, ("sore loser",))
+    rng = random.Random(5)
+    parts = ["idiot", "IDI0T", "1d1ot", "loser", "1oser", "sore loser", "réeux", "réeuxna", "réeuxment", "reeuxment", "achlich", "achlichen", "Äidiot", "fool", "foolish", "idi\u00adot", "x"]
+
+    def plain(text):
+        bare = toxicity.lowered(text)
+        folded = toxicity.fold(text)
+        whole = lambda a, b: not (a and bare[a - 1].isalpha())
+        after = lambda b: b < len(bare) and bare[b].isalpha()
+        spots, free = {}, []
+        for a in range(len(bare)):
+            for word, w in [*lexicon.weights.items(), *[(p, None) for p in lexicon.exceptions]]:
+                b = a + len(word)
+                if folded[a:b] == toxicity.fold(word) and whole(a, b) and not after(b):
+                    free.append((a, b)) if w is None else spots.setdefault(a, []).append((w, b))
+            for word, w in lexicon.written.items():
+                b = a + len(word.rstrip("*"))
+                if bare[a:b] == word.rstrip("*") and whole(a, b) and after(b) == word.endswith("*"):
+                    spots.setdefault(a, []).append((w, b))
+        found = [max(s) for a, s in spots.items() if not any(x <= a and max(s)[1] <= y for x, y in free)]
+        return sum(w for w, _ in found), len(found)
+
+    for _ in range(300):
+        text = "".join(rng.choice(parts) + rng.choice([" ", " ", ", ", "", "-"]) for _ in range(rng.randint(0, 12)))
+        assert lexicon.hits(text) == pytest.approx(plain(text)), text
+    assert lexicon.hits("a sore loser, no 1oser")[1] == 1
+
+
+def test_telling_forms_are_neither_too_short_nor_too_many():
+    found = {"worth*": (100, 5.0), "worthl*": (99, 5.1), "worthless": (99, 5.1), "achli*": (80, 4.0), "achlich*": (60, 4.5), "achlichen": (9, 7.0)}
+    assert set(toxicity.telling(found, 10)) == {"worthless", "achli*", "achlichen"}
+    assert len(toxicity.telling(found, 1)) == 1
+
+
 # --- all: empty tables, null ids, one label
 
 
