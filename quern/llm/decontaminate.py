@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import plain, text_slices
+from .common import materialise, plain, text_slices
 from .wordhash import runs, winnowed, words
 
 SPAN, GRAM = 10, 5
@@ -127,7 +127,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "
     kind = source.schema["doc_id"].dataType.simpleString()
     hits = source.mapInArrow(scan, f"doc_id {kind}, text_key long, n_words long, hits array<struct<{_HIT_SQL}>>").select("doc_id", "text_key", "n_words", F.explode("hits").alias("h")).select("doc_id", "text_key", "n_words", "h.*")
     other = prints.select("item_id", "fp", F.col("size").alias("i_size"), F.col("left").alias("i_left"), F.col("right").alias("i_right"))
-    met = hits.join(F.broadcast(other) if few else other, "fp", "left")
+    if few:
+        met = hits.join(F.broadcast(other), "fp", "left")
+    else:  # rows that stand for documents have no fingerprint and don't go through the join
+        nothing = [F.lit(None).cast(other.schema[c].dataType).alias(c) for c in other.columns if c != "fp"]
+        met = hits.where("fp is not null").join(other, "fp").unionByName(hits.where("fp is null").select("*", *nothing))
     item_kind = prints.schema["item_id"].dataType.simpleString()
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,8 +174,15 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, **options) -> Da
     )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """`docs` without the rows that hold a benchmark passage; clean rows and all columns stay as they are."""
-    bad = find_contamination(docs, benchmark, id_col=id_col, text_col=text_col, **options).where(F.size("spans") > 0).select(F.col("doc_id").alias("__contaminated_id"), F.col("text_key").alias("__contaminated_key")).distinct()
-    kept = docs.join(bad, F.col(id_col).eqNullSafe(F.col("__contaminated_id")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("__contaminated_key")), "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", drop_limit: int = 1_000_000, **options) -> DataFrame:
+    """`docs` without the rows that hold a benchmark passage; clean rows and all columns stay as they are.
+
+    Rows are judged one by one, also those that repeat an id or have none. Null texts hold nothing and stay. An empty
+    table on either side drops nothing. drop_limit: rows to drop (some 50 bytes each) up to which they are
+    broadcast; beyond, the texts are shuffled to them.
+    """
+    found = find_contamination(docs, benchmark, id_col=id_col, text_col=text_col, **options).where(F.size("spans") > 0)
+    bad = materialise(found.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__text")).distinct())
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))) == F.col("__text"))
+    kept = docs.join(F.broadcast(bad) if bad.count() <= drop_limit else bad, same, "left_anti")
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

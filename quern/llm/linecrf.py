@@ -219,7 +219,11 @@ def quality_report(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, **options) -> DataFrame:
-    """`docs` without the rows whose score is below the threshold; all columns of the others stay as they are."""
+    """`docs` without the rows whose score is below the threshold; all columns of the others stay as they are.
+
+    Rows are judged one by one, also those that repeat an id or have none. Null texts score as the empty one. Without
+    labels of both kinds every row has the same score. An empty table stays empty.
+    """
     model = docs.sparkSession.sparkContext.broadcast(fit_line_model(docs, labels, id_col=id_col, text_col=text_col, **options))
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

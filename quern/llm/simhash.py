@@ -166,18 +166,21 @@ def near_duplicate_report(docs: DataFrame, **options) -> DataFrame:
     return near_duplicates(docs, **options).select("doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with one document of each group of near_copies(): the one of the smallest id. Rows without an id stay.
+def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", broadcast_limit: int = 1_000_000) -> DataFrame:
+    """`docs` with one row of each group of near_copies(): the one of the smallest id, and of its texts that of the least hash.
 
-    Rows that repeat an id are one document; one of them stays, that with the least text.
+    Rows without an id stay. Rows that repeat an id with texts of different groups stay with each of them; of rows that
+    repeat both the id and the text one stays. broadcast_limit: rows to drop (some 50 bytes each) up to which they are
+    broadcast; beyond, the texts are shuffled to them.
     """
-    found = materialise(near_copies(docs, id_col=id_col, text_col=text_col))
-    gone = found.where(F.col("doc_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(id_col)).distinct()
-    # the ids that go are few against the texts: hashing them saves sorting the texts
-    kept = docs.join(gone.hint("shuffle_hash"), id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
-    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    if repeated.isEmpty():
+    found = materialise(near_copies(docs, id_col=id_col, text_col=text_col).where("doc_id is not null"))
+    stays = found.groupBy("component").agg(F.min(F.struct("doc_id", "of_text")).alias("stays"))
+    gone = materialise(found.join(stays, "component").where(F.struct("doc_id", "of_text") != F.col("stays")).select(F.col("doc_id").alias("__id"), F.col("of_text").alias("__text")).distinct())
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col("__text"))
+    kept = docs.join(F.broadcast(gone) if gone.count() <= broadcast_limit else gone.hint("shuffle_hash"), same, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    twice = materialise(found.groupBy("doc_id", "of_text").count().where("count > 1").select(F.col("doc_id").alias("__id"), F.col("of_text").alias("__text")))
+    if twice.isEmpty():
         return kept
-    again = repeated.select(F.col("doc_id").alias(id_col))
-    once = kept.join(again, id_col, "left_semi").groupBy(id_col).agg(F.min(F.struct(*[F.coalesce(F.col(text_col), F.lit("")).alias("_t")], *[F.col(f"`{c}`") for c in docs.columns])).alias("_row"))
-    return kept.join(again, id_col, "left_anti").unionByName(once.select(*[F.col("_row")[c].alias(c) for c in docs.columns]))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    once = kept.join(twice, same, "left_semi").groupBy(F.col(f"`{id_col}`"), F.xxhash64(F.col(f"`{text_col}`"))).agg(F.first(row).alias("__row")).select("__row")
+    return kept.join(twice, same, "left_anti").unionByName(once.select(*[F.col("__row")[c].alias(c) for c in docs.columns]))

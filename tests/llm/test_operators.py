@@ -139,6 +139,13 @@ def test_one_of_each_group_stays(spark):
     assert [r["doc_id"] for r in twice.collect()] == [1]
 
 
+@pytest.mark.parametrize("limit", [0, 10**6])
+def test_rows_that_repeat_an_id(spark, limit):
+    texts = ["alpha beta gamma delta", "one two three four five", "one two three four five", "alpha beta gamma delta", "alpha beta gamma delta"]
+    kept = simhash.drop_near_duplicates(make(spark, texts, [5, 5, 3, 5, None]), broadcast_limit=limit)
+    assert sorted((str(r["doc_id"]), r["text"][:3]) for r in kept.collect()) == [("3", "one"), ("5", "alp"), ("None", "alp")]
+
+
 @pytest.mark.parametrize("limit", [3, 4096])
 def test_near_copies_match_brute_force(spark, limit):
     """Planted copies of changing distance, most of them far over two SimHash bits."""
