@@ -114,3 +114,8 @@ def grams(items: Column, n: int, between: str) -> Column:
 def normal_question(c: Column) -> Column:
     """Lower case, single blanks, without a question mark at the end: the key of equal questions."""
     return F.regexp_replace(F.trim(F.regexp_replace(F.lower(c), "\\s+", " ")), "[?]+$", "")
+
+
+def question_key(c: Column) -> Column:
+    """Lower-case letters and digits with single blanks between: the key of equal cases of a test set."""
+    return F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))

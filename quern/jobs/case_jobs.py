@@ -9,7 +9,7 @@ from ..operators import asking
 from ..operators import testing as C
 from .catalog import query, table
 from .rank_jobs import questions_of, rerank_lexical
-from .telemetry_jobs import SQL_LEDGER, SQL_NORM, ledger_of
+from .telemetry_jobs import SQL_KEY, SQL_LEDGER, ledger_of
 from .text_jobs import corpus_vocabulary
 
 PATTERNS = ("ation[.]", "un[dg]er", "queñ|quel", "TION", "e")
@@ -33,7 +33,7 @@ def case_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.outcome(rows).select("doc_id", "route_ok", "passed")
 
 
-@query(f"WITH {SQL_LEDGER}, b AS (SELECT DISTINCT {SQL_NORM} AS n FROM ledger WHERE request_id % 400 = 0), a AS (SELECT DISTINCT {SQL_NORM} AS n FROM ledger WHERE request_id % 400 > 0) SELECT 'base' AS source, count(*) AS n FROM b UNION ALL SELECT 'user', count(*) FROM a WHERE n NOT IN (SELECT n FROM b)")
+@query(f"WITH {SQL_LEDGER}, b AS (SELECT DISTINCT {SQL_KEY} AS n FROM ledger WHERE request_id % 400 = 0), a AS (SELECT DISTINCT {SQL_KEY} AS n FROM ledger WHERE request_id % 400 > 0) SELECT 'base' AS source, count(*) AS n FROM b UNION ALL SELECT 'user', count(*) FROM a WHERE n NOT IN (SELECT n FROM b)")
 def golden_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger = ledger_of(spark, sf_dir)
     return C.grown_set(ledger.where("request_id % 400 = 0"), ledger.where("request_id % 400 > 0")).groupBy("source").agg(F.count("*").alias("n"))

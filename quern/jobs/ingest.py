@@ -34,23 +34,31 @@ def numbered(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("ordinal", F.row_number().over(Window.partitionBy("doc").orderBy("page", "chunk_id")))
 
 
-def ingest(spark: SparkSession, folder: str, out: str, reset: bool = False) -> DataFrame:
-    """Read a folder, replace its documents in the tables below `out`, and return counts by document.
+def _index(spark: SparkSession, chunks: DataFrame) -> dict[str, DataFrame]:
+    """The tables that retrieval reads: chunks, postings, terms, vectors."""
+    keyed = chunks.select("chunk_id", F.concat_ws(" ", "text", "section", "doc").alias("text"))
+    return {"chunks": chunks, "postings": R.postings(keyed), "terms": R.idf_table(keyed), "vectors": R.hash_vectors(chunks, "chunk_id", "text")}
+
 
-    Tables: chunks, postings, terms, vectors. They are written beside the old ones and only then take their place.
+def ingest(spark: SparkSession, folder: str, out: str, reset: bool = False, figures: DataFrame | None = None) -> DataFrame:
+    """Read a folder, replace its documents in the tables of `out`, and return counts by document.
+
+    figures: captions of the documents' figures, as figure_chunks() takes them. The tables are published together as a new version
+    (tables.latest() names it); until all are written, and if a run fails, readers see the version before.
     """
-    new = tables.kept(chunks_of_files(documents.corpus_files(spark, folder)))
-    old = tables.current(spark, f"{out}/chunks", new.schema)
+    new = chunks_of_files(documents.corpus_files(spark, folder))
+    if figures is not None:
+        new = new.unionByName(figure_chunks(figures))
+    new = tables.kept(new)
+    old = tables.current(spark, tables.latest(spark, out, "chunks"), new.schema)
     chunks = tables.kept(new if reset else tables.replace_documents(old, new))
-    keyed = chunks.select("chunk_id", F.concat_ws(" ", "text", "section", "doc").alias("text"))
-    for name, table in (("chunks", chunks), ("postings", R.postings(keyed)), ("terms", R.idf_table(keyed)), ("vectors", R.hash_vectors(chunks, "chunk_id", "text"))):
-        table.write.mode("overwrite").parquet(f"{out}/{name}")
+    tables.publish(spark, out, _index(spark, chunks))
     return doc_stats(chunks)
 
 
 def reset(spark: SparkSession, out: str) -> None:
-    """Empty the chunk table."""
-    spark.createDataFrame([], CHUNKS).write.mode("overwrite").parquet(f"{out}/chunks")
+    """A version without any chunk, posting, term or vector."""
+    tables.publish(spark, out, _index(spark, spark.createDataFrame([], CHUNKS)))
 
 
 def doc_stats(chunks: DataFrame) -> DataFrame:

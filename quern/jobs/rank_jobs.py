@@ -20,7 +20,7 @@ def questions_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ranked_bm25(spark: SparkSession, sf_dir: str, k: int = 20) -> DataFrame:
-    return R.top_k(R.bm25(chunks_of(spark, sf_dir), questions_of(spark, sf_dir)), k)
+    return R.bm25_top(chunks_of(spark, sf_dir), questions_of(spark, sf_dir), k)
 
 
 SQL_BM25 = f"""d AS (SELECT doc_id AS chunk_id, {SQL_TOKENS} AS t FROM documents),
@@ -59,8 +59,7 @@ SQL_UNI = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')"
 )
 def okapi_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ties the other way round: to the later chunk."""
-    scored = R.okapi(chunks_of(spark, sf_dir), questions_of(spark, sf_dir)).withColumn("late", -F.col("chunk_id"))
-    return R.top_k(scored, 10, tie="late").select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
+    return R.okapi_top(chunks_of(spark, sf_dir), questions_of(spark, sf_dir), 10).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
 
 
 def vectors_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,8 +113,7 @@ SQL_COVER = f"""qs AS (SELECT item_id AS query_id, unnest({SQL_STEMS}) AS stem F
 
 @query(f"WITH {SQL_COVER} SELECT query_id, chunk_id, rank, round(coverage, 6) AS coverage FROM covered WHERE rank <= 20")
 def coverage_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cover = R.coverage(chunks_of(spark, sf_dir), questions_of(spark, sf_dir))
-    return R.top_k(cover, 20, score="coverage").select("query_id", "chunk_id", "rank", F.round("coverage", 6).alias("coverage"))
+    return R.coverage_top(chunks_of(spark, sf_dir), questions_of(spark, sf_dir), 20).select("query_id", "chunk_id", "rank", F.round("coverage", 6).alias("coverage"))
 
 
 SQL_FUSED = f"""{SQL_BM25}, {SQL_COVER},
@@ -125,7 +123,7 @@ SQL_FUSED = f"""{SQL_BM25}, {SQL_COVER},
 
 def fused_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks, questions = chunks_of(spark, sf_dir), questions_of(spark, sf_dir)
-    by_cover = R.top_k(R.coverage(chunks, questions), 20, score="coverage")
+    by_cover = R.coverage_top(chunks, questions, 20)
     return kept(R.rrf([ranked_bm25(spark, sf_dir), by_cover]))
 
 
@@ -196,14 +194,11 @@ def context_prefix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT query_id, sub_no, chunk_id, pick FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY turn, sub_no) AS pick FROM f) WHERE pick <= 6"""
 )
 def round_robin_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    by_cover = R.top_k(R.coverage(chunks_of(spark, sf_dir), questions_of(spark, sf_dir)), 5, score="coverage")
+    by_cover = R.coverage_top(chunks_of(spark, sf_dir), questions_of(spark, sf_dir), 5)
     lists = ranked_bm25(spark, sf_dir, 5).select("query_id", F.lit(0).alias("sub_no"), "chunk_id", "rank").union(by_cover.select("query_id", F.lit(1).alias("sub_no"), "chunk_id", "rank"))
     return R.interleave(lists, 6).select("query_id", "sub_no", "chunk_id", "pick")
 
 
 @query("SELECT doc_id, lag(doc_id) OVER w AS before, lead(doc_id) OVER w AS after FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id)")
 def source_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql.window import Window
-
-    by = Window.partitionBy("source").orderBy("doc_id")
-    return table(spark, sf_dir, "documents").select("doc_id", F.lag("doc_id").over(by).alias("before"), F.lead("doc_id").over(by).alias("after"))
+    return R.neighbours(table(spark, sf_dir, "documents").select("source", "doc_id")).select("doc_id", "before", "after")

@@ -45,6 +45,7 @@ SQL_LEDGER = """ledger AS (SELECT event_id AS request_id, 'What about  part ' ||
     votes AS (SELECT event_id - event_id % 8 + CASE WHEN event_id % 40 = 1 THEN 10000000 ELSE 0 END AS request_id, CASE WHEN value > 30 THEN 'up' ELSE 'down' END AS rating, ts FROM events WHERE event_id % 4 = 1),
     feedback AS (SELECT request_id, rating, ts FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY ts DESC, rating DESC) AS n FROM votes) WHERE n = 1),
     resolutions AS (SELECT event_id AS request_id, ts AS resolved_at FROM events WHERE event_id % 24 = 0)"""
+SQL_KEY = "trim(regexp_replace(lower(question), '[^a-z0-9]+', ' ', 'g'))"
 SQL_NORM = "regexp_replace(trim(regexp_replace(lower(question), '\\s+', ' ', 'g')), '[?]+$', '')"
 
 
@@ -124,8 +125,8 @@ def question_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {SQL_LEDGER}, golden AS (SELECT DISTINCT {SQL_NORM} AS norm FROM ledger WHERE request_id % 400 = 0),
-    up AS (SELECT f.request_id, f.ts, l.question, route, fallback, {SQL_NORM} AS norm, g.norm AS known FROM feedback f LEFT JOIN ledger l ON l.request_id = f.request_id LEFT JOIN golden g ON g.norm = {SQL_NORM} WHERE rating = 'up'),
+    f"""WITH {SQL_LEDGER}, golden AS (SELECT DISTINCT {SQL_KEY} AS norm FROM ledger WHERE request_id % 400 = 0),
+    up AS (SELECT f.request_id, f.ts, l.question, route, fallback, {SQL_KEY} AS norm, g.norm AS known FROM feedback f LEFT JOIN ledger l ON l.request_id = f.request_id LEFT JOIN golden g ON g.norm = {SQL_KEY} WHERE rating = 'up'),
     k AS (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY ts DESC, request_id) AS n FROM up WHERE question IS NOT NULL AND route = 'document' AND NOT fallback AND known IS NULL)
     SELECT reason, count(*) AS n FROM (SELECT CASE WHEN n = 1 THEN 'shown' ELSE 'skipped_duplicate' END AS reason FROM k UNION ALL
         SELECT CASE WHEN question IS NULL THEN 'unlinkable' WHEN route <> 'document' OR fallback THEN 'skipped_route' ELSE 'skipped_duplicate' END FROM up WHERE question IS NULL OR route <> 'document' OR fallback OR known IS NOT NULL) GROUP BY reason"""
@@ -315,10 +316,10 @@ def session_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by.select("user_id", F.col("session_window.start").alias("start"), "n", "total")
 
 
-@query("SELECT a.lang AS a, b.lang AS b, len(list_intersect(a.s, b.s)) AS both, len(a.s) AS n_a, len(b.s) AS n_b, round(len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))), 6) AS jaccard FROM (SELECT lang, list(DISTINCT source) AS s FROM documents WHERE doc_id % 3 > 0 GROUP BY lang) a JOIN (SELECT lang, list(DISTINCT source) AS s FROM documents WHERE doc_id % 3 > 0 GROUP BY lang) b ON a.lang < b.lang")
+@query("SELECT a.lang AS a, b.lang AS b, len(list_intersect(a.s, b.s)) AS both, len(a.s) AS n_a, len(b.s) AS n_b, round(len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))), 6) AS jaccard FROM (SELECT lang, list(DISTINCT source) AS s FROM documents GROUP BY lang) a JOIN (SELECT lang, list(DISTINCT source) AS s FROM documents GROUP BY lang) b ON a.lang < b.lang")
 def set_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that languages have in common, for each pair of the few languages."""
-    sets = table(spark, sf_dir, "documents").where("doc_id % 3 > 0").groupBy("lang").agg(F.collect_set("source").alias("s"))
+    sets = table(spark, sf_dir, "documents").groupBy("lang").agg(F.collect_set("source").alias("s"))
     a, b = sets.select(F.col("lang").alias("a"), F.col("s").alias("sa")), sets.select(F.col("lang").alias("b"), F.col("s").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     return a.join(b, F.col("a") < F.col("b")).select("a", "b", both.alias("both"), F.size("sa").alias("n_a"), F.size("sb").alias("n_b"), F.round(both / F.size(F.array_union("sa", "sb")), 6).alias("jaccard"))
@@ -346,9 +347,9 @@ def rejected_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", reason.alias("reason")).where("reason is not null")
 
 
-@query(f"WITH {SQL_LEDGER} SELECT f.request_id, rating, l.request_id IS NOT NULL AS linked FROM feedback f LEFT JOIN ledger l USING (request_id) WHERE f.request_id IN (SELECT request_id FROM resolutions)")
+@query(f"WITH {SQL_LEDGER} SELECT f.request_id, rating, l.request_id IS NOT NULL AS linked FROM feedback f LEFT JOIN ledger l USING (request_id) WHERE rating = 'down' AND f.request_id IN (SELECT request_id FROM resolutions)")
 def resolvable_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Votes whose request has a resolution: a semi join, then the link to the ledger."""
-    votes = feedback_of(spark, sf_dir).join(resolutions_of(spark, sf_dir), "request_id", "left_semi")
+    """Votes down whose request has a resolution: a semi join, then the link to the ledger."""
+    votes = feedback_of(spark, sf_dir).where("rating = 'down'").join(resolutions_of(spark, sf_dir), "request_id", "left_semi")
     linked = ledger_of(spark, sf_dir).select("request_id", F.lit(True).alias("linked"))
     return votes.join(linked, "request_id", "left").select("request_id", "rating", F.coalesce("linked", F.lit(False)).alias("linked"))

@@ -85,7 +85,24 @@ def chunk_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "chunk_no", "token_count", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
-@query()
+SQL_PIECES = "list_filter(list_transform(string_split(regexp_replace({0}, '([.!?;:])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda y: trim(y, ' ' || chr(9) || chr(10) || chr(13))), lambda y: y <> '')"
+SQL_CUT = f"CASE WHEN length({{0}}) < 90 THEN [{{0}}] ELSE {SQL_PIECES} END"
+
+
+@query(
+    f"""WITH RECURSIVE b AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\\s+|\\n{{2,}}', '\\1' || chr(1), 'g'), chr(1)), lambda y: trim(y, ' ' || chr(9) || chr(10) || chr(13))), lambda y: y <> '') AS bs FROM documents),
+    l AS (SELECT doc_id, flatten(list_transform(bs, lambda x: CASE WHEN contains(x, chr(10)) AND regexp_matches(x, '(^|\\n)\\s*[|]') THEN flatten(list_transform(list_filter(list_transform(string_split(x, chr(10)), lambda z: trim(z, ' ' || chr(9) || chr(13))), lambda z: z <> ''), lambda z: CASE WHEN starts_with(z, '|') THEN [z] ELSE {SQL_CUT.format('z')} END)) ELSE {SQL_CUT.format('x')} END)) AS us FROM b),
+    s AS (SELECT doc_id, us, list_transform(us, lambda x: {SQL_SIZE.format('x')}) AS ns, list_transform(us, lambda x, i: starts_with(x, '|') AND starts_with(coalesce(us[i + 1], ''), '|')) AS tab FROM l),
+    f AS (
+        SELECT doc_id, us, ns, tab, 0 AS i, 0 AS size, 1 AS start, CAST(NULL AS INTEGER) AS upto, 1 AS since, false AS tail FROM s
+        UNION ALL
+        SELECT doc_id, us, ns, tab, i + 1, CASE WHEN ends THEN ns[i + 1] ELSE size + ns[i + 1] END, CASE WHEN ends THEN i + 1 ELSE start END, CASE WHEN ends OR i >= len(us) THEN least(i + 1, len(us)) END, start, i >= len(us)
+        FROM (SELECT *, i < len(us) AND size + ns[i + 1] >= 380 AND (size + ns[i + 1] >= 760 OR NOT tab[i + 1]) AS ends FROM f WHERE NOT tail)),
+    c AS (SELECT doc_id, i, tail, array_to_string(us[since : upto], chr(10)) AS body FROM f WHERE upto IS NOT NULL AND len(us) > 0),
+    z AS (SELECT *, tail AND {SQL_SIZE.format('body')} < 60 AND count(*) OVER (PARTITION BY doc_id) > 1 AS joins FROM c),
+    j AS (SELECT doc_id, i, joins, CASE WHEN lead(joins) OVER (PARTITION BY doc_id ORDER BY i, tail) THEN body || chr(10) || lead(body) OVER (PARTITION BY doc_id ORDER BY i, tail) ELSE body END AS body FROM z)
+    SELECT doc_id AS doc, 1 AS page, '' AS section, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS chunk_no, CAST({SQL_SIZE.format('body')} AS INTEGER) AS token_count, md5(body) AS digest FROM j WHERE NOT joins"""
+)
 def chunk_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.array("text").alias("pages"))
     return chunking.chunk_pages(pages).select("doc", "page", "section", "chunk_no", "token_count", F.md5(F.col("text").cast("binary")).alias("digest"))

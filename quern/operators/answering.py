@@ -245,9 +245,16 @@ def faithfulness(answers: DataFrame, sources: DataFrame, least: float = 0.62) ->
 
 
 def keywords(text: Column, most: int = 3) -> Column:
-    """Facts to look for in an answer: numbers with units, codes and versions, or else rare tokens."""
-    numbers = F.zip_with(F.regexp_extract_all(text, F.lit("(?i)" + L.NUMBER_UNIT), F.lit(1)), F.regexp_extract_all(text, F.lit("(?i)" + L.NUMBER_UNIT), F.lit(2)), lambda n, u: F.concat_ws(" ", n, u))
-    found = F.array_distinct(F.concat(numbers, F.regexp_extract_all(text, F.lit(L.CODE_OR_VERSION), F.lit(1))))
+    """Patterns of facts to look for in an answer, as first_match() takes them: numbers with units, codes and versions, or else tokens with digits.
+
+    Blanks between number and unit, a plural s and the degree sign may be there or not.
+    """
+    number = F.regexp_extract_all(text, F.lit("(?i)" + L.NUMBER_UNIT), F.lit(1))
+    unit = F.regexp_extract_all(text, F.lit("(?i)" + L.NUMBER_UNIT), F.lit(2))
+    dots = lambda c: F.replace(c, F.lit("."), F.lit("\\."))
+    loose = lambda u: F.regexp_replace(F.regexp_replace(u, "(?i)^(month|year|day|hour|minute|second)s?$", r"$1s?"), "^°", r"°?\\s*")
+    numbers = F.zip_with(number, unit, lambda n, u: F.concat(dots(n), F.lit("\\s*"), loose(u)))
+    found = F.array_distinct(F.concat(numbers, F.transform(F.regexp_extract_all(text, F.lit(L.CODE_OR_VERSION), F.lit(1)), dots)))
     return F.slice(F.when(F.size(found) > 0, found).otherwise(F.array_distinct(F.regexp_extract_all(text, F.lit(L.RARE_TOKEN), F.lit(0)))), 1, most)
 
 
@@ -290,11 +297,20 @@ def _diff(a: list[str], b: list[str]) -> list[tuple[str, str]]:
 
 
 def word_diff(pairs: DataFrame, most: int = 400) -> DataFrame:
-    """(pair_id, pos, side, words) of rows (pair_id, a, b): words that both or one of two texts hold, of `most` words each."""
+    """(pair_id, pos, side, words) of rows (pair_id, a, b): words that both or one of two texts hold.
+
+    If one of the texts has over `most` words, the two are not compared: each is a run of its own, whole.
+    """
+
+    def runs(a: str, b: str) -> list[tuple[str, str]]:
+        left, right = a.split(), b.split()
+        if max(len(left), len(right)) > most:
+            return [(side, " ".join(w)) for side, w in (("a", left), ("b", right)) if w]
+        return _diff(left, right)
 
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield pd.DataFrame([(p, k, s, w) for p, a, b in zip(frame["pair_id"], frame["a"], frame["b"]) for k, (s, w) in enumerate(_diff((a or "").split()[:most], (b or "").split()[:most]))], columns=["pair_id", "pos", "side", "words"])
+            yield pd.DataFrame([(p, k, s, w) for p, a, b in zip(frame["pair_id"], frame["a"], frame["b"]) for k, (s, w) in enumerate(runs(a or "", b or ""))], columns=["pair_id", "pos", "side", "words"])
 
     return pairs.select("pair_id", "a", "b").mapInPandas(compare, f"pair_id {pairs.schema['pair_id'].dataType.simpleString()}, pos int, side string, words string")
 

@@ -12,7 +12,7 @@ from . import ranking as R
 
 def retrieve(chunks: DataFrame, questions: DataFrame, k: int = 6) -> DataFrame:
     """(query_id, chunk_id, score, rank): two lexical rankings fused, weighed and cut to k."""
-    pool = [R.top_k(R.bm25(chunks, questions), 3 * k), R.top_k(R.coverage(chunks, questions), 3 * k, score="coverage")]
+    pool = [R.bm25_top(chunks, questions, 3 * k), R.coverage_top(chunks, questions, 3 * k)]
     return R.top_k(R.blend(kept(R.rrf(pool)), chunks, questions), k, places=4).select("query_id", "chunk_id", "score", "rank")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -49,34 +50,27 @@ def chunk_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return cut.select("doc_id", "chunk_no", chunk_id.alias("chunk_id"), F.col("c.text").alias("text"), F.col("c.token_count").alias("token_count"))
 
 
-def _blocks(page: str) -> list[tuple[str, str]]:
-    """(kind, text) of a page: headings, table rows, and sentences of prose."""
-    import re
+_HEADING = re.compile(r"#{1,4}\s+")
+_SHORT = 90
 
-    out: list[tuple[str, str]] = []
-    for block in re.split(r"\n{2,}", page):
-        lines = [line.rstrip() for line in block.split("\n") if line.strip()]
-        if any(line.lstrip().startswith("|") for line in lines):
-            out += [("table" if line.lstrip().startswith("|") else "prose", line.strip()) for line in lines]
-            continue
-        prose: list[str] = []
-        for line in lines:
-            if re.match(r"#{1,6}\s+\S", line):
-                out += [("prose", s) for s in _sentences(" ".join(prose))]
-                prose = []
-                out.append(("heading", line.strip()))
-            else:
-                prose.append(line.strip())
-        out += [("prose", s) for s in _sentences(" ".join(prose))]
-    return out
 
+def _pieces(text: str) -> list[str]:
+    """A text of fewer than _SHORT characters, or else what stands between its . ! ? ; and : marks."""
+    return [text] if len(text) < _SHORT else [x.strip() for x in re.split(r"(?<=[.!?;:])\s+", text) if x.strip()]
 
-def _sentences(prose: str) -> list[str]:
-    import re
 
-    out = []
-    for s in filter(None, (x.strip() for x in re.split(r"(?<=[.!?])\s+", prose))):
-        out += [s] if _size(s) < 90 else [x for x in re.split(r"(?<=[.!?;:])\s+", s) if x]
+def page_units(page: str) -> list[str]:
+    """Headings, table rows as they are, and sentences; long ones are cut at semicolons and colons too."""
+    out: list[str] = []
+    for block in filter(None, map(str.strip, re.split(r"(?<=[.!?])\s+|\n{2,}", page.strip()))):
+        lines = [line for line in map(str.strip, block.split("\n")) if line]
+        if _HEADING.match(block):
+            out.append(block)
+        elif len(lines) > 1 and any(line[0] == "|" for line in lines):
+            for line in lines:
+                out += [line] if line[0] == "|" else _pieces(line)
+        else:
+            out += _pieces(block)
     return out
 
 
@@ -84,49 +78,57 @@ def _size(text: str) -> int:
     return max(1, round(len(text.split()) * 1.3))
 
 
-def _page_chunks(pages: list[str], target: int, least: int, overlap: int) -> list[tuple[int, str, str, int]]:
-    """(page, section, text, tokens): a heading ends a chunk of `least` tokens, a table isn't cut below twice the target."""
+def _page_chunks(pages: list[str], target: int, least: int, overlap: int, section_mode: str) -> list[tuple[int, str, str, int]]:
+    """(page, section, text, tokens). Every chunk but a page's last one leaves its last `overlap` units to the next.
+
+    A heading ends what has `least` tokens; a table goes on up to twice the target. A rest below `least`
+    tokens, with what it was left, joins the chunk before it, which may be of an earlier page.
+    """
     done: list[tuple[int, str, str, int]] = []
     for number, page in enumerate(pages or [], 1):
+        units = page_units(page or "")
+        named = [u.lstrip("#").strip() if _HEADING.match(u) else None for u in units]
+        section = next((s for s in named if s is not None), "")
         held: list[str] = []
-        section, fresh = "", 0
-
-        def flush(carry: bool) -> None:
-            nonlocal held, fresh
-            if fresh:
-                body = "\n".join(held)
-                done.append((number, section, body, _size(body)))
-            held, fresh = (held[-overlap:] if carry and overlap else []), 0
-
-        for kind, piece in _blocks(page or ""):
-            size = sum(map(_size, held))
-            if kind == "heading":
-                if size >= least:
-                    flush(False)
-                section = piece.lstrip("# ").strip()
-            elif size >= target and not (kind == "table" and size < 2 * target):
-                flush(True)
-            held.append(piece)
-            fresh += 1
-        body = "\n".join(held)
-        if fresh and done and _size(body) < least:  # a small rest joins the chunk before it
-            before = done.pop()
-            text = before[2] + "\n" + "\n".join(held[-fresh:])
-            done.append((before[0], before[1], text, _size(text)))
-        else:
-            flush(False)
+        size = 0
+
+        def flush(label: str) -> None:
+            nonlocal held, size
+            text = "\n".join(held)
+            done.append((number, label, text, _size(text)))
+            held = held[-overlap:] if overlap else []
+            size = _size("\n".join(held))
+
+        for k, unit in enumerate(units):
+            if named[k] is not None:
+                before, section = section, named[k]
+                if held and _size("\n".join(held)) >= least:
+                    flush(section if section_mode == "reference" else before)
+            held.append(unit)
+            size += _size(unit)
+            in_table = unit[0] == "|" and k + 1 < len(units) and units[k + 1][0] == "|"
+            if size >= target and (size >= 2 * target or not in_table):
+                flush(section)
+        rest = "\n".join(held)
+        if rest and done and _size(rest) < least:
+            at, label, text, _ = done.pop()
+            done.append((at, label, f"{text}\n{rest}", _size(f"{text}\n{rest}")))
+        elif rest:
+            flush(section)
     return done
 
 
-def chunk_pages(pages: DataFrame, target: int = 380, least: int = 60, overlap: int = 1) -> DataFrame:
+def chunk_pages(pages: DataFrame, target: int = 380, least: int = 60, overlap: int = 1, section_mode: str = "own") -> DataFrame:
     """(doc, page, section, chunk_no, text, token_count) of rows (doc, pages array<string>), with headings, tables and small rests.
 
+    section_mode: a chunk that a heading ends has its own section, or with "reference" that of the heading.
+
     The rules look back and forth within a document, so each document's pages are read by one Python call.
     """
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [(doc, p, s, k, t, n) for doc, own in zip(frame["doc"], frame["pages"]) for k, (p, s, t, n) in enumerate(_page_chunks(list(own) if own is not None else [], target, least, overlap))]
+            rows = [(doc, p, s, k, t, n) for doc, own in zip(frame["doc"], frame["pages"]) for k, (p, s, t, n) in enumerate(_page_chunks(list(own) if own is not None else [], target, least, overlap, section_mode))]
             yield pd.DataFrame(rows, columns=["doc", "page", "section", "chunk_no", "text", "token_count"])
 
     return pages.select("doc", "pages").mapInPandas(cut, f"doc {pages.schema['doc'].dataType.simpleString()}, page int, section string, chunk_no int, text string, token_count int")

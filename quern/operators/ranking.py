@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -19,6 +20,7 @@ from pyspark.sql.window import Window
 from ..functions import lexicon as L
 from ..functions import text as X
 from ..functions import vectors as V
+from ..sources.tables import kept
 
 
 def top_k(scored: DataFrame, k: int, score: str = "score", tie: str = "chunk_id", places: int = 6) -> DataFrame:
@@ -40,37 +42,124 @@ def question_terms(questions: DataFrame, tokens=X.tokens) -> DataFrame:
     return questions.select("query_id", F.explode(tokens(F.col("question"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
 
-def bm25(chunks: DataFrame, questions: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """(query_id, chunk_id, score): sum over the question's terms, as often as it has them, of idf times saturated tf.
+def _term_counts(chunks: DataFrame, tokens, terms: DataFrame | None = None) -> tuple[DataFrame, int, float, DataFrame]:
+    """(table of (chunk_id, t), number of chunks, mean length, (term, df)); the texts are tokenised once. terms: df of these only."""
+    held = kept(chunks.select("chunk_id", tokens(F.col("text")).alias("t")))
+    n, mean = held.agg(F.count("*"), F.avg(F.size("t"))).first()
+    long = held.select(F.explode(F.array_distinct("t")).alias("term"))
+    if terms is not None:
+        long = long.join(terms.select("term").distinct(), "term", "left_semi")
+    return held, n, mean or 1.0, long.groupBy("term").agg(F.count("*").alias("df"))
+
+
+class _Best:
+    """The k best (score, smallest or largest id) of each query among the candidates so far."""
+
+    def __init__(self, k: int, late: bool) -> None:
+        self.k, self.late, self.held = k, late, None
+
+    def add(self, query: np.ndarray, chunk: np.ndarray, score: np.ndarray) -> None:
+        if self.held is not None:
+            query, chunk, score = (np.concatenate(x) for x in zip(self.held, (query, chunk, score)))
+        tie = np.unique(chunk, return_inverse=True)[1]
+        order = np.lexsort((-tie if self.late else tie, -np.round(score, 6), query))
+        query = query[order]
+        front = np.arange(len(query)) - np.searchsorted(query, query) < self.k
+        self.held = query[front], chunk[order[front]], score[order[front]]
+
+
+def sparse_top(held: DataFrame, weights: DataFrame, k: int, *, mean: float | None = None, k1: float = 1.5, b: float = 0.75, least: float = 1e-9, most: float | None = None, late: bool = False, block: int = 2_048) -> DataFrame:
+    """(query_id, chunk_id, score, rank): each query's k best chunks of rows (chunk_id, t array<string>) by the weights (query_id, term, w) of the terms that they hold.
 
-    Only postings of the questions' terms are shuffled; a term's chunks are pre-aggregated before the join.
+    mean: the mean length, with which a term counts by BM25's saturated frequency; without it a term counts once. Scores
+    are `most` at most. Equal scores go to the smaller id, or to the larger one.
+
+    Queries go to the tasks in blocks of at most `block`, a bounded broadcast; a task scores its chunks and keeps its k
+    best of each query, so no pair of a query and a chunk is shuffled but these.
     """
+    kind = held.schema["chunk_id"].dataType.simpleString()
+    query_kind = weights.schema["query_id"].dataType.simpleString()
+    spark, out = held.sparkSession, None
+    ids = weights.select("query_id").distinct()
+    total = ids.count()
+    blocks = 1 if total <= block else -(-total // (block // 2))
+    for i in range(blocks):
+        part = weights if blocks == 1 else weights.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
+        asked = part.select("query_id", "term", F.col("w").cast("double").alias("w")).toArrow()
+        if not asked.num_rows:
+            continue
+        terms = asked.column("term").combine_chunks().dictionary_encode()
+        names = asked.column("query_id").combine_chunks().dictionary_encode()
+        order = np.argsort(terms.indices.to_numpy(), kind="stable")
+        starts = np.searchsorted(terms.indices.to_numpy()[order], np.arange(len(terms.dictionary) + 1))
+        shared = spark.sparkContext.broadcast((terms.dictionary, starts, names.indices.to_numpy()[order].astype(np.int64), asked.column("w").to_numpy()[order], names.dictionary))
+
+        def best(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            vocabulary, starts, query, weight, names = shared.value
+            found, asking = _Best(k, late), np.diff(starts)
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                lists = batch.column(1)
+                size = np.diff(lists.offsets.to_numpy())
+                row = np.repeat(np.arange(batch.num_rows), size)
+                term = pa.compute.index_in(lists.flatten(), value_set=vocabulary)
+                known = np.asarray(term.is_valid())
+                term, row = term.drop_null().to_numpy().astype(np.int64), row[known]
+                code, tf = np.unique(row * len(vocabulary) + term, return_counts=True)
+                row, term = code // len(vocabulary), code % len(vocabulary)
+                factor = np.ones(len(tf)) if mean is None else tf * (k1 + 1) / (tf + k1 * (1 - b + b * size[row] / mean))
+                own = batch.column(0).to_numpy(zero_copy_only=False)
+                cut = np.searchsorted(np.cumsum(asking[term]), np.arange(0, int(asking[term].sum()) + 1_000_000, 1_000_000))
+                cut = np.unique([0, *np.searchsorted(row, row[np.minimum(cut, len(row) - 1)]).tolist(), len(row)]) if len(row) else [0]
+                for lo, hi in zip(cut[:-1], cut[1:]):  # whole rows, about a million pairs of a posting and a query at once
+                    n = asking[term[lo:hi]]
+                    at = np.repeat(starts[term[lo:hi]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                    pair, where = np.unique(np.repeat(row[lo:hi], n) * len(names) + query[at], return_inverse=True)
+                    score = np.bincount(where, weight[at] * np.repeat(factor[lo:hi], n), len(pair))
+                    if most is not None:
+                        score = np.minimum(score, most)
+                    good = score > least
+                    found.add((pair % len(names))[good], own[(pair // len(names))[good]], score[good])
+            if found.held is not None:
+                q, c, s = found.held
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(q)), pa.array(c, batch_type(kind)), pa.array(s)], ["query_id", "chunk_id", "score"])
+
+        made = held.select("chunk_id", "t").mapInArrow(best, f"query_id {query_kind}, chunk_id {kind}, score double")
+        out = made if out is None else out.union(made)
+    if out is None:
+        out = spark.createDataFrame([], f"query_id {query_kind}, chunk_id {kind}, score double")
+    by = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 6)), F.desc("chunk_id") if late else F.asc("chunk_id"))
+    return out.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+
+
+def batch_type(kind: str) -> pa.DataType:
+    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+
+
+def bm25_top(chunks: DataFrame, questions: DataFrame, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """(query_id, chunk_id, score, rank): over the question's terms, as often as it has them, idf times saturated tf."""
     asked = question_terms(questions)
-    held = postings(chunks, asked)
-    n, mean = chunks.select(F.size(X.tokens(F.col("text"))).alias("s")).agg(F.count("*"), F.avg("s")).first()
-    df = held.groupBy("term").agg(F.count("*").alias("df"))
+    held, n, mean, df = _term_counts(chunks, X.tokens, asked)
     idf = F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    weighed = asked.join(df, "term").select("query_id", "term", (F.col("qtf") * idf).alias("w"))
-    part = F.col("w") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.lit(mean or 1.0)))
-    return weighed.join(held, "term").groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score")).where("score > 1e-9")
+    return sparse_top(held, asked.join(df, "term").select("query_id", "term", (F.col("qtf") * idf).alias("w")), k, mean=mean, k1=k1, b=b)
 
 
 def idf_table(chunks: DataFrame, terms: DataFrame | None = None) -> DataFrame:
-    n = chunks.count()
-    df = postings(chunks, terms).groupBy("term").agg(F.count("*").alias("df"))
-    return df.withColumn("idf", F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1))
+    long = chunks.select(F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("term"))
+    if terms is not None:
+        long = long.join(terms.select("term").distinct(), "term", "left_semi")
+    df = long.groupBy("term").agg(F.count("*").alias("df"))
+    return df.withColumn("idf", F.log((F.lit(chunks.count()) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1))
 
 
-def okapi(chunks: DataFrame, questions: DataFrame, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
-    """BM25 with the plain idf; where that is negative, epsilon times the mean idf of the vocabulary."""
-    held = postings(chunks, tokens=X.unicode_words)
-    n, mean = chunks.select(F.size(X.unicode_words(F.col("text"))).alias("s")).agg(F.count("*"), F.avg("s")).first()
-    plain = held.groupBy("term").agg(F.count("*").alias("df")).withColumn("raw", F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+def okapi_top(chunks: DataFrame, questions: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
+    """BM25 with the plain idf; where that is negative, epsilon times the mean idf of the vocabulary. Ties go to the later chunk."""
+    held, n, mean, df = _term_counts(chunks, X.unicode_words)
+    plain = kept(df.withColumn("raw", F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)))
     floor = epsilon * (plain.agg(F.avg("raw")).first()[0] or 0.0)
-    idf = plain.select("term", F.when(F.col("raw") < 0, F.lit(floor)).otherwise(F.col("raw")).alias("idf"))
-    asked = question_terms(questions, X.unicode_words).join(idf, "term")
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.lit(mean or 1.0)))
-    return asked.join(held, "term").groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score")).where("score > 0")
+    weights = question_terms(questions, X.unicode_words).join(plain, "term").select("query_id", "term", (F.col("qtf") * F.when(F.col("raw") < 0, F.lit(floor)).otherwise(F.col("raw"))).alias("w"))
+    return sparse_top(held, weights, k, mean=mean, k1=k1, b=b, least=0.0, late=True)
 
 
 _TRI = 4  # '#' and three characters
@@ -226,21 +315,27 @@ def question_stems(questions: DataFrame) -> DataFrame:
     return own.unionByName(more)
 
 
-def coverage(chunks: DataFrame, questions: DataFrame, pool: DataFrame | None = None) -> DataFrame:
-    """(query_id, chunk_id, coverage): the weight of the question's stems that a chunk holds, one at most."""
+def coverage_top(chunks: DataFrame, questions: DataFrame, k: int) -> DataFrame:
+    """(query_id, chunk_id, coverage, rank): the weight of the question's stems that a chunk holds, of that of its own stems, one at most."""
     stems = question_stems(questions)
-    if pool is not None:
-        chunks = chunks.join(pool.select("chunk_id").distinct(), "chunk_id", "left_semi")
-    held = chunks.select("chunk_id", F.explode(chunk_stems(F.concat_ws(" ", "text", "doc"))).alias("stem"))
     whole = stems.where("literal").groupBy("query_id").agg(F.sum("weight").alias("whole"))
-    hits = stems.join(held, "stem").groupBy("query_id", "chunk_id").agg(F.sum("weight").alias("got"))
-    out = hits.join(whole, "query_id").select("query_id", "chunk_id", F.least(F.lit(1.0), F.col("got") / F.col("whole")).alias("coverage"))
-    return out if pool is None else out.join(pool.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_semi")
+    weights = stems.join(whole, "query_id").select("query_id", F.col("stem").alias("term"), (F.col("weight") / F.col("whole")).alias("w"))
+    held = chunks.select("chunk_id", chunk_stems(F.concat_ws(" ", "text", "doc")).alias("t"))
+    return sparse_top(held, weights, k, most=1.0).withColumnRenamed("score", "coverage")
+
+
+def pool_coverage(pool: DataFrame, chunks: DataFrame, questions: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, coverage) of the pairs of a pool: both sides' stems meet as arrays, one row a pair."""
+    stems = question_stems(questions).groupBy("query_id").agg(F.collect_list(F.struct("stem", "weight")).alias("asked"), F.sum(F.when(F.col("literal"), F.col("weight"))).alias("whole"))
+    held = chunks.join(pool.select("chunk_id").distinct(), "chunk_id", "left_semi").select("chunk_id", chunk_stems(F.concat_ws(" ", "text", "doc")).alias("held"))
+    got = F.aggregate(F.filter("asked", lambda s: F.array_contains("held", s["stem"])), F.lit(0.0), lambda a, s: a + s["weight"])
+    rows = pool.select("query_id", "chunk_id").join(held, "chunk_id").join(stems, "query_id")
+    return rows.select("query_id", "chunk_id", F.least(F.lit(1.0), got / F.col("whole")).alias("coverage"))
 
 
 def blend(fused: DataFrame, chunks: DataFrame, questions: DataFrame, w_fused: float = 0.55, w_coverage: float = 0.35, w_agreement: float = 0.10) -> DataFrame:
     """Fused rows with coverage and the final score: weights, then the boosts for quantities, codes and figures."""
-    cover = coverage(chunks, questions, fused)
+    cover = pool_coverage(fused, chunks, questions)
     top = fused.groupBy("query_id").agg(F.max("fused").alias("top"))
     rows = fused.join(top, "query_id").join(cover, ["query_id", "chunk_id"], "left").join(chunks.select("chunk_id", "doc", "text"), "chunk_id").join(questions, "query_id")
     codes = lambda c: F.regexp_extract_all(F.lower(c), F.lit(L.ENTITY_CODE), F.lit(0))
@@ -371,3 +466,21 @@ def reranked(pool: DataFrame, n: int = 10) -> DataFrame:
     front = F.col("fusion_rank") <= n
     by = Window.partitionBy("query_id").orderBy(F.desc(front), F.desc(F.when(front, F.col("rerank_score"))), "fusion_rank")
     return pool.withColumn("rank", F.row_number().over(by))
+
+
+def neighbours(rows: DataFrame, group: str = "source", order: str = "doc_id", parts: int = 64) -> DataFrame:
+    """Rows (group, whole number) with the number before and after in the group.
+
+    Ranges of the numbers cut a large group; a range's first and last row look at the nearest range that has rows of the
+    group, of which there are `parts` at most.
+    """
+    low, high = rows.agg(F.min(order), F.max(order)).first()
+    width = max(1, ((high or 0) - (low or 0)) // parts + 1)
+    cut = rows.select(group, order, F.floor((F.col(order) - F.lit(low or 0)) / width).alias("_part"))
+    edges = cut.groupBy(group, "_part").agg(F.min(order).alias("_first"), F.max(order).alias("_last"))
+    between = Window.partitionBy(group).orderBy("_part")
+    edges = edges.select(F.col(group).alias("_group"), F.col("_part").alias("_p"), F.lag("_last").over(between).alias("_before"), F.lead("_first").over(between).alias("_after"))
+    inside = Window.partitionBy(group, "_part").orderBy(order)
+    seen = cut.withColumns({"before": F.lag(order).over(inside), "after": F.lead(order).over(inside)})
+    met = seen.join(edges, F.col(group).eqNullSafe(F.col("_group")) & F.col("_part").eqNullSafe(F.col("_p")), "left")
+    return met.select(group, order, F.coalesce("before", "_before").alias("before"), F.coalesce("after", "_after").alias("after"))

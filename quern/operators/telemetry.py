@@ -90,8 +90,8 @@ def leaderboard(ledger: DataFrame, feedback: DataFrame, top: int = 8) -> DataFra
 def candidates(feedback: DataFrame, ledger: DataFrame, golden: DataFrame) -> DataFrame:
     """(reason, n): what becomes of upvoted answers on their way to the golden set (question)."""
     up = feedback.where("rating = 'up'").join(ledger, "request_id", "left")
-    known = golden.select(X.normal_question(F.col("question")).alias("norm")).distinct().withColumn("known", F.lit(True))
-    up = up.withColumn("norm", X.normal_question(F.col("question"))).join(known, "norm", "left")
+    known = golden.select(X.question_key(F.col("question")).alias("norm")).distinct().withColumn("known", F.lit(True))
+    up = up.withColumn("norm", X.question_key(F.col("question"))).join(known, "norm", "left")
     first = F.row_number().over(Window.partitionBy("norm").orderBy(F.desc("ts"), "request_id"))
     fit = F.col("question").isNotNull() & (F.col("route") == "document") & ~F.col("fallback") & F.col("known").isNull()
     reason = F.when(F.col("question").isNull(), "unlinkable").when((F.col("route") != "document") | F.col("fallback"), "skipped_route").when(F.col("known"), "skipped_duplicate")

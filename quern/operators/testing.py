@@ -28,7 +28,7 @@ def outcome(results: DataFrame) -> DataFrame:
 
 def grown_set(base: DataFrame, added: DataFrame) -> DataFrame:
     """(question, source) of the base cases and of added ones that are no question of the base, each once."""
-    norm = X.normal_question(F.col("question"))
+    norm = X.question_key(F.col("question"))
     rows = base.select("question", F.lit("base").alias("source"), F.lit(0).alias("_o"), norm.alias("_n")).unionByName(added.where(F.length(F.trim("question")).between(3, 1000)).select("question", F.lit("user").alias("source"), F.lit(1).alias("_o"), norm.alias("_n")))
     return rows.groupBy("_n").agg(F.min(F.struct("_o", "question", "source")).alias("r")).select("r.question", "r.source")
 

@@ -13,8 +13,12 @@ from ..operators.telemetry import last_write
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder that the driver and all executors see: below spark.checkpoint.dir, or the warehouse where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """A new folder that the driver and all executors see: below spark.checkpoint.dir. Only a local master may leave that unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -35,12 +39,51 @@ def restore_json(spark: SparkSession, path: str, schema: StructType, required: t
 
 
 def current(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The table at a path, or an empty one if nothing is there; any other failure is raised."""
     try:
         return spark.read.schema(schema).parquet(path)
-    except AnalysisException:  # nothing is there yet
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
 
 
+def _store(spark: SparkSession, path: str):
+    """(Hadoop path, its file system)."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def versions(spark: SparkSession, folder: str) -> list[str]:
+    """Complete versions of a folder's tables, the oldest first."""
+    at, fs = _store(spark, f"{folder}/v*/_READY")
+    return sorted(str(s.getPath().getParent().toString()) for s in fs.globStatus(at) or [])
+
+
+def latest(spark: SparkSession, folder: str, name: str) -> str:
+    """The path of a table in the last complete version of a folder; a path where nothing is before the first."""
+    found = versions(spark, folder)
+    return f"{found[-1] if found else folder + '/v0'}/{name}"
+
+
+def publish(spark: SparkSession, folder: str, tables: dict[str, DataFrame], keep: int = 2) -> str:
+    """Write tables as a new version, which readers see when all of them are there; the last `keep` versions stay.
+
+    A run that fails leaves the last version as it was.
+    """
+    before = versions(spark, folder)
+    number = int(before[-1].rsplit("/v", 1)[1]) + 1 if before else 1
+    at = f"{folder}/v{number:08d}"
+    for name, table in tables.items():
+        table.write.mode("overwrite").parquet(f"{at}/{name}")
+    ready, fs = _store(spark, f"{at}/_READY")
+    fs.create(ready, True).close()
+    for old in [*before, at][:-keep]:
+        path, fs = _store(spark, old)
+        fs.delete(path, True)
+    return at
+
+
 def replace_documents(old: DataFrame, new: DataFrame, key: str = "doc") -> DataFrame:
     """The rows of documents that are ingested again give way to the new ones."""
     return old.join(new.select(key).distinct(), key, "left_anti").select(*old.columns).unionByName(new.select(*old.columns))

@@ -40,16 +40,48 @@ def test_vectors(spark):
     assert r["x"] == pytest.approx(0.8) and r["y"] == 0 and sum(r["s"]) == pytest.approx(1)
 
 
+def chunked(spark, pages, **options):
+    return [(r["page"], r["section"], r["text"], r["token_count"]) for r in C.chunk_pages(spark.createDataFrame([("g.md", pages), ("none", None)], "doc string, pages array<string>"), **options).orderBy("chunk_no").collect()]
+
+
 def test_page_chunks(spark):
     prose = " ".join(f"Sentence number {i} says little of note here." for i in range(12))
     pages = ["# Guide\n\n" + prose + "\n\n## Limits\n\n| a | b |\n|---|---|\n" + "\n".join(f"| {i} | {i * i} |" for i in range(8)), "Tiny tail."]
-    rows = C.chunk_pages(spark.createDataFrame([("g.md", pages), ("none", None)], "doc string, pages array<string>"), target=40, least=12).collect()
-    assert {r["doc"] for r in rows} == {"g.md"} and {r["section"] for r in rows} == {"Guide", "Limits"}
-    assert rows[-1]["text"].endswith("Tiny tail.") and rows[-1]["page"] == 1
-    whole = "\n".join(r["text"] for r in rows)
+    rows = chunked(spark, pages, target=40, least=12)
+    assert {r[1] for r in rows} == {"Guide", "Limits"}
+    assert rows[-1][2].endswith("Tiny tail.") and rows[-1][0] == 1
+    whole = "\n".join(r[2] for r in rows)
     assert all(f"Sentence number {i} says" in whole for i in range(12)) and all(f"| {i} | {i * i} |" in whole for i in range(8))
-    table = next(r for r in rows if "| 0 | 0 |" in r["text"])
-    assert "| 7 | 49 |" in table["text"]
+    table = next(r for r in rows if "| 0 | 0 |" in r[2])
+    assert "| 7 | 49 |" in table[2]
+
+
+def test_page_chunk_rules(spark):
+    """Golden rows: what headings, overlaps, tables and rests do, worked out by hand."""
+    s = [f"Sentence {k} has just seven words here." for k in range(6)]  # 9 tokens each
+    # a heading ends a chunk of `least` tokens and carries the overlap; the label is the chunk's own section or the heading's
+    page = f"{s[0]} {s[1]}\n\n## Next\n\n{s[2]}"
+    want = f"{s[1]}\n## Next\n{s[2]}"
+    assert chunked(spark, [page], target=100, least=12) == [(1, "Next", f"{s[0]}\n{s[1]}", 18), (1, "Next", want, 21)]
+    headed = f"# First\n\n{page}"
+    assert [r[1] for r in chunked(spark, [headed], target=100, least=12)] == ["First", "Next"]
+    assert [r[1] for r in chunked(spark, [headed], target=100, least=12, section_mode="reference")] == ["Next", "Next"]
+    # a full chunk leaves its last unit; an overlap that is left alone joins the chunk before it once more, or stands alone if it has `least` tokens
+    assert chunked(spark, [f"{s[0]} {s[1]}"], target=18, least=12) == [(1, "", f"{s[0]}\n{s[1]}\n{s[1]}", 27)]
+    assert chunked(spark, [f"{s[0]} {s[1]}"], target=18, least=9) == [(1, "", f"{s[0]}\n{s[1]}", 18), (1, "", s[1], 9)]
+    assert chunked(spark, [f"{s[0]} {s[1]}"], target=18, least=12, overlap=0) == [(1, "", f"{s[0]}\n{s[1]}", 18)]
+    # a table is not cut while its next row follows, up to twice the target
+    rows = [f"| row {k} | some cell |" for k in range(9)]  # 7 words, 9 tokens
+    got = chunked(spark, ["\n".join(rows[:4])], target=18, least=5)
+    assert [r[2] for r in got] == ["\n".join(rows[:4]), rows[3]]
+    got = chunked(spark, ["\n".join(rows)], target=18, least=5)
+    assert [r[2].count("\n") + 1 for r in got] == [4, 4, 3, 1] and got[1][2].startswith(rows[3])
+    # long units are cut at colons and semicolons too, table rows are not
+    long = "Here is a rather long sentence: it goes on; and on and on until it has over ninety characters in all."
+    assert C.page_units(long) == ["Here is a rather long sentence:", "it goes on;", "and on and on until it has over ninety characters in all."]
+    assert C.page_units(f"x\n| {long[:-1]} |") == ["x", f"| {long[:-1]} |"]
+    # a small page joins the last chunk of the page before it
+    assert chunked(spark, [s[0], "Tail."], target=100, least=5) == [(1, "", f"{s[0]}\nTail.", 10)]
 
 
 def test_recursive_split_bounds():
@@ -79,7 +111,7 @@ def asked(spark, *questions):
 
 def test_bm25_by_hand(spark, chunks):
     q = asked(spark, "warranty warranty months x300")
-    got = {r["chunk_id"]: r["score"] for r in R.bm25(chunks, q).collect()}
+    got = {r["chunk_id"]: r["score"] for r in R.bm25_top(chunks, q, 10).collect()}
     toks = {i: [t for t in re.findall("[a-z0-9]+", text.lower()) if t not in L.STOPWORDS] for i, _, text in CHUNKS}
     mean = sum(map(len, toks.values())) / 4
     for i, own in toks.items():
@@ -95,7 +127,7 @@ def test_hybrid_answers(spark, chunks):
     vectors = R.hash_vectors(chunks, "chunk_id", "text")
     pool = R.dense_top(vectors, R.hash_vectors(q, "query_id", "question", query_side=True), 4)
     picks = R.mmr(pool.join(vectors.withColumnRenamed("id", "chunk_id"), "chunk_id"), 3).withColumnRenamed("pick", "rank")
-    fused = R.rrf([picks, R.top_k(R.bm25(chunks, q), 4)])
+    fused = R.rrf([picks, R.bm25_top(chunks, q, 4)])
     named = R.code_named(fused, chunks, q)
     assert {(r["query_id"], r["chunk_id"]) for r in named.collect()} <= {(1, 2)}
     ranked = R.top_k(R.blend(fused, chunks, q), 4, places=4)
@@ -154,8 +186,13 @@ def test_units_of_tables():
 
 
 def test_keywords_deltas_and_blocks(spark):
-    assert one(spark, A.keywords, "It runs at 24 months, ±0.3 °C and code E103 with v3.2.1") == ["24 months", "0.3 °C", "E103"]
+    assert one(spark, A.keywords, "It runs at 24 months, ±0.3 °C and code E103 with v3.2.1") == [r"24\s*months?", r"0\.3\s*°?\s*C", "E103"]
     assert one(spark, A.keywords, "plain abc12x and 4711") == ["abc12x", "4711"]
+    assert one(spark, A.keywords, "v3.2.1 in 1 hour") == [r"1\s*hours?", r"v3\.2\.1"]
+    from quern.operators.testing import first_match
+
+    texts = spark.createDataFrame([("24 month", "x"), ("at 0.3C or so", "x"), ("0x3 C", "x")], "a string, b string")
+    assert [r[0] for r in texts.select(first_match(F.col("a"), A.keywords(F.lit("24 months, 0.3 °C")))).collect()] == [r"24\s*months?", r"0\.3\s*°?\s*C", None]
     parts = [r["delta"] for r in A.deltas(spark.createDataFrame([(1, "a b c d e f")], "query_id long, answer string")).orderBy("seq").collect()]
     assert parts == ["a b c d ", "e f"]
     blocks = A.context_blocks(spark.createDataFrame([(1, "[CTX 1] (a.md) first text\n[CTX 2] (b.md) second")], "query_id long, block string")).collect()
@@ -166,6 +203,26 @@ def test_word_diff(spark):
     rows = A.word_diff(spark.createDataFrame([(1, "the cat sat down", "the dog sat"), (2, None, "x")], "pair_id long, a string, b string")).orderBy("pair_id", "pos").collect()
     assert [(r["side"], r["words"]) for r in rows if r["pair_id"] == 1] == [("both", "the"), ("a", "cat"), ("b", "dog"), ("both", "sat"), ("a", "down")]
     assert [(r["side"], r["words"]) for r in rows if r["pair_id"] == 2] == [("b", "x")]
+    long = " ".join(f"w{i}" for i in range(501))
+    rows = A.word_diff(spark.createDataFrame([(3, long, long + " end")], "pair_id long, a string, b string")).orderBy("pos").collect()
+    assert [(r["side"], r["words"]) for r in rows] == [("a", long), ("b", long + " end")]
+
+
+def test_word_diff_is_a_longest_common_subsequence(spark):
+    """Against subsequences tried one by one, over all pairs of short texts of three words."""
+    from itertools import combinations
+
+    rng = random.Random(6)
+    pairs = [(k, " ".join(rng.choices("abc", k=rng.randint(0, 8))), " ".join(rng.choices("abc", k=rng.randint(0, 8)))) for k in range(40)]
+    rows = A.word_diff(spark.createDataFrame(pairs, "pair_id long, a string, b string")).orderBy("pair_id", "pos").collect()
+    for k, a, b in pairs:
+        own = [(r["side"], r["words"].split()) for r in rows if r["pair_id"] == k]
+        for side, text in (("a", a), ("b", b)):
+            assert [w for s, ws in own if s in (side, "both") for w in ws] == text.split()
+        left, right = a.split(), b.split()
+        inside = lambda sub: (lambda it: all(w in it for w in sub))(iter(right))
+        longest = max(n for n in range(len(left) + 1) if any(inside(c) for c in combinations(left, n)))
+        assert sum(len(ws) for s, ws in own if s == "both") == longest
 
 
 def test_fusion_does_not_depend_on_order(spark):
@@ -328,6 +385,7 @@ def test_versions_and_comparisons(spark, chunks):
 
 def test_ingest_and_stream_ingest(spark, tmp_path):
     from quern.jobs import ingest as I
+    from quern.sources import tables as S
     from quern.streaming import sessions
 
     folder, out = tmp_path / "corpus", str(tmp_path / "out")
@@ -337,13 +395,23 @@ def test_ingest_and_stream_ingest(spark, tmp_path):
     assert {r["doc"]: r["chunks"] for r in I.ingest(spark, str(folder), out).collect()} == {"a.md": 1, "b.txt": 1}
     (folder / "a.md").write_text("# One\n\nAnother text.")
     I.ingest(spark, str(folder), out)
-    texts = {r["doc"]: r["text"] for r in spark.read.parquet(f"{out}/chunks").collect()}
+    read = lambda name: spark.read.parquet(S.latest(spark, out, name))
+    texts = {r["doc"]: r["text"] for r in read("chunks").collect()}
     assert "Another text." in texts["a.md"] and len(texts) == 2
-    assert spark.read.parquet(f"{out}/postings").where("term = 'second'").count() == 1 and spark.read.parquet(f"{out}/vectors").count() == 2
+    assert read("postings").where("term = 'second'").count() == 1 and read("vectors").count() == 2
+    captions = spark.createDataFrame([("b.txt", 3, 1, "a chart")], "doc string, page int, figure_no int, caption string")
+    assert {r["doc"]: (r["chunks"], r["figures"]) for r in I.ingest(spark, str(folder), out, figures=captions).collect()} == {"a.md": (1, 0), "b.txt": (2, 1)}
     figures = I.figure_chunks(spark.createDataFrame([("p.pdf", 3, 1, "a chart"), ("p.pdf", 3, 2, "a plot")], "doc string, page int, figure_no int, caption string"))
     assert figures.select("chunk_id").distinct().count() == 2 and I.numbered(figures).agg(F.max("ordinal")).first()[0] == 2
+    before = S.versions(spark, out)
+    with pytest.raises(Exception, match="no_such_column"):
+        S.publish(spark, out, {"chunks": read("chunks"), "terms": read("terms").withColumn("x", F.raise_error(F.lit("no_such_column")))})
+    assert S.versions(spark, out) == before and read("chunks").count() == 3
     I.reset(spark, out)
-    assert spark.read.parquet(f"{out}/chunks").count() == 0
+    assert all(read(name).count() == 0 for name in ("chunks", "postings", "terms", "vectors"))
+    (tmp_path / "odd").write_text("not a table")
+    with pytest.raises(Exception):
+        S.current(spark, str(tmp_path / "odd"), read("chunks").schema).count()
 
     from quern.sources.documents import corpus_files
 
