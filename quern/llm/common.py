@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import base64
+import contextlib
+import ctypes
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
@@ -92,6 +94,13 @@ def byte_pair_encoding(ranks: str | None = None):
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers live on after a task."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def text_slices(batch: pa.RecordBatch, limit: int = SLICE_BYTES, name: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Cut a batch into runs of rows of about `limit` bytes of text.
 
@@ -114,7 +123,7 @@ def text_slices(batch: pa.RecordBatch, limit: int = SLICE_BYTES, name: str = "te
         yield batch.slice(start, stop - start), data[offsets[start] : offsets[stop]], offsets[start : stop + 1] - offsets[start]
         start = stop
     del column, buffers, offsets, data
-    pa.default_memory_pool().release_unused()  # workers live on after a task
+    give_back()
 
 
 def texts_of(rows: pa.RecordBatch, name: str = "text") -> list[str]:

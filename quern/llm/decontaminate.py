@@ -125,7 +125,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(keys), pa.array(counts.astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), items)], ["doc_id", "text_key", "n_words", "hits"])
 
     kind = source.schema["doc_id"].dataType.simpleString()
-    hits = source.mapInArrow(scan, f"doc_id {kind}, text_key long, n_words long, hits array<struct<{_HIT_SQL}>>").select("doc_id", "text_key", "n_words", F.explode("hits").alias("h")).select("doc_id", "text_key", "n_words", "h.*")
+    scanned = materialise(source.mapInArrow(scan, f"doc_id {kind}, text_key long, n_words long, hits array<struct<{_HIT_SQL}>>"))  # a task runs one Python function at a time
+    hits = scanned.select("doc_id", "text_key", "n_words", F.explode("hits").alias("h")).select("doc_id", "text_key", "n_words", "h.*")
     other = prints.select("item_id", "fp", F.col("size").alias("i_size"), F.col("left").alias("i_left"), F.col("right").alias("i_right"))
     if few:
         met = hits.join(F.broadcast(other), "fp", "left")

@@ -132,28 +132,35 @@ def _newton(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float) -> n
     return beta
 
 
+def _chains(counts: np.ndarray, most: int = 1_000) -> tuple[np.ndarray, np.ndarray]:
+    """(lines of each chain, chains of each document): documents cut into chains of at most `most` lines."""
+    parts = -(-counts // most)
+    chains = np.full(int(parts.sum()), most)
+    chains[np.cumsum(parts) - 1] = counts - (parts - 1) * most
+    return chains, parts
+
+
 def _fit(features: np.ndarray, sizes: np.ndarray, counts: np.ndarray, labels: np.ndarray, steps: int) -> LineModel:
     """Conditional likelihood of the documents' labels as the labels of all their lines, by Adam steps from a line-wise logistic fit.
 
     Every document counts alike: the gradient of its log likelihood is divided by its number of lines.
     """
     doc_of = np.repeat(np.arange(len(counts)), counts)
+    chains, parts = _chains(counts)  # of a very long document the fit has several chains
     y = labels[doc_of]
     weight = sizes / np.bincount(doc_of, sizes)[doc_of]
     start = _newton(features, y, weight, 1.0)
     theta = np.concatenate([start, [0.5, 0.0, 0.0, 0.5]])
-    here = np.ones(len(y), bool)
-    here[np.cumsum(counts) - 1] = False
     per_doc = 1.0 / counts
     seen_trans = np.zeros((2, 2))
     for s in (0, 1):
-        seen_trans[s, s] = (per_doc * (counts - 1))[labels == s].sum()
+        seen_trans[s, s] = (per_doc * (counts - parts))[labels == s].sum()
     m, v = np.zeros(len(theta)), np.zeros(len(theta))
     line_weight = per_doc[doc_of]
     for k in range(1, steps + 1):
         trans = theta[-4:].reshape(2, 2)
         unary = np.column_stack([np.zeros(len(y)), features @ theta[:-4]])
-        marginal, pairs, _ = _passes(unary, counts, trans, per_doc)
+        marginal, pairs, _ = _passes(unary, chains, trans, np.repeat(per_doc, parts))
         grad = np.concatenate([features.T @ (line_weight * (y - marginal[:, 1])), (seen_trans - pairs).ravel()]) / len(counts) - 1e-3 * theta
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         theta = theta + 0.05 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_pair_encoding, discard, materialise, plain, text_slices, texts_of
+from .common import byte_pair_encoding, discard, give_back, materialise, plain, text_slices, texts_of
 
 _SPECIAL = "<|endoftext|>"
 _IDS = 1 << 16
@@ -254,6 +254,7 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", win
         }
         if keep_ids:
             columns["ids"] = pa.array([x.tolist() for x in ids], pa.list_(pa.int32()))
+        give_back()
         return pa.table(columns)
 
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * keep_ids

@@ -23,7 +23,8 @@ _KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
-_RUN = re.compile(r"[A-Za-z0-9+/_=-]+(?:\.[A-Za-z0-9+/_=-]+)*")
+#: Runs that can have RUN_CHARS characters; a look-ahead passes quickly over words that are short.
+_RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])(?<![A-Za-z0-9+/_=-]\.)(?=[A-Za-z0-9+/_=.-]{20})[A-Za-z0-9+/_=-]+(?:\.[A-Za-z0-9+/_=-]+)*")
 #: Least characters of a run that is tested.
 RUN_CHARS = 20
 _NUMBER = re.compile(r"[0-9.+/_=-]+")
