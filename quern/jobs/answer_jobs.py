@@ -105,7 +105,22 @@ def verify_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.verify(said_of(spark, sf_dir), contexts_of(spark, sf_dir))
 
 
-@query()
+SQL_JUDGE = f"list_transform(regexp_extract_all(lower({{0}}), '[a-z][a-z''-]+|[0-9]+(?:[.][0-9]+)?'), lambda w: {sql_stem('w', L.JUDGE_SUFFIXES, 3)})"
+SQL_SPOKEN = f"list_filter({SQL_JUDGE}, lambda w: w NOT IN ({', '.join(repr(w) for w in L.JUDGE_STOPWORDS)}))"
+SQL_NUMBERS = "list_filter(regexp_extract_all({0}, '[A-Za-z0-9./-]+'), lambda x: regexp_full_match(x, '[0-9]+([.][0-9]+)?'))"
+
+
+@query(
+    f"""WITH {SQL_BM25}, o AS (SELECT query_id, list_distinct(flatten(list({SQL_JUDGE.format('text')}))) AS words, list_distinct(flatten(list({SQL_NUMBERS.format('text')}))) AS numbers FROM bm25 JOIN documents ON doc_id = chunk_id WHERE rank <= 4 GROUP BY query_id),
+    a AS (SELECT item_id AS query_id, trim(text, ' ') AS answer FROM benchmark),
+    p AS (SELECT query_id, answer, list_filter(list_transform(string_split(regexp_replace(regexp_replace(answer, '([.!?;])\\s+', '\\1' || chr(1), 'g'), '\\n+', chr(1), 'g'), chr(1)), lambda s: trim(s, ' ')), lambda s: length(s) >= 12) AS parts FROM a),
+    c AS (SELECT query_id, answer, unnest(CASE WHEN len(parts) > 0 THEN parts ELSE [answer] END) AS s FROM p),
+    m AS (SELECT query_id, answer, {SQL_SPOKEN.format('s')} AS ws, {SQL_NUMBERS.format('s')} AS ns, coalesce(words, []) AS words, coalesce(numbers, []) AS numbers FROM c LEFT JOIN o USING (query_id)),
+    k AS (SELECT query_id, answer, len(ws) > 0 AS spoken, len(list_filter(ns, lambda n: NOT list_contains(numbers, n))) = 0 AS fits, len(list_filter(ws, lambda w: list_contains(words, w))) / len(ws) AS share FROM m),
+    g AS (SELECT query_id, count(*) AS claims, count(*) FILTER (WHERE spoken AND fits AND share >= 0.62) AS supported, count(*) FILTER (WHERE spoken AND NOT fits) AS contradictions FROM k GROUP BY query_id),
+    w AS (SELECT query_id, answer, {SQL_SPOKEN.format('answer')} AS ws, coalesce(words, []) AS words FROM a LEFT JOIN o USING (query_id))
+    SELECT query_id, CASE WHEN answer = '' THEN 1.0 ELSE round(greatest(0, least(1, 0.65 * supported / claims + 0.35 * CASE WHEN len(ws) > 0 THEN len(list_filter(ws, lambda x: list_contains(words, x))) / len(ws) ELSE 1 END - 0.12 * contradictions)), 3) END AS score, claims, supported, contradictions FROM g JOIN w USING (query_id)"""
+)
 def faithfulness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.faithfulness(said_of(spark, sf_dir), contexts_of(spark, sf_dir).where("rank <= 4").select("query_id", "text"))
 

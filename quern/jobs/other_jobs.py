@@ -13,9 +13,9 @@ from .catalog import query, table
 from .telemetry_jobs import SQL_LEDGER, SQL_RUNS, ledger_of, runs_of
 
 
-@query("SELECT '' || item_id || ',' || CASE WHEN regexp_matches(text, '[\",\\n]') THEN '\"' || replace(text, '\"', '\"\"') || '\"' ELSE text END || ',' || array_to_string(list_slice(string_split(text, ' '), 1, 0), ';') || (item_id % 3)::VARCHAR AS line FROM benchmark")
+@query("SELECT '' || item_id || ',' || CASE WHEN regexp_matches(text, '[\",\\n]') THEN '\"' || replace(text, '\"', '\"\"') || '\"' ELSE text END || ',' || (item_id % 3)::VARCHAR || ';' || (item_id % 2)::VARCHAR AS line FROM benchmark")
 def csv_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "benchmark").select("item_id", "text", F.array((F.col("item_id") % 3).cast("string")).alias("docs"))
+    rows = table(spark, sf_dir, "benchmark").select("item_id", "text", F.array((F.col("item_id") % 3).cast("string"), (F.col("item_id") % 2).cast("string")).alias("docs"))
     return tables.csv_lines(rows, ["item_id", "text", "docs"])
 
 
@@ -87,6 +87,12 @@ def customers_without_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_totalprice > 300000)")
+def customers_without_large_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    large = table(spark, sf_dir, "orders").where("o_totalprice > 300000")
+    return table(spark, sf_dir, "customer").join(large, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+
+
 @query("SELECT o_custkey, o_orderkey, rank FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders) WHERE rank <= 3")
 def largest_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     by = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")

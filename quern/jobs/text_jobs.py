@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions import text as X
-from ..operators import chunking
+from ..operators import chunking, ranking
 from .catalog import query, table
 
 STOP = L.sql_list(L.STOPWORDS)
@@ -135,25 +135,12 @@ def fnv_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
         UNION ALL SELECT item_id, '#' || substr(s, i, 3), 0.35 FROM (SELECT item_id, s, unnest(range(1, length(s) - 1)) AS i FROM j)),
     h AS (SELECT item_id, {SQL_FNV.format('feature')} AS h, w FROM f),
     v AS (SELECT item_id, h % 384 AS slot, sum(CASE WHEN (h >> 31) & 1 = 0 THEN w ELSE -w END) AS v FROM h GROUP BY ALL)
-    SELECT item_id, slot, round(v / sqrt(sum(v * v) OVER (PARTITION BY item_id)), 6) AS value FROM v"""
+    SELECT * FROM (SELECT item_id, slot, round(v / sqrt(sum(v * v) OVER (PARTITION BY item_id)), 6) AS value FROM v) WHERE value <> 0"""
 )
 def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signed feature hashing of benchmark questions, one row a slot that is hit."""
-    items = table(spark, sf_dir, "benchmark").select("item_id", X.tokens(F.col("text")).alias("t"), X.words(F.col("text")).alias("w"))
-    items = items.select("item_id", F.when(F.size("t") > 0, F.col("t")).when(F.size("w") > 0, F.col("w")).otherwise(F.array(F.lit("<empty>"))).alias("t"))
-    joined = F.array_join("t", " ")
-    at = F.when(F.length(joined) >= 3, F.sequence(F.lit(1), F.length(joined) - 2)).otherwise(F.array().cast("array<int>"))
-    kinds = F.array(
-        F.struct(F.col("t").alias("fs"), F.lit(1.25).alias("w")),
-        F.struct(X.grams(F.col("t"), 2, "_").alias("fs"), F.lit(0.6).alias("w")),
-        F.struct(F.transform(at, lambda i: F.concat(F.lit("#"), F.substring(joined, i, F.lit(3)))).alias("fs"), F.lit(0.35).alias("w")),
-    )
-    features = items.select("item_id", F.explode(kinds).alias("k")).select("item_id", "k.w", F.explode("k.fs").alias("f"))
-    hashed = features.select("item_id", "w", X.fnv1a(F.col("f")).alias("h"))
-    signed = F.when(F.shiftright("h", 31).bitwiseAND(1) == 0, F.col("w")).otherwise(-F.col("w"))
-    sums = hashed.groupBy("item_id", (F.col("h") % 384).alias("slot")).agg(F.sum(signed).alias("v"))
-    length = sums.groupBy("item_id").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("n"))
-    return sums.join(length, "item_id").select("item_id", "slot", F.round(F.col("v") / F.col("n"), 6).alias("value"))
+    vectors = ranking.hash_vectors(table(spark, sf_dir, "benchmark"), "item_id", "text", query_side=True)
+    return vectors.select(F.col("id").alias("item_id"), F.posexplode("vector").alias("slot", "value")).select("item_id", F.col("slot").cast("long").alias("slot"), F.round("value", 6).alias("value")).where("value <> 0")
 
 
 @query(f"SELECT {sql_stem('term')} AS stem, count(*) AS terms FROM (SELECT DISTINCT unnest({SQL_TOKENS}) AS term FROM documents) GROUP BY 1")
