@@ -9,6 +9,7 @@ from quern.llm import brownlm, decontaminate, kdshard, linecrf, multiindex, pack
 
 from . import brute
 
+LINES = 100_000
 COLUMNS = "text string, bits long, doc_id long, spans string, component string, lang string, source string, n_chars long, label int, rank int, shard int, row long, fp long"
 
 
@@ -18,11 +19,11 @@ def make(spark, texts, ids):
 
 @pytest.fixture(scope="module")
 def long(spark):
-    """A text of 300,000 lines, one without white space, and short ones; labels and a benchmark for them."""
+    """A text of 100,000 lines, one without white space, and short ones; labels and a benchmark for them."""
     rng = random.Random(1)
     words = ["the", "of", "and", "rest", "idiot", "straße", "x9"]
-    lines = "\n".join(rng.choice(words) for _ in range(300_000))
-    run = "".join(rng.choice("ghjkmnpqrstvwxyz") for _ in range(300_000))
+    lines = "\n".join(rng.choice(words) for _ in range(LINES))
+    run = "".join(rng.choice("ghjkmnpqrstvwxyz") for _ in range(LINES))
     texts = [lines, run, "one two three.", None, "", lines[:500]]
     labels = spark.createDataFrame([(k, k % 2, k % 2) for k in range(6)], "doc_id long, quality int, toxic int")
     bench = spark.createDataFrame([(1, lines[1000:1100]), (2, "never seen anywhere in these few texts at all today")], "item_id long, text string")
@@ -33,7 +34,7 @@ def test_long_texts_are_treated_whole(spark, long):
     texts, docs, labels, bench = long
     by_id = lambda df: {r["doc_id"]: r for r in df.collect()}
     rows = by_id(secrets.secret_report(docs))
-    assert [rows[k]["n_hex"] for k in range(6)] == [0] * 6 and rows[1]["spans"] == "random:0:300000"
+    assert [rows[k]["n_hex"] for k in range(6)] == [0] * 6 and rows[1]["spans"] == f"random:0:{LINES}"
     rows = by_id(simhash.near_duplicate_report(docs))
     assert all(rows[k]["fingerprint"] == f"{brute.simhash(t or ''):016x}" for k, t in enumerate(texts) if k)
     items = [(r["item_id"], r["text"]) for r in bench.collect()]
@@ -50,8 +51,8 @@ def test_long_texts_are_treated_whole(spark, long):
         assert own[0][0] == 0 and all(a + n == b for (a, n, _), (b, _, _) in zip(own, own[1:])) and sum(n for _, n, _ in own) == own[0][2]
     assert sum(r["size"] for r in kdshard.shard_report(docs).collect()) == sum(len((t or "").encode()) + 1 for t in texts)
     rows = by_id(brownlm.lm_report(docs))
-    assert rows[0]["n_tokens"] == 300_001 and rows[1]["n_tokens"] == 2 and rows[3]["n_tokens"] == 1
-    assert by_id(linecrf.quality_report(docs, labels))[0]["n_lines"] == 300_000
+    assert rows[0]["n_tokens"] == LINES + 1 and rows[1]["n_tokens"] == 2 and rows[3]["n_tokens"] == 1
+    assert by_id(linecrf.quality_report(docs, labels))[0]["n_lines"] == LINES
     assert by_id(toxicity.toxicity_report(docs, labels))[0]["n_hits"] == texts[0].split().count("idiot")
     vectors = spark.createDataFrame([(k, [float(k + j) for j in range(20_000)]) for k in range(3)], "vec_id long, embedding array<float>")
     assert [r["vec_id"] for r in multiindex.neighbour_report(vectors).orderBy("rank").collect()] == [1, 2]
