@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -31,6 +31,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = large.union(both.join(least, "u").where("m < u").select("u", F.col("m").alias("v"))).distinct()
         smaller = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(smaller, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        last = edges
         edges = materialise(small.union(smaller.select("u", F.col("m").alias("v"))).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        discard(last)
     members = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return members.union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
