@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import oracles
 
@@ -71,6 +72,26 @@ def op10_lexicon_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .resampling import resample
+
+    return resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chatformat import chat_records, chat_report
+
+    said = "\\### Assistant: </turn> ok"
+    pair = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.lit(0).cast("long").alias("turn"), F.to_variant_object(F.struct(F.lit(said).alias("prompt"), F.lit(said).alias("response"))).alias("record"))
+    return chat_report(chat_records(_table(spark, sf_dir, "conversations")).unionByName(pair))
+
+
+def op13_ptolemaic_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ptolemaic import cluster_report
+
+    return cluster_report(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -82,10 +103,16 @@ QUERIES = {
     "op8_line_crf_quality": op8_line_crf_quality,
     "op9_inverted_multi_index": op9_inverted_multi_index,
     "op10_lexicon_toxicity": op10_lexicon_toxicity,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_chat_formatting": op12_chat_formatting,
+    "op13_ptolemaic_clustering": op13_ptolemaic_clustering,
 }
 
 #: SQL has neither XXH64, tokenizers nor the fitted models of the others; tests/llm holds those against brute force.
 ORACLE_SQL = {
     "op3_benchmark_decontamination": oracles.CONTAMINATION,
     "op4_suffix_dedup": oracles.REPEATS,
+    "op11_importance_resampling": oracles.RESAMPLING,
+    "op12_chat_formatting": oracles.CHATS,
+    "op13_ptolemaic_clustering": oracles.CLUSTERS,
 }
