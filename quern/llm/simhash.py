@@ -173,7 +173,7 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     repeat both the id and the text one stays. broadcast_limit: rows to drop (some 50 bytes each) up to which they are
     broadcast; beyond, the texts are shuffled to them.
     """
-    found = materialise(near_copies(docs, id_col=id_col, text_col=text_col).where("doc_id is not null"))
+    found = near_copies(docs, id_col=id_col, text_col=text_col).where("doc_id is not null")
     stays = found.groupBy("component").agg(F.min(F.struct("doc_id", "of_text")).alias("stays"))
     gone = materialise(found.join(stays, "component").where(F.struct("doc_id", "of_text") != F.col("stays")).select(F.col("doc_id").alias("__id"), F.col("of_text").alias("__text")).distinct())
     same = F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col("__text"))

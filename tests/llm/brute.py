@@ -87,3 +87,16 @@ def unigram_scores(texts: list[tuple[bool, str | None]]) -> tuple[int, list[tupl
     counts = Counter(w for (held, _), words in zip(texts, split) if not held for w in words)
     n, v = sum(counts.values()), len(counts)
     return n, [(len(words), sum(counts[w] > 0 for w in words), sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in words)) for words in split]
+
+
+def near_groups(texts: dict) -> dict:
+    """Least key of each text's group over Jaccard similarities of five-word shingles of 0.8 or more."""
+    words = {k: ascii_lower(t or "").split() for k, t in texts.items()}
+    own = {k: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for k, w in words.items()}
+    group = {k: k for k in texts}
+    for i in texts:
+        for j in texts:
+            if i < j and group[i] != group[j] and (own[i] == own[j] or 5 * len(own[i] & own[j]) >= 4 * len(own[i] | own[j])):
+                low, high = sorted((group[i], group[j]))
+                group = {k: low if g == high else g for k, g in group.items()}
+    return group

@@ -146,9 +146,9 @@ def test_rows_that_repeat_an_id(spark, limit):
     assert sorted((str(r["doc_id"]), r["text"][:3]) for r in kept.collect()) == [("3", "one"), ("5", "alp"), ("None", "alp")]
 
 
-@pytest.mark.parametrize("limit", [3, 4096])
-def test_near_copies_match_brute_force(spark, limit):
-    """Planted copies of changing distance, most of them far over two SimHash bits."""
+@pytest.mark.parametrize("limit, large", [(3, 64), (4096, 64), (4096, 2), (3, 2)])
+def test_near_copies_match_brute_force(spark, limit, large):
+    """Planted copies of changing distance, most of them far over two SimHash bits, and texts that share a long passage."""
     from quern.llm import nearcopies
 
     rng = random.Random(limit)
@@ -160,20 +160,30 @@ def test_near_copies_match_brute_force(spark, limit):
             for at in rng.sample(range(len(base)), rng.randint(0, 4)):
                 copy[at] = f"new{rng.randint(0, 999)}"
             texts.append(" ".join(copy))
-    words = [[w for w in brute.ascii_lower(t or "").split()] for t in texts]
-    own = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
-    group, wide = list(range(len(texts))), 0
-    for i in range(len(texts)):
-        for j in range(i):
-            if own[i] == own[j] or 5 * len(own[i] & own[j]) >= 4 * len(own[i] | own[j]):
-                low, high = sorted((group[i], group[j]))
-                group = [low if g == high else g for g in group]
-                wide += (brute.simhash(texts[i] or "") ^ brute.simhash(texts[j] or "")).bit_count() > 2
-    assert wide > 50 and len({g for g in group if group.count(g) > 1}) > 5
-    found = nearcopies.near_copies(make(spark, texts), group_limit=limit).collect()
-    assert {r["doc_id"]: r["component_id"] for r in found} == dict(enumerate(group))
-    kept = simhash.drop_near_duplicates(make(spark, texts))
-    assert {r["doc_id"] for r in kept.collect()} == set(group)
+    passage = " ".join(f"p{k}" for k in range(150))
+    for k in range(20):
+        own = " ".join(f"o{k}x{j}" for j in range(14 + 2 * k))
+        texts += [f"{own} {passage}", *[f"{own} {passage} tail {k}"] * (k % 3)]
+    group = brute.near_groups(dict(enumerate(texts)))
+    prints = [brute.simhash(t or "") for t in texts]
+    assert sum((prints[k] ^ prints[g]).bit_count() > 2 for k, g in group.items()) > 20
+    found = nearcopies.near_copies(make(spark, texts), group_limit=limit, large=large).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == group
+    if large == 64:
+        kept = simhash.drop_near_duplicates(make(spark, texts))
+        assert {r["doc_id"] for r in kept.collect()} == set(group.values())
+
+
+def test_a_shared_passage_makes_no_pairs(spark):
+    """Texts of which most is one passage, under the similarity: as good as nothing is left to check."""
+    from quern.llm import nearcopies
+
+    passage = " ".join(f"p{k}" for k in range(800))
+    sets = [(n, nearcopies.shingle_set(f"{passage} {' '.join(f'o{n}x{j}' for j in range(250))}".encode()).view(np.int64).tolist()) for n in range(120)]
+    keys = nearcopies._prefix_keys(spark.createDataFrame(sets, "bits long, members array<long>"), 80)
+    assert nearcopies._groups(keys).count() == 0
+    few = nearcopies._prefix_keys(spark.createDataFrame(sets, "bits long, members array<long>"), 80, most=700)  # none is told apart any more, and all of the prefix goes
+    assert few.count() == sum(len(x) + 1 - -(-80 * len(x) // 100) for _, x in sets)
 
 
 def test_members_of_a_group_are_compared_beyond_its_pivot():
