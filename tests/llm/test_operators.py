@@ -190,7 +190,7 @@ def test_members_of_a_group_are_compared_beyond_its_pivot():
     from quern.llm import nearcopies
 
     a, b, c = (np.unique(np.random.default_rng(0).integers(0, 2**64, 300, dtype=np.uint64))[s] for s in (slice(0, 200), slice(95, 295), slice(100, 300)))
-    rows = [{"bits": k, "n": len(s), "root": k, "block": 0, "pivot": 0, **dict(zip(nearcopies._MAP, nearcopies.parity_map(s).tolist()))} for k, s in enumerate((a, b, c))]
+    rows = [{"bits": k, "n": len(s), "root": k, "block": 0, "pivot": 0, "map": nearcopies.parity_map(s)} for k, s in enumerate((a, b, c))]
     assert [(p.tolist(), more) for p, more in nearcopies._possible(rows, 80, 0, 1)] == [([[1, 2]], False)]
     assert [(p.tolist(), more) for p, more in nearcopies._possible(rows, 80, 0, 0)] == [([], True)]
 
