@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
-from ..operators import chunking
+from ..operators import chunking, indexed
 from ..operators import ranking as R
 from ..sources import documents, tables
 
@@ -25,7 +25,7 @@ def chunks_of_files(files: DataFrame, target: int = 380, least: int = 60, overla
     """CHUNKS of corpus files."""
     pages = documents.text_pages(files).withColumn("pages", F.transform("pages", X.clean_page))
     cut = chunking.chunk_pages(pages, target, least, overlap).join(pages.select("doc", "doc_kind"), "doc")
-    ids = F.concat("doc", F.lit("::p"), "page", F.lit("::"), F.substring(F.sha2("text", 256), 1, 16))
+    ids = F.concat("doc", F.lit("::p"), "page", F.lit("::"), F.substring(F.sha2("text", 256), 1, 16), chunking.repeat_mark(F.col("repeat")))
     return cut.select(ids.alias("chunk_id"), "doc", "doc_kind", "page", "section", "text", "token_count", F.lit(False).alias("is_figure"))
 
 
@@ -35,9 +35,9 @@ def numbered(chunks: DataFrame) -> DataFrame:
 
 
 def _index(spark: SparkSession, chunks: DataFrame) -> dict[str, DataFrame]:
-    """The tables that retrieval reads: chunks, postings, terms, vectors."""
-    keyed = chunks.select("chunk_id", F.concat_ws(" ", "text", "section", "doc").alias("text"))
-    return {"chunks": chunks, "postings": R.postings(keyed), "terms": R.idf_table(keyed), "vectors": R.hash_vectors(chunks, "chunk_id", "text")}
+    """The tables that retrieval reads: chunks, vectors, and those of indexed.index_tables()."""
+    keyed = chunks.select("chunk_id", R.search_text(chunks).alias("text"))
+    return {"chunks": chunks, **indexed.index_tables(keyed), "vectors": R.hash_vectors(chunks, "chunk_id", "text")}
 
 
 def ingest(spark: SparkSession, folder: str, out: str, reset: bool = False, figures: DataFrame | None = None) -> DataFrame:
@@ -57,7 +57,7 @@ def ingest(spark: SparkSession, folder: str, out: str, reset: bool = False, figu
 
 
 def reset(spark: SparkSession, out: str) -> None:
-    """A version without any chunk, posting, term or vector."""
+    """A version without any chunk, posting block, term or vector."""
     tables.publish(spark, out, _index(spark, spark.createDataFrame([], CHUNKS)))
 
 

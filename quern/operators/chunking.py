@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -42,11 +43,18 @@ def _fold(s: Column, u: Column, target: int, overlap: int) -> Column:
     )
 
 
+def repeat_mark(repeat: Column) -> Column:
+    """What the id of a chunk has besides its text's hash if the text came before in its document and page: how often it did."""
+    return F.when(repeat > 0, F.concat(F.lit("::"), repeat.cast("string"))).otherwise("")
+
+
 def chunk_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", target: int = 380, overlap: int = 1) -> DataFrame:
     """(doc_id, chunk_no, chunk_id, text, token_count); ids are stable, from the text's hash."""
     held = docs.select(F.col(id_col).alias("doc_id"), X.units(F.coalesce(text_col, F.lit(""))).alias("units"))
-    cut = held.select("doc_id", F.posexplode(greedy_chunks(F.col("units"), target, overlap)).alias("chunk_no", "c"))
-    chunk_id = F.concat(F.col("doc_id").cast("string"), F.lit("::p1::"), F.substring(F.sha2("c.text", 256), 1, 16))
+    cut = held.select("doc_id", greedy_chunks(F.col("units"), target, overlap).alias("chunks"))
+    before = lambda c, i: F.size(F.filter(F.slice("chunks", F.lit(1), i), lambda x: x["text"] == c["text"]))
+    cut = cut.select("doc_id", F.posexplode(F.transform("chunks", lambda c, i: F.struct(c["text"].alias("text"), c["token_count"].alias("token_count"), before(c, i).alias("repeat")))).alias("chunk_no", "c"))
+    chunk_id = F.concat(F.col("doc_id").cast("string"), F.lit("::p1::"), F.substring(F.sha2("c.text", 256), 1, 16), repeat_mark(F.col("c.repeat")))
     return cut.select("doc_id", "chunk_no", chunk_id.alias("chunk_id"), F.col("c.text").alias("text"), F.col("c.token_count").alias("token_count"))
 
 
@@ -119,19 +127,24 @@ def _page_chunks(pages: list[str], target: int, least: int, overlap: int, sectio
 
 
 def chunk_pages(pages: DataFrame, target: int = 380, least: int = 60, overlap: int = 1, section_mode: str = "own") -> DataFrame:
-    """(doc, page, section, chunk_no, text, token_count) of rows (doc, pages array<string>), with headings, tables and small rests.
+    """(doc, page, section, chunk_no, text, token_count, repeat) of rows (doc, pages array<string>), with headings, tables and small rests.
 
-    section_mode: a chunk that a heading ends has its own section, or with "reference" that of the heading.
+    repeat: earlier chunks of the page with the same text. section_mode: a chunk that a heading ends has its own section, or with "reference" that of the heading.
 
     The rules look back and forth within a document, so each document's pages are read by one Python call.
     """
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [(doc, p, s, k, t, n) for doc, own in zip(frame["doc"], frame["pages"]) for k, (p, s, t, n) in enumerate(_page_chunks(list(own) if own is not None else [], target, least, overlap, section_mode))]
-            yield pd.DataFrame(rows, columns=["doc", "page", "section", "chunk_no", "text", "token_count"])
-
-    return pages.select("doc", "pages").mapInPandas(cut, f"doc {pages.schema['doc'].dataType.simpleString()}, page int, section string, chunk_no int, text string, token_count int")
+            rows = []
+            for doc, own in zip(frame["doc"], frame["pages"]):
+                seen: Counter[tuple[int, str]] = Counter()
+                for k, (p, s, t, n) in enumerate(_page_chunks(list(own) if own is not None else [], target, least, overlap, section_mode)):
+                    rows.append((doc, p, s, k, t, n, seen[p, t]))
+                    seen[p, t] += 1
+            yield pd.DataFrame(rows, columns=["doc", "page", "section", "chunk_no", "text", "token_count", "repeat"])
+
+    return pages.select("doc", "pages").mapInPandas(cut, f"doc {pages.schema['doc'].dataType.simpleString()}, page int, section string, chunk_no int, text string, token_count int, repeat int")
 
 
 def split_recursively(text: str, size: int = 1000, overlap: int = 150, separators: tuple[str, ...] = ("\n\n", "\n", ". ", " ", "")) -> list[str]:

@@ -23,6 +23,11 @@ from ..functions import vectors as V
 from ..sources.tables import kept
 
 
+def search_text(chunks: DataFrame) -> Column:
+    """What a chunk is found by: its text, its section if there is one, and its document's name."""
+    return F.concat_ws(" ", "text", *["section"] * ("section" in chunks.columns), "doc")
+
+
 def top_k(scored: DataFrame, k: int, score: str = "score", tie: str = "chunk_id", places: int = 6) -> DataFrame:
     """The k best rows of each query with their rank; equal rounded scores go by the tie column."""
     by = Window.partitionBy("query_id").orderBy(F.desc(F.round(score, places)), tie)
@@ -320,14 +325,14 @@ def coverage_top(chunks: DataFrame, questions: DataFrame, k: int) -> DataFrame:
     stems = question_stems(questions)
     whole = stems.where("literal").groupBy("query_id").agg(F.sum("weight").alias("whole"))
     weights = stems.join(whole, "query_id").select("query_id", F.col("stem").alias("term"), (F.col("weight") / F.col("whole")).alias("w"))
-    held = chunks.select("chunk_id", chunk_stems(F.concat_ws(" ", "text", "doc")).alias("t"))
+    held = chunks.select("chunk_id", chunk_stems(search_text(chunks)).alias("t"))
     return sparse_top(held, weights, k, most=1.0).withColumnRenamed("score", "coverage")
 
 
 def pool_coverage(pool: DataFrame, chunks: DataFrame, questions: DataFrame) -> DataFrame:
     """(query_id, chunk_id, coverage) of the pairs of a pool: both sides' stems meet as arrays, one row a pair."""
     stems = question_stems(questions).groupBy("query_id").agg(F.collect_list(F.struct("stem", "weight")).alias("asked"), F.sum(F.when(F.col("literal"), F.col("weight"))).alias("whole"))
-    held = chunks.join(pool.select("chunk_id").distinct(), "chunk_id", "left_semi").select("chunk_id", chunk_stems(F.concat_ws(" ", "text", "doc")).alias("held"))
+    held = chunks.join(pool.select("chunk_id").distinct(), "chunk_id", "left_semi").select("chunk_id", chunk_stems(search_text(chunks)).alias("held"))
     got = F.aggregate(F.filter("asked", lambda s: F.array_contains("held", s["stem"])), F.lit(0.0), lambda a, s: a + s["weight"])
     rows = pool.select("query_id", "chunk_id").join(held, "chunk_id").join(stems, "query_id")
     return rows.select("query_id", "chunk_id", F.least(F.lit(1.0), got / F.col("whole")).alias("coverage"))
@@ -378,6 +383,23 @@ def interleave(ranked: DataFrame, limit: int) -> DataFrame:
     return kept.withColumn("pick", F.row_number().over(Window.partitionBy("query_id").orderBy("turn", "sub_no"))).where(F.col("pick") <= limit)
 
 
+def merge_sub_queries(hits: DataFrame, k: int) -> DataFrame:
+    """(query_id, sub_no, chunk_id, pick) of the best chunks (query_id, sub_no, sub_query, chunk_id, doc, text, score, rank) of each sub-query.
+
+    A sub-query's last word is its code: chunks of documents named after it come first, then chunks that hold it. Each gives
+    max(3, k // 2 + 1) chunks at most, without those that an earlier one has with as good a score. They take turns up to the larger of k and three a sub-query.
+    """
+    code = F.lower(F.element_at(F.split("sub_query", " "), -1))
+    named, held = F.contains(F.lower("doc"), code), F.contains(F.lower("text"), code)
+    own = Window.partitionBy("query_id", "sub_no").orderBy(F.desc(named), F.desc(held), "rank")
+    quota = hits.withColumn("_at", F.row_number().over(own)).where(F.col("_at") <= max(3, k // 2 + 1))
+    earlier = Window.partitionBy("query_id", "chunk_id").orderBy("sub_no").rowsBetween(Window.unboundedPreceding, -1)
+    better = quota.withColumn("_best", F.max("score").over(earlier)).where(F.col("_best").isNull() | (F.col("score") > F.col("_best")))
+    subs = hits.groupBy("query_id").agg(F.count_distinct("sub_no").alias("_subs"))
+    turns = interleave(better.select("query_id", "sub_no", "chunk_id", F.col("_at").alias("rank")), 1 << 30)
+    return turns.join(subs, "query_id").where(F.col("pick") <= F.greatest(F.lit(k), 3 * F.col("_subs"))).select("query_id", "sub_no", "chunk_id", "pick")
+
+
 FEATURES = ("sentence", "phrase", "idf_cov", "proximity", "bigram", "code")
 BLEND = np.array([0.26, 0.20, 0.18, 0.14, 0.10, 0.12])
 
@@ -403,7 +425,7 @@ def rerank_features(pairs: DataFrame, questions: DataFrame, idf: DataFrame) -> D
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.to_pylist()
-            made = [pair_features(r["question"], r["text"] or "", r["doc"] or "", r["terms"], r["own"], r["syn"], dict(r["by_term"]), {x["term"]: x["idf"] for x in r["known"] or ()}) for r in rows]
+            made = [pair_features(r["question"], r["text"] or "", " ".join(filter(None, (r.get("section"), r["doc"]))), r["terms"], r["own"], r["syn"], dict(r["by_term"]), {x["term"]: x["idf"] for x in r["known"] or ()}) for r in rows]
             out = [batch.column(batch.schema.get_field_index(c)) for c in columns]
             out += [pa.array([m[0][k] for m in made], pa.float64()) for k in range(len(FEATURES))]
             out += [pa.array([m[1] for m in made], pa.float64()), pa.array([m[2] for m in made], pa.string())]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -66,16 +67,31 @@ def latest(spark: SparkSession, folder: str, name: str) -> str:
     return f"{found[-1] if found else folder + '/v0'}/{name}"
 
 
+def _claimed(spark: SparkSession, at: str) -> bool:
+    """Whether the version's folder is this writer's: its mark can be made once only."""
+    mark, fs = _store(spark, f"{at}/_CLAIMED")
+    try:
+        fs.create(mark, False).close()
+    except Py4JJavaError as e:
+        if fs.exists(mark):
+            return False
+        raise e
+    return True
+
+
 def publish(spark: SparkSession, folder: str, tables: dict[str, DataFrame], keep: int = 2) -> str:
     """Write tables as a new version, which readers see when all of them are there; the last `keep` versions stay.
 
-    A run that fails leaves the last version as it was.
+    A run that fails leaves the last version as it was, and two that start together get versions of their own. A table with
+    a column `part` has a folder for each of its values.
     """
     before = versions(spark, folder)
     number = int(before[-1].rsplit("/v", 1)[1]) + 1 if before else 1
+    while not _claimed(spark, f"{folder}/v{number:08d}"):
+        number += 1
     at = f"{folder}/v{number:08d}"
     for name, table in tables.items():
-        table.write.mode("overwrite").parquet(f"{at}/{name}")
+        table.write.mode("overwrite").parquet(f"{at}/{name}", partitionBy=["part"] if "part" in table.columns else None)
     ready, fs = _store(spark, f"{at}/_READY")
     fs.create(ready, True).close()
     for old in [*before, at][:-keep]:

@@ -395,10 +395,12 @@ def test_ingest_and_stream_ingest(spark, tmp_path):
     assert {r["doc"]: r["chunks"] for r in I.ingest(spark, str(folder), out).collect()} == {"a.md": 1, "b.txt": 1}
     (folder / "a.md").write_text("# One\n\nAnother text.")
     I.ingest(spark, str(folder), out)
+    from quern.operators.indexed import opened
+
     read = lambda name: spark.read.parquet(S.latest(spark, out, name))
     texts = {r["doc"]: r["text"] for r in read("chunks").collect()}
     assert "Another text." in texts["a.md"] and len(texts) == 2
-    assert read("postings").where("term = 'second'").count() == 1 and read("vectors").count() == 2
+    assert read("blocks").where("term = 'second'").count() == 1 and read("vectors").count() == 2
     captions = spark.createDataFrame([("b.txt", 3, 1, "a chart")], "doc string, page int, figure_no int, caption string")
     assert {r["doc"]: (r["chunks"], r["figures"]) for r in I.ingest(spark, str(folder), out, figures=captions).collect()} == {"a.md": (1, 0), "b.txt": (2, 1)}
     figures = I.figure_chunks(spark.createDataFrame([("p.pdf", 3, 1, "a chart"), ("p.pdf", 3, 2, "a plot")], "doc string, page int, figure_no int, caption string"))
@@ -408,7 +410,7 @@ def test_ingest_and_stream_ingest(spark, tmp_path):
         S.publish(spark, out, {"chunks": read("chunks"), "terms": read("terms").withColumn("x", F.raise_error(F.lit("no_such_column")))})
     assert S.versions(spark, out) == before and read("chunks").count() == 3
     I.reset(spark, out)
-    assert all(read(name).count() == 0 for name in ("chunks", "postings", "terms", "vectors"))
+    assert all(read(name).count() == 0 for name in ("chunks", "vectors")) and all(opened(spark, out, name).count() == 0 for name in ("blocks", "forward", "levels", "terms"))
     (tmp_path / "odd").write_text("not a table")
     with pytest.raises(Exception):
         S.current(spark, str(tmp_path / "odd"), read("chunks").schema).count()
