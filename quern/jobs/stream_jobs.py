@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from ..operators import telemetry as T
 from ..sources import tables
-from ..streaming import rates, steps
-from .catalog import query
+from ..streaming import rates, sessions, steps
+from .catalog import query, table
 
 
 def _emitted(spark: SparkSession, result: DataFrame) -> DataFrame:
@@ -53,3 +55,26 @@ def changes_of(events: DataFrame) -> DataFrame:
 )
 def open_item_timers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _emitted(spark, steps.open_item_alerts(changes_of(rates.events_stream(spark, sf_dir))))
+
+
+@query("SELECT user_id::VARCHAR AS session_id, epoch_us(max(ts)) AS last FROM events GROUP BY user_id ORDER BY last DESC, session_id LIMIT 100")
+def live_session_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 100 sessions that are kept at the end of the stream; a user is a session."""
+    turns = rates.events_stream(spark, sf_dir).select(F.col("user_id").alias("session_id"), "ts")
+    return sessions.merged_sessions(_emitted(spark, sessions.live_sessions(turns, cap=100)), cap=100)
+
+
+@query(
+    """WITH c AS (SELECT event_type AS route, time_bucket(INTERVAL '6 hours', ts) AS life, date_trunc('minute', ts) AS ts, count(*) AS n FROM events GROUP BY ALL),
+    s AS (SELECT route, epoch_us(ts) / 1e6 AS t, time_bucket(INTERVAL '3 hours', ts) AS start, CAST(sum(n) OVER (PARTITION BY route, life ORDER BY ts) AS DOUBLE) AS v FROM c),
+    l AS (SELECT *, lag(v) OVER (PARTITION BY route, start ORDER BY t, v) AS before FROM s),
+    w AS (SELECT route, start, count(*) AS n, arg_max(v, t) - arg_min(v, t) + sum(CASE WHEN v < before THEN before ELSE 0 END) AS grown, arg_min(v, t) AS least, max(t) - min(t) AS span, min(t) - epoch_us(start) / 1e6 AS head, epoch_us(start) / 1e6 + 10800 - max(t) AS tail FROM l GROUP BY route, start HAVING count(*) > 1),
+    e AS (SELECT *, span / (n - 1) AS mean FROM w),
+    x AS (SELECT *, least(CASE WHEN head >= mean * 1.1 THEN mean / 2 ELSE head END, CASE WHEN grown > 0 AND least >= 0 THEN span * least / grown ELSE 1e300 END) AS h, CASE WHEN tail >= mean * 1.1 THEN mean / 2 ELSE tail END AS e FROM e)
+    SELECT route, start::TIMESTAMP AS start, round(grown * (span + h + e) / span, 4) AS increase, round(grown * (span + h + e) / span / 10800, 8) AS rate FROM x"""
+)
+def scraped_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters of events by route, scraped each minute that has any and restarted every six hours; windows of three hours."""
+    by = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("route"), F.window("ts", "6 hours")["start"].alias("life"), F.date_trunc("minute", "ts").alias("ts")).agg(F.count("*").alias("n"))
+    samples = by.withColumn("value", F.sum("n").over(Window.partitionBy("route", "life").orderBy("ts")))
+    return T.counter_rates(samples, "3 hours", None, "route").select("route", "start", F.round("increase", 4).alias("increase"), F.round("rate", 8).alias("rate"))

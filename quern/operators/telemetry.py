@@ -188,6 +188,28 @@ def histogram_quantile(histogram: DataFrame, q: float) -> DataFrame:
     return hit.select("route", F.round(F.when(F.col("bound") == float("inf"), F.col("low")).otherwise(inside), 6).alias("value"))
 
 
+def counter_rates(samples: DataFrame, width: str = "5 minutes", step: str | None = None, *by: str) -> DataFrame:
+    """(by..., start, increase, rate) of counters scraped now and then: samples (by..., ts, value), by window [start, start + width).
+
+    A value below the one before it is a restart: the counter went on from zero. The increase between a window's first and last sample is
+    extended to its edges, as a dashboard's rate() does: up to the edge if that is within 1.1 mean intervals, else
+    by half an interval; and back no further than to where the counter would be zero. Windows of one sample have no
+    rate. Null values and times are passed over; samples of the same time count in order of their value.
+    """
+    window = F.window("ts", width, step) if step else F.window("ts", width)
+    seen = samples.where("ts IS NOT NULL AND value IS NOT NULL").withColumn("ts", F.col("ts").cast("timestamp"))
+    point = F.struct((micros(F.col("ts")) / 1e6).alias("t"), F.col("value").cast("double").alias("v"))
+    rows = seen.groupBy(*by, window).agg(F.array_sort(F.collect_list(point)).alias("p")).where(F.size("p") > 1)
+    first, last = F.element_at("p", 1), F.element_at("p", -1)
+    restarts = F.aggregate(F.arrays_zip(F.slice("p", 1, F.size("p") - 1).alias("a"), F.slice("p", 2, F.size("p") - 1).alias("b")), F.lit(0.0), lambda s, x: s + F.when(x["b"]["v"] < x["a"]["v"], x["a"]["v"]).otherwise(0.0))
+    rows = rows.select(*by, F.col("window.start").alias("start"), (last["v"] - first["v"] + restarts).alias("grown"), first["v"].alias("least"), (last["t"] - first["t"]).alias("span"), (first["t"] - micros(F.col("window.start")) / 1e6).alias("head"), (micros(F.col("window.end")) / 1e6 - last["t"]).alias("tail"), (micros(F.col("window.end")) / 1e6 - micros(F.col("window.start")) / 1e6).alias("width"), ((last["t"] - first["t"]) / (F.size("p") - 1)).alias("mean"))
+    edge = lambda c: F.when(c >= F.col("mean") * 1.1, F.col("mean") / 2).otherwise(c)
+    zero = F.when((F.col("grown") > 0) & (F.col("least") >= 0), F.col("span") * F.col("least") / F.col("grown"))
+    head = F.least(edge(F.col("head")), F.coalesce(zero, F.lit(float("inf"))))
+    increase = F.col("grown") * (F.col("span") + head + edge(F.col("tail"))) / F.col("span")
+    return rows.where("span > 0").select(*by, "start", increase.alias("increase"), (increase / F.col("width")).alias("rate"))
+
+
 def exposition(samples: DataFrame) -> DataFrame:
     """(name, line) in the metrics text format, of samples (name, labels map<string,string>, value)."""
     escaped = lambda v: F.replace(F.replace(F.replace(v, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))

@@ -6,10 +6,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quern.operators import asking, caching, chunking, indexed, promotion
+from quern.operators import asking, caching, chunking, indexed, promotion, telemetry
 from quern.operators import ranking as R
 from quern.sources import tables
-from quern.streaming import rates, steps
+from quern.streaming import rates, sessions, steps
 
 
 @pytest.fixture(scope="module")
@@ -149,3 +149,26 @@ def test_timers_fire_once_and_are_cancelled(spark, tmp_path):
     assert run([(9, 7, "up")]) == [(1, 0, 6)]  # the one of request 3 is due at 7, the watermark is before
     assert run([(3, 8, "up"), (1, 20, "down"), (9, 60, "up")]) == [(1, 0, 6), (1, 20, 6), (3, 1, 6)]
     assert run([(9, 80, "up")]) == [(1, 0, 6), (1, 20, 6), (1, 20, 48), (3, 1, 6)]
+
+
+def test_only_the_newest_sessions_stay(spark, tmp_path):
+    """After each batch, late rows among them, the same sessions as by sorting all that came so far."""
+    source, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    rng, last = random.Random(2), {}
+    for _ in range(4):
+        rows = [(f"s{rng.randrange(60)}", rng.randrange(1_000)) for _ in range(40)]
+        spark.createDataFrame(rows, "session_id string, s long").select("session_id", F.timestamp_seconds("s").alias("ts")).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema("session_id string, ts timestamp").parquet(source)
+        rates.drain(sessions.live_sessions(stream, cap=10, buckets=4), out, state, mode="append")
+        for s, t in rows:
+            last[s] = max(t, last.get(s, t))
+        got = {(r["session_id"], r["last"] // 1_000_000) for r in sessions.merged_sessions(spark.read.schema(sessions.KEPT).parquet(f"{out}/batch=*"), cap=10).collect()}
+        assert got == set(sorted(last.items(), key=lambda x: (-x[1], x[0]))[:10])
+
+
+def test_rates_of_scraped_counters(spark):
+    rows = [("a", s, v) for s, v in [(0, 10), (60, 20), (120, 30), (180, 5), (240, 15), (600, 1)]] + [("b", 15, 0), ("b", 45, 3), ("c", 100, 7), ("d", 240, None), ("e", 10, 4), ("e", 10, 5)]
+    samples = spark.createDataFrame(rows, "route string, s long, value long").select("route", F.timestamp_seconds("s").alias("ts"), "value")
+    got = {(r["route"], r["start"].timestamp()): (r["increase"], r["rate"]) for r in telemetry.counter_rates(samples, "5 minutes", None, "route").collect()}
+    # a: 20 up, 5 after a restart and 10 more, over 240 s, up to the end of the window; b: 3 over 30 s, none before, half an interval after
+    assert got == {("a", 0.0): (pytest.approx(35 * 300 / 240), pytest.approx(35 / 240)), ("b", 0.0): (pytest.approx(3 * 45 / 30), pytest.approx(3 * 45 / 30 / 300))}

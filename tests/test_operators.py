@@ -420,9 +420,17 @@ def test_ingest_and_stream_ingest(spark, tmp_path):
     schema = spark.read.format("binaryFile").load(str(folder)).schema
     stream = spark.readStream.format("binaryFile").schema(schema).load(str(folder))
     files = stream.select("path", F.element_at(F.split("path", "/"), -1).alias("doc"), F.element_at(F.split("path", r"\."), -1).alias("kind"), "content")
+    assert corpus_files(spark, str(folder)).count() == 2
+    (folder / "scan.pdf").write_bytes(b"%PDF")
+    (folder / "blank.txt").write_text(" \n\n ")
+    states = lambda: {r["doc"]: (r["state"], r["error"], r["chunks"]) for r in sessions.job_states(spark.read.parquet(f"{out}/jobs")).collect()}
     sessions.ingest_jobs(files, f"{out}/stream", str(tmp_path / "state"), f"{out}/jobs").awaitTermination()
-    assert spark.read.parquet(f"{out}/stream").select("doc").distinct().count() == 2 == corpus_files(spark, str(folder)).count()
-    assert spark.read.parquet(f"{out}/jobs").agg(F.sum("files")).first()[0] == 2
+    assert spark.read.parquet(f"{out}/stream").select("doc").distinct().count() == 2
+    assert states() == {"a.md": ("done", None, 1), "b.txt": ("done", None, 1), "scan.pdf": ("failed", "no reader for .pdf", None), "blank.txt": ("failed", "no extractable text", None)}
+    (folder / "c.md").write_text("A third text comes later.")
+    sessions.ingest_jobs(files, f"{out}/stream", str(tmp_path / "state"), f"{out}/jobs").awaitTermination()
+    assert len(states()) == 5 and states()["c.md"] == ("done", None, 1)
+    assert {(r["state"], r["step"]) for r in spark.read.parquet(f"{out}/jobs").collect()} == {("queued", 0), ("processing", 1), ("done", 2), ("failed", 2)}
 
 
 def test_session_memory_stream(spark, tmp_path):
