@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import answer_jobs, case_jobs, catalog, index_jobs, other_jobs, rank_jobs, stream_jobs, telemetry_jobs, text_jobs  # noqa: F401
+from . import answer_jobs, case_jobs, catalog, index_jobs, other_jobs, rank_jobs, report_jobs, stream_jobs, telemetry_jobs, text_jobs  # noqa: F401
 
 
 def queries() -> dict[str, catalog.Query]:
