@@ -2,9 +2,10 @@
 
 Folding takes look-alike letters, digits and signs to the letters they stand for. Hits count with their
 weight at word boundaries only, hits inside an exception phrase don't. The lexicon begins with common insults, which match
-in any spelling that folds to theirs, and learns words and beginnings of words from labelled rows; since accents tell
-words of other languages apart, these match as they are written. The sum, against the text's length,
-is turned into a score by a logistic curve fitted on labelled rows.
+in any spelling that folds to theirs, and learns words and beginnings of words from labelled rows. Accents tell
+words of other languages apart, so these match as they are written, or with some letters replaced by digits, signs or letters
+of another script that look alike; accents stay apart there, and so do two plain letters. The sum, against the
+text's length, is turned into a score by a logistic curve fitted on labelled rows.
 """
 
 from __future__ import annotations
@@ -45,6 +46,7 @@ def _folds() -> dict[int, str]:
 
 
 _FOLD = _folds()
+_ALIKE = {code: to for code, to in _FOLD.items() if chr(code) in LOOKALIKES or code >= 0xFF01}  # accents stay
 _INVISIBLE = re.compile("[\xad\u200b-\u200d\u2060\ufeff]")
 _WORD = re.compile(r"\w{3,24}")
 
@@ -59,9 +61,21 @@ def fold(text: str) -> str:
     return lowered(text).translate(_FOLD)
 
 
+def disguised(found: str, word: str) -> bool:
+    """Whether one is the other with some, not all, of its letters replaced by look-alikes.
+
+    Plain letters that differ (l and i), and letters that differ by an accent, aren't replaced. If all differ, it's
+    a word of another script.
+    """
+    if found.translate(_ALIKE) != word.translate(_ALIKE):
+        return False
+    odd = [(a, b) for a, b in zip(found, word) if a != b]
+    return 0 < len(odd) < len(word) and not any(a.isascii() and a.isalpha() and b.isascii() and b.isalpha() for a, b in odd)
+
+
 @dataclass
 class Lexicon:
-    """Weights by word in any folded spelling, and by word as written or, with a * behind it, by the beginning of longer words; exception phrases; the curve from density to score."""
+    """Weights by word in any folded spelling, and by word as written or disguised or, with a * behind it, by the beginning of longer words; exception phrases; the curve from density to score."""
 
     weights: dict[str, float]
     written: dict[str, float] = field(default_factory=dict)
@@ -104,7 +118,7 @@ class Lexicon:
                 continue
             goes_on = end < len(bare) and bare[end].isalpha()
             for word, begins, w in meant:
-                if goes_on != begins or (word is not None and bare[start:end] != word):
+                if goes_on != begins or (word is not None and bare[start:end] != word and not disguised(bare[start:end], word)):
                     continue
                 if w is None:
                     free.append((start, end))

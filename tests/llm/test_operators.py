@@ -584,6 +584,15 @@ def test_hits_match_a_plain_matcher():
     assert lexicon.hits("a sore loser, no 1oser")[1] == 1
 
 
+def test_learned_words_match_in_disguise():
+    lexicon = toxicity.Lexicon({}, {"achkeiter": 1.0, "réeuxpa": 1.0, "réeuxan": 1.0, "achli*": 1.0, "сок": 1.0, "cop": 1.0}, ())
+    caught = ["achkeiter", "аchkeiter", "4chkeiter", "achkе1ter", "réeuxpа", "réeuxp4", "réeux4n", "réeuxаn", "ａchkeiter", "ach1ich", "аchlich", "co\u200bp", "cок", "c0p"]
+    for text in caught:
+        assert lexicon.hits(f"so {text}, yes")[1] == 1, text
+    for text in ["reeuxpa", "réeuxpá", "achkelter", "achiich", "сор", "аchkelter", "achkeiters", "xachkeiter", "réeuxp", "4c"]:
+        assert lexicon.hits(f"so {text}, yes")[1] == 0, text
+
+
 def test_telling_forms_are_neither_too_short_nor_too_many():
     found = {"worth*": (100, 5.0), "worthl*": (99, 5.1), "worthless": (99, 5.1), "achli*": (80, 4.0), "achlich*": (60, 4.5), "achlichen": (9, 7.0)}
     assert set(toxicity.telling(found, 10)) == {"worthless", "achli*", "achlichen"}
