@@ -41,6 +41,11 @@ def stem(c: Column) -> Column:
     return strip_suffix(c, L.SUFFIXES, 4)
 
 
+def stemmed(c: Column) -> Column:
+    """The lower-case text with stem() of every run of a-z and 0-9, in one pass; a shorter suffix never stands before a longer one that ends with it."""
+    return F.regexp_replace(F.lower(c), f"(?<![a-z0-9])([a-z0-9]{{4,}}?)(?:{'|'.join(L.SUFFIXES)})(?![a-z0-9])", "$1")
+
+
 def judge_stem(c: Column) -> Column:
     return strip_suffix(F.lower(c), L.JUDGE_SUFFIXES, 3)
 

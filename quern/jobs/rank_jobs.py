@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import lexicon as L
 from ..operators import ranking as R
 from ..sources.tables import kept
 from .catalog import query, table
@@ -132,9 +133,12 @@ def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.top_k(fused_of(spark, sf_dir), 40, score="fused").select("query_id", "chunk_id", F.round("fused", 6).alias("fused"), "lists", "rank")
 
 
+SQL_BLENDED = f"""b AS (SELECT query_id, chunk_id, round(least(1.0, 0.55 * fused / max(fused) OVER (PARTITION BY query_id) + 0.35 * coalesce(coverage, 0) + 0.10 * (CASE WHEN lists > 1 THEN 1 ELSE 0 END)), 4) AS score, round(coalesce(coverage, 0), 4) AS coverage
+        FROM fused LEFT JOIN cover USING (query_id, chunk_id))"""
+
+
 @query(
-    f"""WITH {SQL_FUSED}, b AS (SELECT query_id, chunk_id, round(least(1.0, 0.55 * fused / max(fused) OVER (PARTITION BY query_id) + 0.35 * coalesce(coverage, 0) + 0.10 * (CASE WHEN lists > 1 THEN 1 ELSE 0 END)), 4) AS score, round(coalesce(coverage, 0), 4) AS coverage
-        FROM fused LEFT JOIN cover USING (query_id, chunk_id))
+    f"""WITH {SQL_FUSED}, {SQL_BLENDED}
     SELECT query_id, chunk_id, score, coverage, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM b) WHERE rank <= 10"""
 )
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,12 +158,47 @@ def hybrid_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.top_k(scored, 6, places=4).select("query_id", "chunk_id", "score", "coverage", "rank_0", "rank_1", "rank")
 
 
-@query()
+SQL_SYNONYMS = ", ".join(f"('{term}', '{w}')" for term, others in L.SYNONYMS.items() for o in others for w in o.split())
+SQL_PARTS = "list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '([.!?;])\\s+', '\\1' || chr(1), 'g'), '\\n+', chr(1), 'g'), chr(1)), lambda u: trim(u, ' ')), lambda u: length(u) >= 24)"
+sql_codes = f"list_distinct(regexp_extract_all(lower(%s), '{L.ENTITY_CODE}'))".__mod__
+SQL_RERANKED = f"""pool AS MATERIALIZED (SELECT query_id, chunk_id, rank AS fusion_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM b) WHERE rank <= 10),
+    said AS MATERIALIZED (SELECT doc_id AS chunk_id, text, source FROM documents WHERE doc_id IN (SELECT chunk_id FROM pool)),
+    qt AS (SELECT item_id AS query_id, unnest({SQL_TERMS}) AS term FROM benchmark),
+    sy AS (SELECT query_id, term, {sql_stem('w')} AS stem FROM qt JOIN (VALUES {SQL_SYNONYMS}) v(term, w) USING (term)),
+    ask AS (SELECT DISTINCT query_id, stem, true AS own FROM qs UNION ALL SELECT query_id, stem, false FROM (SELECT query_id, stem FROM sy EXCEPT SELECT query_id, stem FROM qs)),
+    worth AS MATERIALIZED (SELECT query_id, stem, own, CASE WHEN own THEN coalesce(ln((n - df + 0.5) / (df + 0.5) + 1), 1.5) ELSE 0.5 * coalesce(ln((n - df + 0.5) / (df + 0.5) + 1), 1.2) END AS w FROM ask LEFT JOIN df ON term = stem, st),
+    focus AS (SELECT query_id, sum(w) AS total, arg_max(stem, struct_pack(w := w, s := stem)) AS stem FROM worth WHERE own GROUP BY 1),
+    near AS (SELECT query_id, stem FROM focus UNION SELECT y.query_id, y.stem FROM sy y JOIN focus f ON f.query_id = y.query_id AND f.stem = {sql_stem('y.term')}),
+    qw AS (SELECT item_id AS query_id, string_split(trim(regexp_replace(lower(text), '\\s+', ' ', 'g'), ' '), ' ') AS w, {sql_codes('text')} AS asked, regexp_matches(text, '(?i){L.QUANT_QUERY}') AS measurable FROM benchmark),
+    qr AS (SELECT *, list_filter(list_concat(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')), list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))), lambda r: regexp_matches(r, '[^ ]{{4}}|(^| )[0-9]+( |$)')) AS runs,
+        list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS twos FROM qw),
+    un AS MATERIALIZED (SELECT chunk_id, unnest(s) AS text, generate_subscripts(s, 1) AS no FROM (SELECT chunk_id, CASE WHEN len({SQL_PARTS}) > 0 THEN {SQL_PARTS} ELSE [trim(text, ' ')] END AS s FROM said)),
+    us AS (SELECT chunk_id, no, unnest({SQL_HELD}) AS stem FROM un),
+    hit AS (SELECT query_id, chunk_id, no, sum(w) AS w FROM pool JOIN us USING (chunk_id) JOIN worth USING (query_id, stem) GROUP BY ALL HAVING bool_or((query_id, stem) IN (SELECT query_id, stem FROM near))),
+    se AS (SELECT query_id, chunk_id, no, regexp_matches(un.text, '(?i){L.QUANT_EVIDENCE}') AS measured, round(least(1.0, hit.w / total + CASE WHEN list_has_any({sql_codes('un.text')}, asked) THEN 0.12 ELSE 0 END + CASE WHEN measurable AND measured THEN 0.10 ELSE 0 END), 9) AS v
+        FROM hit JOIN un USING (chunk_id, no) JOIN focus USING (query_id) JOIN qr USING (query_id)),
+    best AS (SELECT query_id, chunk_id, max(v) AS sentence, arg_max(measured, struct_pack(v := v, o := -no)) AS measured FROM se GROUP BY ALL),
+    ps AS (SELECT chunk_id, unnest(s) AS stem, generate_subscripts(s, 1) AS pos FROM (SELECT chunk_id, list_transform({SQL_WORDS}, lambda t: {sql_stem('t')}) AS s FROM said)),
+    px AS (SELECT query_id, chunk_id, CASE WHEN count(*) > 1 THEN count(*) / (max(pos) - min(pos) + 1) ELSE 0.35 END AS proximity FROM pool JOIN ps USING (chunk_id) JOIN worth USING (query_id, stem) GROUP BY ALL),
+    cv AS (SELECT query_id, chunk_id, least(1.0, sum(w) / any_value(total)) AS idf_cov FROM pool JOIN hs USING (chunk_id) JOIN worth USING (query_id, stem) JOIN (SELECT query_id, total FROM focus) USING (query_id) GROUP BY ALL),
+    pf AS (SELECT query_id, chunk_id, fusion_rank, lower(text || ' ' || source) AS body, ' ' || regexp_replace(body, '\\s+', ' ', 'g') || ' ' AS flat, list_concat({sql_codes('text')}, {sql_codes("replace(source, '_', ' ')")}) AS codes,
+            CASE WHEN len(runs) > 0 THEN len(list_filter(runs, lambda r: contains(body, r))) / len(runs) ELSE 0 END AS phrase,
+            CASE WHEN len(twos) > 0 THEN len(list_filter(twos, lambda t: contains(flat, ' ' || t || ' '))) / len(twos) ELSE 0 END AS bigram,
+            CASE WHEN len(asked) > 0 THEN len(list_intersect(asked, codes)) / len(asked) ELSE 0.5 END AS code, measurable FROM pool JOIN said USING (chunk_id) JOIN qr USING (query_id)),
+    al AS (SELECT query_id, chunk_id, fusion_rank, phrase, bigram, code, coalesce(sentence, 0) AS sentence, coalesce(proximity, 0) AS proximity, coalesce(idf_cov, 0) AS idf_cov, CASE WHEN measurable AND measured THEN 0.06 ELSE 0 END AS more
+        FROM pf LEFT JOIN best USING (query_id, chunk_id) LEFT JOIN px USING (query_id, chunk_id) LEFT JOIN cv USING (query_id, chunk_id)),
+    rr AS (SELECT *, round_even(least(1.0, {' + '.join(f'{v} * {k}' for k, v in R.BLEND.items())} + more), 4) AS rerank_score FROM al)"""
+
+
+@query(
+    f"""WITH {SQL_FUSED}, {SQL_BLENDED}, {SQL_RERANKED}
+    SELECT query_id, chunk_id, fusion_rank, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, fusion_rank) AS rank, {', '.join(f'round_even({k}, 4) AS {k}' for k in R.BLEND)}, rerank_score FROM rr"""
+)
 def rerank_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks, questions = chunks_of(spark, sf_dir), questions_of(spark, sf_dir)
     pool = kept(R.top_k(R.blend(fused_of(spark, sf_dir), chunks, questions), 10, places=4).withColumnRenamed("rank", "fusion_rank"))
     pairs = pool.select("query_id", "chunk_id", "fusion_rank").join(chunks, "chunk_id").join(questions, "query_id")
-    idf = R.idf_table(chunks, questions.select(F.explode(R.X.words(F.col("question"))).alias("term")))
+    idf = R.idf_table(chunks, R.asked_stems(questions))
     scored = R.reranked(R.rerank_features(pairs, questions, idf))
     return scored.select("query_id", "chunk_id", "fusion_rank", "rank", "phrase", "sentence", "proximity", "idf_cov", "bigram", "code", "rerank_score")
 

@@ -6,7 +6,6 @@ questions: what the service did for one question is partitioned by query_id.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +13,6 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from ..functions import lexicon as L
@@ -307,8 +305,8 @@ def code_named(pool: DataFrame, chunks: DataFrame, questions: DataFrame, k: int
 
 
 def chunk_stems(text: Column) -> Column:
-    kept = F.filter(X.words(text), lambda t: (F.length(t) > 2) | t.rlike("^[0-9]+$"))
-    return F.array_distinct(F.transform(kept, X.stem))
+    """Distinct stems of more than two characters or digits only."""
+    return F.array_distinct(F.regexp_extract_all(X.stemmed(text), F.lit("(?<![a-z0-9])(?:[a-z0-9]{3,}|[0-9]+)(?![a-z0-9])"), F.lit(0)))
 
 
 def question_stems(questions: DataFrame) -> DataFrame:
@@ -400,87 +398,92 @@ def merge_sub_queries(hits: DataFrame, k: int) -> DataFrame:
     return turns.join(subs, "query_id").where(F.col("pick") <= F.greatest(F.lit(k), 3 * F.col("_subs"))).select("query_id", "sub_no", "chunk_id", "pick")
 
 
-FEATURES = ("sentence", "phrase", "idf_cov", "proximity", "bigram", "code")
-BLEND = np.array([0.26, 0.20, 0.18, 0.14, 0.10, 0.12])
+# What each feature counts in the blend.
+BLEND = {"sentence": 0.26, "phrase": 0.20, "idf_cov": 0.18, "proximity": 0.14, "bigram": 0.10, "code": 0.12}
+
+
+def _codes(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(L.ENTITY_CODE), F.lit(0)))
+
+
+def asked_stems(questions: DataFrame) -> DataFrame:
+    """(query_id, term, own): the stems of a question's content terms, and those of their synonyms that aren't its own."""
+    stems = question_stems(questions)
+    return stems.select("query_id", F.col("stem").alias("term"), F.col("literal").alias("own"))
+
+
+def asked_values(questions: DataFrame, idf: DataFrame) -> DataFrame:
+    """One row a question: the worth of each stem as a map, their total, the rarest one with its synonyms, and its runs of words, pairs and codes.
+
+    A stem of the question is worth its idf (1.5 where the corpus lacks it), a synonym's stem half of its idf (1.2). Questions without content terms
+    have an empty map.
+    """
+    known = asked_stems(questions).join(idf.select("term", "idf"), "term", "left")
+    worth = F.when(F.col("own"), F.coalesce("idf", F.lit(1.5))).otherwise(0.5 * F.coalesce("idf", F.lit(1.2)))
+    rarest = F.max(F.when(F.col("own"), F.struct(worth.alias("w"), "term")))["term"]
+    values = known.groupBy("query_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("term", worth.alias("w")))).alias("worth"), F.sum(F.when(F.col("own"), worth)).alias("total"), rarest.alias("focus")
+    )
+    words = F.filter(F.split(F.lower("question"), "\\s+"), lambda w: w != "")
+    q = questions.select("query_id", "question", words.alias("words"), X.content_terms(F.col("question")).alias("terms")).join(values, "query_id", "left")
+    telling = lambda run: run.rlike("[^ ]{4}|(^| )[0-9]+( |$)")
+    return q.select(
+        "query_id",
+        F.coalesce("worth", F.create_map().cast("map<string,double>")).alias("worth"),
+        F.coalesce(F.map_keys("worth"), F.array().cast("array<string>")).alias("keys"),
+        F.coalesce("total", F.lit(1.0)).alias("total"),
+        F.array_union(F.array("focus"), X.synonym_stems(F.filter("terms", lambda t: X.stem(t) == F.col("focus")))).alias("near"),
+        F.filter(F.concat(X.grams(F.col("words"), 4, " "), X.grams(F.col("words"), 3, " ")), telling).alias("runs"),
+        F.array_distinct(X.grams(F.col("words"), 2, " ")).alias("twos"),
+        _codes(F.col("question")).alias("asked"),
+        F.coalesce(F.col("question").rlike(f"(?i){L.QUANT_QUERY}"), F.lit(False)).alias("measurable"),
+    )
+
+
+def readable(chunks: DataFrame) -> DataFrame:
+    """One row a chunk, whatever the number of questions that found it: search text, stems in order, and its sentences with stems, codes and quantities."""
+    first = [F.first(c).alias(c) for c in ("text", "doc", *["section"] * ("section" in chunks.columns))]
+    once = chunks.groupBy("chunk_id").agg(*first).withColumn("text", F.coalesce("text", F.lit("")))
+    body = F.lower(search_text(once))
+    sentence = lambda u: F.struct(u.alias("text"), chunk_stems(u).alias("stems"), _codes(u).alias("codes"), u.rlike(f"(?i){L.QUANT_EVIDENCE}").alias("measured"))
+    return once.select(
+        "chunk_id",
+        body.alias("body"),
+        F.concat(F.lit(" "), F.regexp_replace(body, "\\s+", " "), F.lit(" ")).alias("flat"),
+        X.words(X.stemmed(F.col("text"))).alias("stems"),
+        chunk_stems(search_text(once)).alias("held"),
+        F.array_union(_codes(F.col("text")), _codes(F.regexp_replace(F.concat_ws(" ", *["section"] * ("section" in once.columns), "doc"), "_", " "))).alias("codes"),
+        F.transform(X.sentence_windows(F.col("text")), sentence).alias("sentences"),
+    )
 
 
 def rerank_features(pairs: DataFrame, questions: DataFrame, idf: DataFrame) -> DataFrame:
-    """Joint features of rows (query_id, chunk_id, question, text, doc, ...) and their blend, rerank_score.
+    """Rows (query_id, chunk_id, text, doc, ...) with the BLEND features of the pair, rerank_score and best_sentence.
 
-    idf: (term, idf). What belongs to a question alone is made once per question with columns; the idf of
-    its stems travels with it as a small map. The features of a pair are measured in Arrow batches, since as
-    nested column expressions they repeat each other many times over.
+    idf: (term, idf), of asked_stems() at least. Chunks and questions are read once each, however many pairs they are in; a pair compares their
+    arrays. A sentence counts if it has the question's rarest stem or a synonym of it; sentences of equal worth (nine digits) go by order. Null texts are empty.
     """
-    q = questions.select("query_id", "question", X.content_terms(F.col("question")).alias("terms"))
-    anchor_syn = F.map_from_entries(F.transform("terms", lambda t: F.struct(t.alias("key"), X.synonym_stems(F.array(t)).alias("value"))))
-    q = q.select("query_id", "question", "terms", F.array_distinct(F.transform("terms", X.stem)).alias("own"), X.synonym_stems(F.col("terms")).alias("syn"), anchor_syn.alias("by_term"))
-    need = q.select("query_id", F.explode(F.array_union("own", "syn")).alias("term"))
-    known = need.join(idf.select("term", "idf"), "term").groupBy("query_id").agg(F.collect_list(F.struct("term", "idf")).alias("known"))
-    rich = pairs.join(q.drop("question").join(known, "query_id", "left"), "query_id")
-    schema, columns = StructType([*pairs.schema.fields]), pairs.columns
-    for name in (*FEATURES, "rerank_score"):
-        schema = schema.add(name, "double")
-    schema = schema.add("best_sentence", "string")
-
-    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = batch.to_pylist()
-            made = [pair_features(r["question"], r["text"] or "", " ".join(filter(None, (r.get("section"), r["doc"]))), r["terms"], r["own"], r["syn"], dict(r["by_term"]), {x["term"]: x["idf"] for x in r["known"] or ()}) for r in rows]
-            out = [batch.column(batch.schema.get_field_index(c)) for c in columns]
-            out += [pa.array([m[0][k] for m in made], pa.float64()) for k in range(len(FEATURES))]
-            out += [pa.array([m[1] for m in made], pa.float64()), pa.array([m[2] for m in made], pa.string())]
-            yield pa.RecordBatch.from_arrays(out, [*columns, *FEATURES, "rerank_score", "best_sentence"])
-
-    return rich.mapInArrow(measured, schema)
-
-
-def pair_features(question: str, text: str, doc: str, terms: list[str], own: list[str], syn: list[str], by_term: dict[str, list[str]], idf: dict[str, float]) -> tuple[list[float], float, str]:
-    """(FEATURES, score, best sentence) of one pair of a question and a chunk."""
-    own_set, syn_set = set(own), set(syn) - set(own)
-    weight = lambda stems, other=1.5: sum(idf.get(s, other) for s in stems)
-    codes = lambda t: set(re.findall(L.ENTITY_CODE, t.lower()))
-    focus = max(own, key=lambda s: (idf.get(s, 1.5), s), default="")
-    near_focus = {s for t in terms if light_stem(t) == focus for s in by_term.get(t) or ()} | {focus}
-    whole, asked = weight(own_set) or 1.0, codes(question)
-    measurable = re.search(L.QUANT_QUERY, question, re.I) is not None
-    body = f"{text} {doc}".lower()
-    held = {light_stem(w) for w in re.findall("[a-z0-9]+", body) if len(w) > 2 or w.isdigit()}
-
-    words = question.lower().split()
-    runs = [words[i : i + n] for n in (4, 3) for i in range(len(words) - n + 1)]
-    runs = [" ".join(r) for r in runs if any(len(w) > 3 or w.isdigit() for w in r)]
-    phrase = sum(r in body for r in runs) / len(runs) if runs else 0.0
-
-    best, best_unit = 0.0, ""
-    parts = [u.strip() for u in re.split(r"(?<=[.!?;])\s+|\n+", text)]
-    for unit in [u for u in parts if len(u) >= 24] or [text.strip()]:
-        found = {light_stem(w) for w in re.findall("[a-z0-9]+", unit.lower()) if len(w) > 2 or w.isdigit()}
-        hit, also = found & own_set, found & syn_set
-        if not (hit or also) or (focus and not found & near_focus):
-            continue
-        got = (weight(hit) + 0.5 * weight(also, 1.2)) / whole
-        got += 0.12 * bool(asked & codes(unit)) + 0.10 * (measurable and re.search(L.QUANT_EVIDENCE, unit, re.I) is not None)
-        if min(1.0, got) > best:
-            best, best_unit = min(1.0, got), unit
-
-    at = [i for i, w in enumerate(re.findall("[a-z0-9]+", text.lower())) if light_stem(w) in own_set | syn_set]
-    proximity = len(at) / (at[-1] - at[0] + 1) if len(at) > 1 else 0.35 * len(at)
-    covered = min(1.0, (weight(own_set & held) + 0.5 * weight(syn_set & held, 1.2)) / whole) if own_set else 0.0
-    pairs, there = set(zip(words, words[1:])), body.split()
-    bigram = len(pairs & set(zip(there, there[1:]))) / len(pairs) if pairs else 0.0
-    code = len(asked & (codes(text) | codes(doc.replace("_", " ")))) / len(asked) if asked else 0.5
-    values = [best, phrase, covered, proximity, bigram, code]
-    score = float(BLEND @ values)
-    if measurable and best_unit and re.search(L.QUANT_EVIDENCE, best_unit, re.I):
-        score += 0.06
-    return [round(v, 4) for v in values], round(min(1.0, score), 4), best_unit[:200]
-
-
-def light_stem(word: str) -> str:
-    for suffix in L.SUFFIXES:
-        if word.endswith(suffix) and len(word) - len(suffix) >= 4:
-            return word[: -len(suffix)]
-    return word
+    share = lambda items, holds: F.when(F.size(items) > 0, F.size(F.filter(items, holds)) / F.size(items))
+    worth = lambda stems: F.aggregate(F.array_intersect(stems, "keys"), F.lit(0.0), lambda a, s: a + F.col("worth")[s]) / F.col("total")
+    extra = lambda u: F.when(F.arrays_overlap(u["codes"], "asked"), 0.12).otherwise(0.0) + F.when(F.col("measurable") & u["measured"], 0.10).otherwise(0.0)
+    fits = lambda u: F.arrays_overlap(u["stems"], "keys") & F.arrays_overlap(u["stems"], "near")
+    met = pairs.select("query_id", "chunk_id").distinct().join(readable(pairs), "chunk_id").join(asked_values(questions, idf), "query_id")
+    valued = F.transform("sentences", lambda u, i: F.struct(F.when(fits(u), F.round(F.least(F.lit(1.0), worth(u["stems"]) + extra(u)), 9)).otherwise(0.0).alias("w"), (-i).alias("at")))
+    at = F.filter(F.transform("stems", lambda s, i: F.when(F.array_contains("keys", s), i)), lambda i: i.isNotNull())
+    seen = met.select(
+        "query_id", "chunk_id", "sentences", "measurable", F.array_max(valued).alias("top"), at.alias("at"),
+        F.coalesce(share(F.col("runs"), lambda r: F.contains("body", r)), F.lit(0.0)).alias("phrase"),
+        F.least(F.lit(1.0), worth(F.col("held"))).alias("idf_cov"),
+        F.coalesce(share(F.col("twos"), lambda t: F.contains("flat", F.concat(F.lit(" "), t, F.lit(" ")))), F.lit(0.0)).alias("bigram"),
+        F.coalesce(share(F.col("asked"), lambda c: F.array_contains("codes", c)), F.lit(0.5)).alias("code"),
+    )
+    near = F.when(F.size("at") > 1, F.size("at") / (F.element_at("at", -1) - F.element_at("at", 1) + 1)).otherwise(0.35 * F.size("at"))
+    best = F.when(F.col("top.w") > 0, F.get("sentences", -F.col("top.at")))
+    seen = seen.withColumns({"sentence": F.coalesce("top.w", F.lit(0.0)), "proximity": near, "best": best})
+    score = sum(F.col(name) * part for name, part in BLEND.items()) + F.when(F.col("measurable") & F.col("best.measured"), 0.06).otherwise(0.0)
+    shown = [F.bround(name, 4).alias(name) for name in BLEND]
+    made = seen.select("query_id", "chunk_id", *shown, F.bround(F.least(F.lit(1.0), score), 4).alias("rerank_score"), F.substring(F.coalesce("best.text", F.lit("")), 1, 200).alias("best_sentence"))
+    return pairs.join(made, ["query_id", "chunk_id"])
 
 
 def reranked(pool: DataFrame, n: int = 10) -> DataFrame:

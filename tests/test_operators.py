@@ -20,18 +20,25 @@ def one(spark, column, text):
     return spark.createDataFrame([(text,)], "t string").select(column(F.col("t")).alias("x")).first()["x"]
 
 
+def plain_stem(word):
+    return next((word[: -len(x)] for x in L.SUFFIXES if word.endswith(x) and len(word) - len(x) >= 4), word)
+
+
 def test_tokens_and_stems(spark):
     assert one(spark, X.tokens, "What is the X200's Warranty, in München?") == ["x200", "warranty", "m", "nchen"]
     assert one(spark, X.approx_tokens, "a b c d e") == 6 and one(spark, X.approx_tokens, " ".join("a" * 15)) == 20 and one(spark, X.approx_tokens, "") == 1
     for word in ("inspection", "inspected", "batteries", "ions", "process", "rations", "utilities"):
-        assert one(spark, X.stem, word) == R.light_stem(word)
+        assert one(spark, X.stem, word) == plain_stem(word)
+    text = "Inspections, inspected; UTILITIES rations ions-process é1ations x" + "y" * 100_000 + "ing 12 nationalities\nsses"
+    assert one(spark, X.stemmed, text) == re.sub("[a-z0-9]+", lambda m: plain_stem(m[0]), text.lower())
+    assert one(spark, X.stemmed, "") == "" and one(spark, X.stemmed, None) is None
     assert one(spark, X.judge_stem, "Devices") == "devic" and one(spark, X.judge_stem, "dog's") == "dog"
     assert one(spark, X.fnv1a, "warranty") == 1338345421
     assert one(spark, X.units, "## 1. Purpose and Scope\n\nThis is. Next! ok") == ["## 1.", "Purpose and Scope", "This is.", "Next!", "ok"]
     assert one(spark, X.clean_page, "a  \r\n\n\n\nb \n") == "a\n\nb"
     assert one(spark, lambda c: X.preview(c, 6), "abc  defghi") == "abc d…"
     assert one(spark, X.content_terms, "please tell me about 24 months of X2 warranty warranty") == ["24", "months", "warranty"]
-    assert set(one(spark, lambda c: X.synonym_stems(X.tokens(c)), "processing time")) == {R.light_stem(w) for k in ("processing", "time") for s in L.SYNONYMS[k] for w in s.split()}
+    assert set(one(spark, lambda c: X.synonym_stems(X.tokens(c)), "processing time")) == {plain_stem(w) for k in ("processing", "time") for s in L.SYNONYMS[k] for w in s.split()}
 
 
 def test_vectors(spark):
@@ -154,6 +161,22 @@ def test_rerank_prefers_the_answer(spark, chunks):
     assert rows[3]["rank"] == 1 and rows[3]["phrase"] > 0 and rows[3]["sentence"] > 0 and "48 hours" in rows[3]["best_sentence"]
 
 
+def test_rerank_features_by_hand(spark):
+    """idf 1.5 for each stem of its own: weights, order of sentences, codes, empty questions and null texts."""
+    rows = [(1, "s200_data.md", "The S200 accuracy is 0.5 V over its range. The S200 sensor is calibrated.\nAccuracy matters in each season here"), (2, "a", None), (3, None, "accuracy")]
+    chunks = spark.createDataFrame(rows, "chunk_id long, doc string, text string")
+    q = spark.createDataFrame([(1, "What accuracy has the S200 range?"), (2, "")], "query_id long, question string")
+    none = spark.createDataFrame([], "term string, idf double")
+    got = {(r["query_id"], r["chunk_id"]): r for r in R.rerank_features(chunks.crossJoin(q), q, none).collect()}
+    r = got[1, 1]
+    assert len(got) == 6 and r["sentence"] == 1.0 and r["idf_cov"] == 1.0 and r["code"] == 1.0 and r["phrase"] == 0.0 and r["bigram"] == 0.2
+    assert r["best_sentence"] == "The S200 accuracy is 0.5 V over its range." and r["proximity"] == round(5 / 15, 4)
+    assert r["rerank_score"] == round(0.26 + 0.18 + 0.14 * 5 / 15 + 0.02 + 0.12 + 0.06, 4)
+    lone = got[1, 3]
+    assert lone["idf_cov"] == round(1 / 3, 4) and lone["proximity"] == 0.35 and lone["code"] == 0.0 and lone["best_sentence"] in ("", "accuracy")
+    assert all(got[k]["sentence"] == got[k]["idf_cov"] == 0.0 and got[k]["best_sentence"] == "" for k in ((1, 2), (2, 1), (2, 2), (2, 3))) and got[2, 1]["code"] == 0.5
+
+
 def test_routes(spark):
     vocabulary = spark.createDataFrame([(w,) for w in "warranty months x300 delivery".split()], "term string")
     q = asked(spark, "Hello there", "ok", "weather in paris", "warranty months delivery", "banana smoothie recipe", "what is it", "who discovered warranty months")
