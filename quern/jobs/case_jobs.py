@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import asking
 from ..operators import testing as C
 from .catalog import query, table
-from .rank_jobs import questions_of, rerank_lexical
+from .rank_jobs import SQL_BLENDED, SQL_FUSED, SQL_RERANKED, questions_of, rerank_lexical
 from .telemetry_jobs import SQL_KEY, SQL_LEDGER, ledger_of
 from .text_jobs import corpus_vocabulary
 
@@ -56,7 +56,7 @@ def ordered_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.select("conv_id", "turn", F.size("w").alias("words"), F.md5(F.array_join(F.array_distinct("w"), " ").cast("binary")).alias("digest"))
 
 
-@query()
+@query(f"WITH {SQL_FUSED}, {SQL_BLENDED}, {SQL_RERANKED} SELECT query_id, count(*) FILTER (rank <> fusion_rank) AS moved, arg_min(chunk_id, rank) AS top FROM rr GROUP BY query_id")
 def rerank_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.reorder_stats(rerank_lexical(spark, sf_dir))
 

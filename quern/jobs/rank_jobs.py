@@ -187,12 +187,13 @@ SQL_RERANKED = f"""pool AS MATERIALIZED (SELECT query_id, chunk_id, rank AS fusi
             CASE WHEN len(asked) > 0 THEN len(list_intersect(asked, codes)) / len(asked) ELSE 0.5 END AS code, measurable FROM pool JOIN said USING (chunk_id) JOIN qr USING (query_id)),
     al AS (SELECT query_id, chunk_id, fusion_rank, phrase, bigram, code, coalesce(sentence, 0) AS sentence, coalesce(proximity, 0) AS proximity, coalesce(idf_cov, 0) AS idf_cov, CASE WHEN measurable AND measured THEN 0.06 ELSE 0 END AS more
         FROM pf LEFT JOIN best USING (query_id, chunk_id) LEFT JOIN px USING (query_id, chunk_id) LEFT JOIN cv USING (query_id, chunk_id)),
-    rr AS (SELECT *, round_even(least(1.0, {' + '.join(f'{v} * {k}' for k, v in R.BLEND.items())} + more), 4) AS rerank_score FROM al)"""
+    rs AS (SELECT *, round_even(least(1.0, {' + '.join(f'{v} * {k}' for k, v in R.BLEND.items())} + more), 4) AS rerank_score FROM al),
+    rr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, fusion_rank) AS rank FROM rs)"""
 
 
 @query(
     f"""WITH {SQL_FUSED}, {SQL_BLENDED}, {SQL_RERANKED}
-    SELECT query_id, chunk_id, fusion_rank, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, fusion_rank) AS rank, {', '.join(f'round_even({k}, 4) AS {k}' for k in R.BLEND)}, rerank_score FROM rr"""
+    SELECT query_id, chunk_id, fusion_rank, rank, {', '.join(f'round_even({k}, 4) AS {k}' for k in R.BLEND)}, rerank_score FROM rr"""
 )
 def rerank_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks, questions = chunks_of(spark, sf_dir), questions_of(spark, sf_dir)
