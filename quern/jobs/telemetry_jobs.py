@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import telemetry as T
+from ..operators.quantiles import exact_percentiles
 from .catalog import query, table
 
 
@@ -56,12 +57,12 @@ def route_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {SQL_LEDGER} SELECT route, round(quantile_cont(latency_ms, 0.5), 4) AS p50, round(quantile_cont(latency_ms, 0.95), 4) AS p95 FROM ledger GROUP BY route")
 def latency_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ledger_of(spark, sf_dir).groupBy("route").agg(*T.percentiles("latency_ms"))
+    return exact_percentiles(ledger_of(spark, sf_dir), "route", "latency_ms")
 
 
 @query(f"WITH {SQL_LEDGER} SELECT route, round(quantile_disc(latency_ms, 0.5), 4) AS p50, round(quantile_disc(latency_ms, 0.95), 4) AS p95 FROM ledger GROUP BY route")
 def latency_nearest_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ledger_of(spark, sf_dir).groupBy("route").agg(*T.percentiles("latency_ms", nearest=True))
+    return exact_percentiles(ledger_of(spark, sf_dir), "route", "latency_ms", nearest=True)
 
 
 @query(f"WITH {SQL_LEDGER} SELECT count(*) AS n, round(quantile_cont(latency_ms, 0.5), 4) AS p50, round(quantile_cont(latency_ms, 0.95), 4) AS p95 FROM (SELECT * FROM ledger ORDER BY ts DESC, request_id DESC LIMIT 500)")

@@ -14,6 +14,7 @@ from quern.operators import answering as A
 from quern.operators import chunking as C
 from quern.operators import ranking as R
 from quern.operators import telemetry as T
+from quern.operators.quantiles import exact_percentiles
 
 
 def one(spark, column, text):
@@ -41,6 +42,21 @@ def test_tokens_and_stems(spark):
     assert set(one(spark, lambda c: X.synonym_stems(X.tokens(c)), "processing time")) == {plain_stem(w) for k in ("processing", "time") for s in L.SYNONYMS[k] for w in s.split()}
 
 
+def test_exact_percentiles_by_numpy(spark):
+    """Skewed, repeated and single values, a null key, a key of nulls only; slots of few values, and far more values than slots."""
+    draw = random.Random(3)
+    rows = [("skew", float(draw.randrange(5)) if draw.random() < 0.7 else draw.random() * 10 ** draw.randrange(6)) for _ in range(3000)]
+    rows += [("one", 7.5), ("pair", 1.0), ("pair", 2.0), ("void", None), (None, 3.0), (None, 4.0), (None, None), ("same", 2.0), ("same", 2.0), ("same", 2.0)]
+    table = spark.createDataFrame(rows, "k string, v double")
+    for nearest, method in ((False, "linear"), (True, "inverted_cdf")):
+        got = {r["k"]: (r["p50"], r["p95"]) for r in exact_percentiles(table, "k", "v", nearest, slots=10).collect()}
+        assert set(got) == {k for k, _ in rows} and got["void"] == (None, None)
+        for k in set(got) - {"void"}:
+            own = [v for n, v in rows if n == k and v is not None]
+            assert got[k] == pytest.approx([np.quantile(own, p, method=method) for p in (0.5, 0.95)], abs=1e-4), k
+    assert exact_percentiles(table.limit(0), "k", "v").count() == 0
+
+
 def test_vectors(spark):
     df = spark.createDataFrame([([1.0, 2.0], [2.0, 1.0], [1.0])], "a array<double>, b array<double>, c array<double>")
     r = df.select(V.cosine(F.col("a"), F.col("b")).alias("x"), V.cosine(F.col("a"), F.col("c")).alias("y"), V.softmax(F.col("a")).alias("s")).first()
