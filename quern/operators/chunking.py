@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -147,28 +147,45 @@ def chunk_pages(pages: DataFrame, target: int = 380, least: int = 60, overlap: i
     return pages.select("doc", "pages").mapInPandas(cut, f"doc {pages.schema['doc'].dataType.simpleString()}, page int, section string, chunk_no int, text string, token_count int, repeat int")
 
 
+class _Window:
+    """Neighbouring parts with the length of their joined text, so that nothing is joined before it is a piece."""
+
+    def __init__(self, mark: str) -> None:
+        self.mark, self.parts, self.length = mark, deque(), -len(mark)
+
+    def grown(self, part: str) -> int:
+        return self.length + len(self.mark) + len(part)
+
+    def add(self, part: str) -> None:
+        self.length = self.grown(part)
+        self.parts.append(part)
+
+    def drop_first(self) -> None:
+        self.length -= len(self.mark) + len(self.parts.popleft())
+
+    def text(self) -> str:
+        return self.mark.join(self.parts)
+
+
 def split_recursively(text: str, size: int = 1000, overlap: int = 150, separators: tuple[str, ...] = ("\n\n", "\n", ". ", " ", "")) -> list[str]:
-    """Pieces of at most `size` characters, cut at the first separator that makes them small enough."""
+    """Pieces of at most `size` characters, cut at the first separator that makes them small enough; linear in the text for each separator."""
     if len(text) <= size:
         return [text] if text.strip() else []
     mark = next((s for s in separators if s == "" or s in text))
-    rest = separators[separators.index(mark) + 1 :] or ("",)
-    parts = list(text) if mark == "" else text.split(mark)
-    out: list[str] = []
-    held: list[str] = []
-    for part in parts:
+    finer = separators[separators.index(mark) + 1 :] or ("",)
+    pieces: list[str] = []
+    held = _Window(mark)
+    for part in text.split(mark) if mark else text:
         if len(part) > size:
-            if held:
-                out.append(mark.join(held))
-                held = []
-            out += split_recursively(part, size, overlap, rest)
+            pieces += [held.text(), *split_recursively(part, size, overlap, finer)]
+            held = _Window(mark)
             continue
-        if held and len(mark.join([*held, part])) > size:
-            out.append(mark.join(held))
-            while held and (len(mark.join(held)) > overlap or len(mark.join([*held, part])) > size):
-                held.pop(0)
-        held.append(part)
-    return [x for x in [*out, mark.join(held)] if x.strip()]
+        if held.grown(part) > size:
+            pieces.append(held.text())
+            while held.parts and (held.length > overlap or held.grown(part) > size):
+                held.drop_first()
+        held.add(part)
+    return [x for x in [*pieces, held.text()] if x.strip()]
 
 
 def recursive_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 1000, overlap: int = 150) -> DataFrame:
