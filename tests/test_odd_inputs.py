@@ -30,3 +30,8 @@ def test_units_keep_digits_and_lose_blanks(spark, tmp_path):
     row = spark.createDataFrame([(text,)], "t string").select(X.units(F.col("t")).alias("u")).first()
     assert row["u"] == ["Zero.", "1 one 1.", "22 two.", "3, three"]
     assert len(same_as_sql(spark, tmp_path, "chunk_units", documents=(DOCS, [(1, text), (2, " a\n\n b "), (3, ""), (4, None)]))) == 6
+
+
+def test_greedy_chunks_keep_the_digits_that_begin_a_sentence(spark, tmp_path):
+    rows = [(k, " ".join(f"{i} is number {i} of {k}." for i in range(150))) for k in range(3)]
+    assert len(same_as_sql(spark, tmp_path, "chunk_greedy", documents=(DOCS, rows))) > 6
