@@ -9,8 +9,8 @@ from ..functions import text as X
 
 
 def first_match(text: Column, patterns: Column) -> Column:
-    """The first of the patterns that a text matches, in any case, as an expression or as it stands; null if none does."""
-    return F.get(F.filter(patterns, lambda p: F.rlike(text, F.concat(F.lit("(?i)"), p)) | F.contains(F.lower(text), F.lower(p))), F.lit(0))
+    """The first of the patterns that a text matches, in any case of any script, as an expression or as it stands; null if none does."""
+    return F.get(F.filter(patterns, lambda p: F.rlike(text, F.concat(F.lit("(?iu)"), p)) | F.contains(F.lower(text), F.lower(p))), F.lit(0))
 
 
 def expected_document(docs: Column, expected: Column) -> Column:

@@ -35,3 +35,9 @@ def test_units_keep_digits_and_lose_blanks(spark, tmp_path):
 def test_greedy_chunks_keep_the_digits_that_begin_a_sentence(spark, tmp_path):
     rows = [(k, " ".join(f"{i} is number {i} of {k}." for i in range(150))) for k in range(3)]
     assert len(same_as_sql(spark, tmp_path, "chunk_greedy", documents=(DOCS, rows))) > 6
+
+
+def test_facts_match_in_any_case_of_any_letter(spark, tmp_path):
+    texts = ["OSQUEÑ UND", "QUEÑ", "queÑ", "nation.", "xTIONx", "zzz", "e", None]
+    found = same_as_sql(spark, tmp_path, "fact_match", documents=(DOCS, list(enumerate(texts))))
+    assert [r[1] for r in sorted(found)[:3]] == ["un[dg]er" if "UNDER" in texts[0] else "queñ|quel"] + ["queñ|quel"] * 2
