@@ -158,7 +158,7 @@ def follow_ups(turns: DataFrame, own: Column, cue: Column) -> DataFrame:
     carried = F.when((F.col("route") == "document") & (F.size("own") > 0), F.slice("own", 1, 2))
     earlier = Window.partitionBy("session_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
     rows = turns.withColumn("own", own).withColumn("inherited", F.last(carried, ignorenulls=True).over(earlier))
-    short = F.size(F.split(F.trim("question"), "\\s+")) <= 6
+    short = F.size(F.regexp_extract_all("question", F.lit("[^ \\n\\t\\r]+"), F.lit(0))) <= 6
     applied = (F.size("own") == 0) & F.col("inherited").isNotNull() & (short | cue)
     effective = F.when(applied, F.concat_ws(" ", F.trim("question"), F.array_join("inherited", " "))).otherwise(F.trim("question"))
     return rows.withColumn("applied", F.coalesce(applied, F.lit(False))).withColumn("effective_question", effective)
