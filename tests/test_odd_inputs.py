@@ -1,5 +1,7 @@
 """Inputs on which a query once gave other rows than its SQL."""
 
+from datetime import datetime
+
 import duckdb
 from pyspark.sql import functions as F
 
@@ -47,3 +49,12 @@ def test_follow_ups_take_accented_letters_for_no_part_of_a_word(spark, tmp_path)
     turns = [(1, 0, "user", "xélesouvi and y"), (1, 1, "assistant", "Onè two three four five six seven"), (1, 2, "user", "\na b c d e f"), (1, 4, "user", "oné \x0bb c d e f g"), (2, 0, "user", "xlesouvi"), (2, 1, "user", "and what"), (1, 5, "user", "one b c d e f g")]
     found = same_as_sql(spark, tmp_path, "followup_resolve", conversations=("conv_id long, turn long, role string, text string", turns))
     assert sum(r[0] for r in found) == 3
+
+
+def test_golden_stats_have_a_row_for_a_source_without_cases(spark, tmp_path):
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    events = lambda *rows: (schema, [(i, datetime(2024, 1, 1), 1, "view", 1.0, p) for i, p in rows])
+    every = [(400, '{"k": 1}'), (401, '{"k": 1}'), (800, '{"k": 2}'), (802, '{"k": 2}')]
+    assert same_as_sql(spark, tmp_path, "golden_stats", events=events(*every)) == [(0, "user"), (2, "base")]
+    assert same_as_sql(spark, tmp_path, "golden_stats", events=events(*every, (803, '{"k": 3}'), (804, None))) == [(1, "user"), (2, "base")]
+    assert same_as_sql(spark, tmp_path, "golden_stats", events=events(*every, (803, '{"k": 3}'), (1200, None))) == [(0, "user"), (3, "base")]
