@@ -22,7 +22,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document of the smallest id stays; rows without an id stay, rows that repeat id and text count once."""
+    """Of each group of texts with fingerprints up to two bits apart, or of near copies, the document of the smallest id stays; rows without an id stay, rows that repeat id and text count once."""
     return drop_near_duplicates(docs)
 
 

@@ -187,11 +187,12 @@ def _undecided(shared: DataFrame, links: DataFrame) -> DataFrame:
     return named.join(several, "key")
 
 
-def near_links(source: DataFrame, distinct: DataFrame, *, size: int, percent: int, group_limit: int, large: int) -> DataFrame:
-    """(a, b): checked links among the distinct sets that connect all candidates of the similarity."""
+def near_links(source: DataFrame, distinct: DataFrame, *, size: int, percent: int, group_limit: int, large: int, hints: DataFrame | None = None) -> DataFrame:
+    """(a, b): checked links among the distinct sets that connect all candidates of the similarity. hints: more pairs (a, b) to check."""
     keyed = distinct.select("bits", F.explode("bands").alias("key"))
     shared = _groups(keyed)
-    wanted = distinct.join(shared.select("bits").distinct(), "bits", "left_semi").select(F.col("row.doc_id").alias("rid"), F.col("row.of_text").alias("rtext"))
+    asked = shared.select("bits") if hints is None else shared.select("bits").union(hints.select("a")).union(hints.select("b"))
+    wanted = distinct.join(asked.distinct(), "bits", "left_semi").select(F.col("row.doc_id").alias("rid"), F.col("row.of_text").alias("rtext"))
     sets = materialise(_sets(source, wanted, size))
 
     def compared(members: DataFrame, low: int, high: int) -> DataFrame:
@@ -208,7 +209,7 @@ def near_links(source: DataFrame, distinct: DataFrame, *, size: int, percent: in
         return out
 
     pivots = lambda groups: groups.where("bits <> pivot").select(F.col("pivot").alias("a"), F.col("bits").alias("b"))
-    links = grown(None, pivots(shared))
+    links = grown(None, pivots(shared) if hints is None else pivots(shared).union(hints))
     undecided = materialise(_undecided(shared, links))
     found = compared(undecided.where(F.col("held") <= large), 0, large)
     links = grown(links, found.where("a is not null").select("a", "b"))
@@ -249,19 +250,25 @@ def _comparing(percent: int, low: int, high: int):
     return compared
 
 
-def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, group_limit: int = 4096, large: int = 4) -> DataFrame:
+def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, group_limit: int = 4096, large: int = 4, groups: DataFrame | None = None) -> DataFrame:
     """(doc_id, of_text, component, component_id): one row per input row; of_text is a hash of the text, component a key of the group.
 
     component_id is the smallest id reachable over texts whose shingles of `size` words have a Jaccard similarity of
     `percent` of 100 or more, itself included. Null texts count as empty and are one group with the empty ones.
     Null ids are passed over by the minimum. group_limit: members of a group that a task compares with as many. large: members from
-    which a band's group is dealt again by rarest shingles.
+    which a band's group is dealt again by rarest shingles. groups: (of_text, group) by another method, each member of which is first checked
+    against the least one of its group.
     """
     source = _source(docs, id_col, text_col)
     prints = materialise(signatures(source, size))
     distinct = prints.groupBy("bits").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "of_text")).alias("row"), F.first("bands").alias("bands"))
     distinct = materialise(distinct)
-    links = near_links(source, distinct, size=size, percent=percent, group_limit=group_limit, large=large)
+    hints = None
+    if groups is not None:
+        met = distinct.select("bits", F.col("row.of_text").alias("of_text")).join(groups, "of_text").select("bits", "group")
+        least = met.groupBy("group").agg(F.min("bits").alias("pivot"), F.count("*").alias("n")).where("n > 1")
+        hints = materialise(met.join(least, "group").where("bits <> pivot").select(F.col("pivot").alias("a"), F.col("bits").alias("b")))
+    links = near_links(source, distinct, size=size, percent=percent, group_limit=group_limit, large=large, hints=hints)
     members = components(links)
     rooted = distinct.select("bits", "least").join(members.select(F.col("node").alias("bits"), "root"), "bits", "left").select("bits", "least", F.coalesce("root", "bits").alias("component"))
     rooted = materialise(rooted)

@@ -139,6 +139,20 @@ def test_one_of_each_group_stays(spark):
     assert [r["doc_id"] for r in twice.collect()] == [1]
 
 
+def test_copies_by_fingerprints_alone(spark, monkeypatch):
+    """Without any group of min-hash bands the copies within two bits still go, after a check of their sets."""
+    from quern.llm import nearcopies
+
+    groups = nearcopies._groups
+    monkeypatch.setattr(nearcopies, "_groups", lambda keyed: groups(keyed.where("false")))
+    text = " ".join(f"w{k}" for k in range(400))
+    line = "so it is said again and again by all of us "
+    far = [line * 40 + " ".join(f"{c}{k}" for k in range(12)) for c in "pq"]  # one fingerprint, but few common shingles
+    texts = [text, next(t for t in (f"{text} end{k}" for k in range(200)) if (brute.simhash(t) ^ brute.simhash(text)).bit_count() <= 2), *far, "something else"]
+    assert (brute.simhash(far[0]) ^ brute.simhash(far[1])).bit_count() <= 2
+    assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(make(spark, texts)).collect()) == [0, 2, 3, 4]
+
+
 @pytest.mark.parametrize("limit", [0, 10**6])
 def test_rows_that_repeat_an_id(spark, limit):
     texts = ["alpha beta gamma delta", "one two three four five", "one two three four five", "alpha beta gamma delta", "alpha beta gamma delta"]
