@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as X
 from quern.jobs import registry
+from quern.operators import answering as A
 
 from .test_oracle import rows_of
 
@@ -58,3 +59,15 @@ def test_golden_stats_have_a_row_for_a_source_without_cases(spark, tmp_path):
     assert same_as_sql(spark, tmp_path, "golden_stats", events=events(*every)) == [(0, "user"), (2, "base")]
     assert same_as_sql(spark, tmp_path, "golden_stats", events=events(*every, (803, '{"k": 3}'), (804, None))) == [(1, "user"), (2, "base")]
     assert same_as_sql(spark, tmp_path, "golden_stats", events=events(*every, (803, '{"k": 3}'), (1200, None))) == [(0, "user"), (3, "base")]
+
+
+def test_units_of_answers_hold_no_whole_texts_and_are_not_broadcast(spark):
+    text = " ".join(f"Sentence {k} is about the warranty of part {k}." for k in range(300))
+    contexts = spark.createDataFrame([(1, 1, "a.md", "1", text), (1, 2, "b.md", "1", text + " more")], "query_id long, rank int, doc string, page string, text string")
+    questions = spark.createDataFrame([(1, "warranty of part 17?")], "query_id long, question string")
+    answers = A.extract_answers(contexts, questions, units=None)
+    assert "part 17." in answers.first()["answer"]
+    plan = answers._jdf.queryExecution().optimizedPlan().toString()
+    cut = next(line for line in plan.split("\n") if "MapInArrow" in line)
+    assert "unit#" in cut and "text#" not in cut.split("[", 1)[1].split("]", 1)[0]
+    assert "rightHint=(strategy=merge)" in plan
