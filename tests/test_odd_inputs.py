@@ -71,3 +71,32 @@ def test_units_of_answers_hold_no_whole_texts_and_are_not_broadcast(spark):
     cut = next(line for line in plan.split("\n") if "MapInArrow" in line)
     assert "unit#" in cut and "text#" not in cut.split("[", 1)[1].split("]", 1)[0]
     assert "rightHint=(strategy=merge)" in plan
+
+
+def test_slices_bound_what_a_task_holds():
+    import pyarrow as pa
+
+    from quern.operators import ranking as R
+
+    lists = pa.array([["a"] * n for n in (60_000, 50_000, 10, 250_000, 0, 7)], pa.list_(pa.string()))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), lists], ["chunk_id", "t"]).slice(0, 6)
+    parts = list(R._slices(iter([batch, batch.slice(0, 0)])))
+    assert [p.column(0).to_pylist() for p in parts] == [[0], [1, 2], [3], [4, 5]]
+
+
+def test_dense_top_in_small_slices_keeps_the_best_of_all(spark, monkeypatch):
+    """One batch is cut into many slices, and a task hands on its k best only."""
+    import numpy as np
+
+    from quern.operators import ranking as R
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3_000, 6)).round(1)
+    vectors = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, vector array<double>").coalesce(1)
+    handed = []
+    monkeypatch.setattr(R, "top_k", lambda out, k, top=R.top_k: handed.append(out) or top(out, k))
+    got = {(r["query_id"], r["rank"]): r["chunk_id"] for r in R.dense_top(vectors, vectors.where("id % 2 = 0"), 4).collect()}
+    unit = x / np.maximum(np.sqrt((x * x).sum(axis=1)), 1e-9)[:, None]
+    near = np.argsort(-np.round(unit[::2] @ unit.T, 6), axis=1, kind="stable")[:, :4]
+    assert got == {(2 * q, r + 1): near[q, r] for q in range(1_500) for r in range(4)}
+    assert handed[0].count() == 1_500 * 4
