@@ -40,6 +40,14 @@ def test_greedy_chunks_keep_the_digits_that_begin_a_sentence(spark, tmp_path):
     assert len(same_as_sql(spark, tmp_path, "chunk_greedy", documents=(DOCS, rows))) > 6
 
 
+def test_greedy_chunks_tell_blanks_of_any_kind_apart_as_the_sql_does(spark, tmp_path):
+    blanks = ["\x0b", "\x0c", "\x01", "\x85", "\xa0", "\u2003", "\u3000", "\r\n", "\t"]
+    rows = [(k, f"one.{b}two{b}three a{b}{b}b! x. {b} y") for k, b in enumerate(blanks)]
+    assert len(same_as_sql(spark, tmp_path, "chunk_greedy", documents=(DOCS, rows))) == len(rows)
+    same_as_sql(spark, tmp_path, "chunk_units", documents=(DOCS, rows))
+    same_as_sql(spark, tmp_path, "approx_tokens", documents=(DOCS, rows))
+
+
 def test_facts_match_in_any_case_of_any_letter(spark, tmp_path):
     texts = ["OSQUEÑ UND", "QUEÑ", "queÑ", "nation.", "xTIONx", "zzz", "e", None]
     found = same_as_sql(spark, tmp_path, "fact_match", documents=(DOCS, list(enumerate(texts))))
