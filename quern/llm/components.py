@@ -12,8 +12,8 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, root) for every node that has a link to another; root is the least node of its component.
+def stars(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(u, v) for every node that isn't the least one of its component, with that one; a table of materialise().
 
     Each round replaces the links of a node by links to its least neighbour, first for the larger
     neighbours and then for the smaller ones. The number of links never grows and the rounds are about
@@ -34,5 +34,11 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         last = edges
         edges = materialise(small.union(smaller.select("u", F.col("m").alias("v"))).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
         discard(last)
+    return edges
+
+
+def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, root) for every node that has a link to another; root is the least node of its component, as of stars()."""
+    edges = stars(links, a, b)
     members = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return members.union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

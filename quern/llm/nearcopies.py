@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, materialise, plain, text_slices
-from .components import components
+from .components import stars
 
 BANDS, ROWS = 32, 5
 _RANDOM = np.random.default_rng(20240302)
@@ -179,52 +179,62 @@ def _groups(keyed: DataFrame) -> DataFrame:
     return materialise(keyed.join(groups, "key").select("key", "bits", "pivot", "held"))
 
 
-def _undecided(shared: DataFrame, links: DataFrame) -> DataFrame:
-    """Members, with their component, of groups of three or more that hold several components."""
-    roots = components(links).select(F.col("node").alias("bits"), "root")
-    named = shared.where("held > 2").join(roots, "bits", "left").withColumn("root", F.coalesce("root", "bits"))
-    several = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    return named.join(several, "key")
+def _undecided(groups: DataFrame, roots: DataFrame) -> DataFrame:
+    """The members of those groups of three or more that hold several components.
+
+    Such a group has a member in another component than its least one, and most of these pairs belong to many groups.
+    """
+    pairs = groups.where("held > 2 and bits <> pivot").select("pivot", "bits").distinct()
+    named = pairs.join(roots.toDF("bits", "of_bits"), "bits", "left").join(roots.toDF("pivot", "of_pivot"), "pivot", "left")
+    apart = named.where(F.coalesce("of_bits", "bits") != F.coalesce("of_pivot", "pivot")).select("pivot", "bits")
+    keys = groups.join(apart, ["pivot", "bits"], "left_semi").select("key").distinct()
+    return materialise(groups.join(keys, "key", "left_semi"))
 
 
-def near_links(source: DataFrame, distinct: DataFrame, *, size: int, percent: int, group_limit: int, large: int, hints: DataFrame | None = None) -> DataFrame:
-    """(a, b): checked links among the distinct sets that connect all candidates of the similarity. hints: more pairs (a, b) to check."""
+def near_stars(source: DataFrame, distinct: DataFrame, *, size: int, percent: int, group_limit: int, large: int, hints: DataFrame | None = None) -> DataFrame:
+    """(u, v): the components of the distinct sets, as of stars(), by checked links that connect all candidates of the similarity. hints: more pairs (a, b) to check."""
     keyed = distinct.select("bits", F.explode("bands").alias("key"))
     shared = _groups(keyed)
     asked = shared.select("bits") if hints is None else shared.select("bits").union(hints.select("a")).union(hints.select("b"))
     wanted = distinct.join(asked.distinct(), "bits", "left_semi").select(F.col("row.doc_id").alias("rid"), F.col("row.of_text").alias("rtext"))
     sets = materialise(_sets(source, wanted, size))
 
-    def compared(members: DataFrame, low: int, high: int) -> DataFrame:
-        left = members.join(sets.select("bits", "n", "map"), "bits")
+    def compared(members: DataFrame, roots: DataFrame, low: int, high: int) -> DataFrame:
+        named = sets.select("bits", "n", "map").join(roots.toDF("bits", "root"), "bits", "left").select("bits", "n", "map", F.coalesce("root", "bits").alias("root"))
+        left = members.join(named, "bits")
         blocks = F.ceil(F.col("held") / group_limit)
         left = left.withColumn("block", F.pmod(F.xxhash64("bits"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
         dealt = left.groupBy("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(F.array_sort(F.collect_list(F.struct("bits", "n", "root", "block", "pivot", "map"))).alias("members"))
         return materialise(dealt.select("members").mapInArrow(_comparing(percent, low, high), "a long, b long, more boolean"))
 
-    def grown(links: DataFrame | None, pairs: DataFrame) -> DataFrame:
-        new = _confirmed(pairs.distinct(), sets, percent)
-        out = materialise(new if links is None else links.union(new))
-        discard(*[links] * (links is not None))
+    def grown(roots: DataFrame | None, pairs: DataFrame) -> DataFrame:
+        """The components with the links among more pairs; those before go in as the stars they are."""
+        new = materialise(_confirmed(pairs.distinct(), sets, percent))
+        if roots is not None and new.isEmpty():
+            discard(new)
+            return roots
+        out = stars(new if roots is None else new.union(roots.toDF("a", "b")))
+        discard(new, *[roots] * (roots is not None))
         return out
 
     pivots = lambda groups: groups.where("bits <> pivot").select(F.col("pivot").alias("a"), F.col("bits").alias("b"))
-    links = grown(None, pivots(shared) if hints is None else pivots(shared).union(hints))
-    undecided = materialise(_undecided(shared, links))
-    found = compared(undecided.where(F.col("held") <= large), 0, large)
-    links = grown(links, found.where("a is not null").select("a", "b"))
+    roots = grown(None, pivots(shared) if hints is None else pivots(shared).union(hints))
+    undecided = _undecided(shared, roots)
+    found = compared(undecided.where(F.col("held") <= large), roots, 0, large)
+    roots = grown(roots, found.where("a is not null").select("a", "b"))
     hot = undecided.where(F.col("held") > large).select("bits").distinct()
     rare = _groups(_prefix_keys(sets.join(hot, "bits", "left_semi"), percent))
     discard(shared, undecided, found)
-    links, low, width = grown(links, pivots(rare)), 0, 1
+    roots, low, width = grown(roots, pivots(rare)), 0, 1
     while True:
-        found = compared(_undecided(rare, links), low, low + width)
-        links = grown(links, found.where("a is not null").select("a", "b"))
+        before, rare = rare, _undecided(rare, roots)  # a group of one component stays so
+        found = compared(rare, roots, low, low + width)
+        roots = grown(roots, found.where("a is not null").select("a", "b"))
         more = not found.where("more").isEmpty()
-        discard(found)
+        discard(found, before)
         if not more:
             discard(sets, rare)
-            return links
+            return roots
         low, width = low + width, 16 * width
 
 
@@ -250,31 +260,32 @@ def _comparing(percent: int, low: int, high: int):
     return compared
 
 
-def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, group_limit: int = 4096, large: int = 4, groups: DataFrame | None = None) -> DataFrame:
+def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, group_limit: int = 4096, large: int = 4, prints: DataFrame | None = None, print_links: DataFrame | None = None) -> DataFrame:
     """(doc_id, of_text, component, component_id): one row per input row; of_text is a hash of the text, component a key of the group.
 
     component_id is the smallest id reachable over texts whose shingles of `size` words have a Jaccard similarity of
     `percent` of 100 or more, itself included. Null texts count as empty and are one group with the empty ones.
     Null ids are passed over by the minimum. group_limit: members of a group that a task compares with as many. large: members from
-    which a band's group is dealt again by rarest shingles. groups: (of_text, group) by another method, each member of which is first checked
-    against the least one of its group.
+    which a band's group is dealt again by rarest shingles. prints, print_links: (of_text, print) and links (a, b) of prints by another method; texts
+    of a print, or of two that are linked, are first checked through the least one of each.
     """
     source = _source(docs, id_col, text_col)
-    prints = materialise(signatures(source, size))
-    distinct = prints.groupBy("bits").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "of_text")).alias("row"), F.first("bands").alias("bands"))
+    signed = materialise(signatures(source, size))
+    distinct = signed.groupBy("bits").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "of_text")).alias("row"), F.first("bands").alias("bands"))
     distinct = materialise(distinct)
     hints = None
-    if groups is not None:
-        met = distinct.select("bits", F.col("row.of_text").alias("of_text")).join(groups, "of_text").select("bits", "group")
-        least = met.groupBy("group").agg(F.min("bits").alias("pivot"), F.count("*").alias("n")).where("n > 1")
-        hints = materialise(met.join(least, "group").where("bits <> pivot").select(F.col("pivot").alias("a"), F.col("bits").alias("b")))
-    links = near_links(source, distinct, size=size, percent=percent, group_limit=group_limit, large=large, hints=hints)
-    members = components(links)
-    rooted = distinct.select("bits", "least").join(members.select(F.col("node").alias("bits"), "root"), "bits", "left").select("bits", "least", F.coalesce("root", "bits").alias("component"))
+    if prints is not None:
+        met = distinct.select("bits", F.col("row.of_text").alias("of_text")).join(prints, "of_text").select("bits", "print")
+        least = materialise(met.groupBy("print").agg(F.min("bits").alias("pivot")))
+        own = met.join(least, "print").where("bits <> pivot").select(F.col("pivot").alias("a"), F.col("bits").alias("b"))
+        hints = materialise(own.union(print_links.join(least.toDF("a", "of_a"), "a").join(least.toDF("b", "of_b"), "b").select("of_a", "of_b")))
+        discard(least)
+    roots = near_stars(source, distinct, size=size, percent=percent, group_limit=group_limit, large=large, hints=hints)
+    rooted = distinct.select("bits", "least").join(roots.toDF("bits", "root"), "bits", "left").select("bits", "least", F.coalesce("root", "bits").alias("component"))
     rooted = materialise(rooted)
-    discard(distinct, links)
+    discard(distinct, roots, *[hints] * (hints is not None))
     least = rooted.groupBy("component").agg(F.min("least").alias("component_id"))
     named = rooted.join(least, "component").select("bits", "component", "component_id")
-    out = materialise(prints.select("doc_id", "of_text", "bits").join(named, "bits").select("doc_id", "of_text", "component", "component_id"))
-    discard(prints, rooted)
+    out = materialise(signed.select("doc_id", "of_text", "bits").join(named, "bits").select("doc_id", "of_text", "component", "component_id"))
+    discard(signed, rooted)
     return out

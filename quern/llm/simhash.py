@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, plain, text_slices
+from .common import discard, materialise, plain, text_slices
 from .components import components
 from .nearcopies import near_copies
 
@@ -169,14 +169,16 @@ def near_duplicate_report(docs: DataFrame, **options) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", broadcast_limit: int = 1_000_000) -> DataFrame:
     """`docs` with one row of each group of near duplicates: the one of the smallest id, and of its texts that of the least hash.
 
-    near_duplicates() comes first: the texts of its groups, by fingerprints at most two bits apart, are checked on their whole sets of shingles.
-    near_copies() goes on from these links to the copies that two bits don't show. Rows without an id stay. Rows that repeat an id with texts of different groups stay with each of them; of rows that
+    SimHash comes first: texts of one fingerprint, and of those that near_links() finds at most two bits apart, are checked on their whole sets of shingles.
+    near_copies() goes on from these links to the copies that two bits don't show, and makes the components of both. Rows without an id stay. Rows that repeat an id with texts of different groups stay with each of them; of rows that
     repeat both the id and the text one stays. broadcast_limit: rows to drop (some 50 bytes each) up to which they are
     broadcast; beyond, the texts are shuffled to them.
     """
     text = F.col(f"`{text_col}`")
-    groups = materialise(near_duplicates(docs.select(F.xxhash64(text).alias("of_text"), text.alias("text")), id_col="of_text").select(F.col("doc_id").alias("of_text"), F.col("component_id").alias("group")).distinct())
-    found = near_copies(docs, id_col=id_col, text_col=text_col, groups=groups).where("doc_id is not null")
+    prints = materialise(fingerprints(docs.select(F.xxhash64(text).alias("of_text"), text.alias("text")), "of_text").distinct())
+    links = materialise(near_links(prints.select("bits").distinct()))
+    found = near_copies(docs, id_col=id_col, text_col=text_col, prints=prints.toDF("of_text", "print"), print_links=links).where("doc_id is not null")
+    discard(prints, links)
     stays = found.groupBy("component").agg(F.min(F.struct("doc_id", "of_text")).alias("stays"))
     gone = materialise(found.join(stays, "component").where(F.struct("doc_id", "of_text") != F.col("stays")).select(F.col("doc_id").alias("__id"), F.col("of_text").alias("__text")).distinct())
     same = F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col("__text"))
