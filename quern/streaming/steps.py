@@ -6,7 +6,8 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 FRAMES = "request_id long, pos int, frame string"
@@ -52,20 +53,35 @@ def step_frames(state: dict, rows: list[tuple[int, str, str]], words: int = 4) -
     return out
 
 
-def answer_frames(steps: DataFrame, words: int = 4) -> DataFrame:
+def _by_request(key: tuple, frames: Iterator[pd.DataFrame], *columns: str) -> dict[int | None, list[tuple]]:
+    """The rows of each request of a run of ids, in the order in which they came; rows without an id are a run of their own."""
+    out: dict[int | None, list[tuple]] = {}
+    for f in frames:
+        for request, *row in zip(f["request_id"].tolist() if not pd.isna(key[0]) else [None] * len(f), *[f[c].tolist() for c in columns]):
+            out.setdefault(request, []).append(tuple(row))
+    return out
+
+
+def _run(span: int) -> Column:
+    """Requests whose ids differ in the last `span` bits only are a run: one state, and one call of Python for all of them."""
+    return F.shiftright(F.col("request_id").cast("long"), span)
+
+
+def answer_frames(steps: DataFrame, words: int = 4, span: int = 10) -> DataFrame:
     """FRAMES of a stream of steps (request_id, seq, kind, text), in order by request and once, over restarts too.
 
-    A request's state is the steps that wait for one before them; of an ended one only a few numbers stay.
+    A request's state is the steps that wait for one before them; of an ended one only a few numbers stay. Runs of 2**span ids share a row of state.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        own = json.loads(state.get[0]) if state.exists else {"next": 0, "pos": 0, "parts": 0, "done": False, "held": {}}
-        rows = pd.concat(list(frames))
-        out = step_frames(own, list(zip(rows["seq"].tolist(), rows["kind"], rows["text"])), words)
+        own, out = json.loads(state.get[0]) if state.exists else {}, []
+        for request, rows in _by_request(key, frames, "seq", "kind", "text").items():
+            mine = own.setdefault(str(request), {"next": 0, "pos": 0, "parts": 0, "done": False, "held": {}})
+            out += [(request, pos, text) for pos, text in step_frames(mine, rows, words)]
         state.update((json.dumps(own),))
-        yield pd.DataFrame([(key[0], pos, text) for pos, text in out], columns=["request_id", "pos", "frame"])
+        yield pd.DataFrame(out, columns=["request_id", "pos", "frame"])
 
-    return steps.groupBy("request_id").applyInPandasWithState(step, FRAMES, "waiting string", "append", GroupStateTimeout.NoTimeout)
+    return steps.withColumn("run", _run(span)).groupBy("run").applyInPandasWithState(step, FRAMES, "waiting string", "append", GroupStateTimeout.NoTimeout)
 
 
 def age_alerts(state: dict, rows: list[tuple[int, str]], now: int | None, hours: tuple[int, ...]) -> list[tuple[int, int]]:

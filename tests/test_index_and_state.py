@@ -135,6 +135,18 @@ def test_errors_and_parts_of_answers_end_as_they_should():
     assert state["done"] and steps.step_frames(state, [(1, "node", "never")]) == []
 
 
+def test_requests_of_a_run_of_ids_share_a_call(spark, tmp_path):
+    """A state row for each thousand ids or so, not for each id; rows without an id are a request of their own."""
+    source, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    ids = [*range(-2, 60), 5_000, None]
+    spark.createDataFrame([(r, s, "node", f"{r} {s}") for s in (1, 0) for r in ids], "request_id long, seq int, kind string, text string").coalesce(1).write.parquet(source)
+    stream = spark.readStream.schema("request_id long, seq int, kind string, text string").parquet(source)
+    done = rates.drain(steps.answer_frames(stream), out, state, mode="append")
+    rows = spark.read.schema(steps.FRAMES).parquet(f"{out}/batch=*").collect()
+    assert sorted(map(tuple, rows), key=repr) == sorted([(r, s, steps.frame("node", {"step": f"{r} {s}"})) for r in ids for s in (0, 1)], key=repr)
+    assert sum(p["stateOperators"][0]["numRowsUpdated"] for p in done.recentProgress) == 4
+
+
 def test_timers_fire_once_and_are_cancelled(spark, tmp_path):
     source, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
     base = 1_704_067_200
