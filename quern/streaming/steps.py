@@ -108,25 +108,30 @@ def age_alerts(state: dict, rows: list[tuple[int, str]], now: int | None, hours:
     return out
 
 
-def open_item_alerts(changes: DataFrame, hours: tuple[int, ...] = (6, 48), late: str = "10 minutes") -> DataFrame:
+def open_item_alerts(changes: DataFrame, hours: tuple[int, ...] = (6, 48), late: str = "10 minutes", span: int = 13) -> DataFrame:
     """ALERTS of a stream of changes (request_id, ts, kind: down, up or resolved): items that stay open for so many hours.
 
-    Timers run in event time: the watermark, `late` behind the newest change, fires those of requests of which nothing more is heard. A request's
-    state is two numbers.
+    Timers run in event time: the watermark, `late` behind the newest change, fires those of requests of which nothing more is heard. An open
+    item's state is two numbers. Runs of 2**span ids share a row of state, whose timer is that of the item that is due next.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        own = json.loads(state.get[0]) if state.exists else {"voted": None, "stage": 0}
-        rows = [] if state.hasTimedOut else [(int(t), k) for f in frames for t, k in zip(f["micros"], f["kind"])]
-        mark = state.getCurrentWatermarkMs()
-        out = age_alerts(own, rows, mark * 1000 if mark > 0 else None, hours)
-        if own["voted"] is not None and own["stage"] < len(hours):
-            state.update((json.dumps(own),))
-            due = (own["voted"] + hours[own["stage"]] * 3600 * MICROS) // 1000
+        own = {None if k == "None" else int(k): v for k, v in json.loads(state.get[0]).items()} if state.exists else {}
+        rows = {} if state.hasTimedOut else _by_request(key, frames, "micros", "kind")
+        mark, out, left = state.getCurrentWatermarkMs(), [], {}
+        for request in {**own, **rows}:
+            voted, stage = own.get(request, (None, 0))
+            mine = {"voted": voted, "stage": stage}
+            out += [(request, *x) for x in age_alerts(mine, rows.get(request, []), mark * 1000 if mark > 0 else None, hours)]
+            if mine["voted"] is not None and mine["stage"] < len(hours):
+                left[request] = (mine["voted"], mine["stage"])
+        if left:
+            state.update((json.dumps(left if None not in left else {"None": left[None]}),))
+            due = min(voted + hours[stage] * 3600 * MICROS for voted, stage in left.values()) // 1000
             state.setTimeoutTimestamp(max(due, mark + 1))
         elif state.exists:
             state.remove()
-        yield pd.DataFrame([(key[0], *x) for x in out], columns=["request_id", "voted", "hours"])
+        yield pd.DataFrame(out, columns=["request_id", "voted", "hours"])
 
     timed = changes.selectExpr("request_id", "cast(ts AS timestamp) AS ts", "unix_micros(cast(ts AS timestamp)) AS micros", "kind").withWatermark("ts", late)
-    return timed.groupBy("request_id").applyInPandasWithState(step, ALERTS, "open string", "append", GroupStateTimeout.EventTimeTimeout)
+    return timed.withColumn("run", _run(span)).groupBy("run").applyInPandasWithState(step, ALERTS, "open string", "append", GroupStateTimeout.EventTimeTimeout)

@@ -147,6 +147,17 @@ def test_requests_of_a_run_of_ids_share_a_call(spark, tmp_path):
     assert sum(p["stateOperators"][0]["numRowsUpdated"] for p in done.recentProgress) == 4
 
 
+def test_open_items_of_a_run_of_ids_share_a_timer(spark, tmp_path):
+    source, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    ids = [*range(-2, 60), 10_000, None]
+    spark.createDataFrame([(r, 3600 * k, "down") for k, r in enumerate(ids, 1)] + [(3, 3600 * 500, "up")], "request_id long, s long, kind string").select("request_id", F.timestamp_seconds("s").alias("ts"), "kind").coalesce(1).write.parquet(source)
+    stream = spark.readStream.schema("request_id long, ts timestamp, kind string").parquet(source)
+    done = rates.drain(steps.open_item_alerts(stream), out, state, mode="append")
+    rows = [tuple(r) for r in spark.read.schema(steps.ALERTS).parquet(f"{out}/batch=*").collect()]
+    assert sorted(rows, key=repr) == sorted([(r, 3_600_000_000 * k, h) for k, r in enumerate(ids, 1) for h in (6, 48)], key=repr)
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in done.recentProgress) <= 4
+
+
 def test_timers_fire_once_and_are_cancelled(spark, tmp_path):
     source, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
     base = 1_704_067_200
