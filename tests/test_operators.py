@@ -483,3 +483,20 @@ def test_session_memory_stream(spark, tmp_path):
     stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(folder)
     remember(stream).writeStream.outputMode("append").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).foreachBatch(lambda df, _: got.extend(df.collect())).start().awaitTermination()
     assert sorted((r["session_id"], r["turn"], r["effective_question"]) for r in got) == [("s", 0, "About the X200"), ("s", 1, "its range? x200"), ("t", 0, "its range?")]
+
+
+def test_hashes_of_word_pairs_go_on_from_those_of_words():
+    import numpy as np
+    from quern.operators import ranking
+
+    def plain(text):
+        h = 2166136261
+        for b in text.encode():
+            h = ((h ^ b) * 16777619) & 0xFFFFFFFF
+        return h
+
+    words = ["a", "bcd", "", "z" * 300, "0_9"]
+    data, size = np.frombuffer("".join(words).encode(), np.uint8).astype(np.uint64), np.array([len(w) for w in words])
+    own = ranking._fnv_on(np.full(5, 2166136261, np.uint64), np.arange(5), data, np.cumsum(size) - size, size)
+    assert own.tolist() == [plain(w) for w in words]
+    assert ranking._fnv_on(own[[3, 0, 1]], np.array([1, 3, 2]), data, np.cumsum(size) - size, size).tolist() == [plain(words[i] + words[j]) for i, j in ((3, 1), (0, 3), (1, 2))]
