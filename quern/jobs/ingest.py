@@ -34,7 +34,7 @@ def numbered(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("ordinal", F.row_number().over(Window.partitionBy("doc").orderBy("page", "chunk_id")))
 
 
-def _index(spark: SparkSession, chunks: DataFrame) -> dict[str, DataFrame]:
+def _index(spark: SparkSession, chunks: DataFrame) -> dict:
     """The tables that retrieval reads: chunks, vectors, and those of indexed.index_tables()."""
     keyed = chunks.select("chunk_id", R.search_text(chunks).alias("text"))
     return {"chunks": chunks, **indexed.index_tables(keyed), "vectors": R.hash_vectors(chunks, "chunk_id", "text")}

@@ -42,6 +42,23 @@ def test_the_index_gives_the_rows_of_a_whole_scan(spark, corpus, tmp_path):
     assert indexed.searched(spark, out, asked, 10).count() == 0
 
 
+def test_the_index_is_made_without_shuffling_postings_and_searched_by_blocks_of_questions(spark, corpus, tmp_path):
+    out = str(tmp_path / "index")
+    named = corpus.withColumn("chunk_id", F.concat(F.lit("c"), F.col("chunk_id")))
+    made = indexed.index_tables(named, block=16)
+    assert "Exchange" not in made["forward"]._jdf.queryExecution().toString()
+    tables.publish(spark, out, made)
+    forward, blocks = indexed.opened(spark, out, "forward"), indexed.opened(spark, out, "blocks")
+    assert "Exchange" not in indexed._segments(forward, 1.0, 1.5, 0.75, 16)._jdf.queryExecution().toString()
+    assert blocks.select("segment").distinct().count() > 1
+    held = blocks.agg(F.sum("n"), F.max("n"), F.min(F.col("impacts")[0] == F.col("upper")), F.min(F.array_min("impacts") > 0)).first()
+    assert held[0] == forward.agg(F.sum(F.size("t"))).first()[0] and held[1] <= 16 and held[2] and held[3]
+    asked = spark.createDataFrame([(q, f"rare{q} rare{q + 1} common{q % 8} common{q % 3} rare{q}") for q in range(20)], "query_id long, question string")
+    rows = lambda df: sorted((r["query_id"], r["rank"], r["chunk_id"], round(r["score"], 6)) for r in df.collect())
+    found = indexed.search(spark, out, asked, 5, block=8)
+    assert rows(found.top) == rows(R.bm25_top(named, asked, 5)) and 0 < found.read < found.there / 2
+
+
 def test_versions_of_writers_that_start_together_are_their_own(spark, tmp_path):
     out = str(tmp_path / "store")
     assert tables._claimed(spark, f"{out}/v00000001") and not tables._claimed(spark, f"{out}/v00000001")
