@@ -59,6 +59,27 @@ def test_the_index_is_made_without_shuffling_postings_and_searched_by_blocks_of_
     assert rows(found.top) == rows(R.bm25_top(named, asked, 5)) and 0 < found.read < found.there / 2
 
 
+def test_term_lists_are_the_tokens_and_stems_of_the_texts(spark, corpus):
+    odd = ["Stations ration rations the IONS nationalities 12 1 a1 ab abs ties cities, citing_cited Cit\u0130es \u212aelvins", "the of and", "", None, "x" * 40 + "ations x-ed 007s 4567ed", "\u00e9t\u00e9s ed\u00e9 walked walked Walked walking"]
+    rows = spark.createDataFrame([(f"o{k}", "Manuals of x200_stations", t) for k, t in enumerate(odd)], "chunk_id string, doc string, text string").unionByName(corpus.withColumn("chunk_id", F.col("chunk_id").cast("string")))
+    for chunks in (rows, rows.withColumn("section", F.when(F.length("text") % 2 == 0, "Sections 5 of 12"))):
+        lists = R.term_lists(chunks, stems=True).join(chunks, "chunk_id")
+        tokens = R.X.tokens(F.col("text"))
+        asked = lists.select("text", "t", "tf", "size", "stems", tokens.alias("tokens"), F.size(tokens).alias("many"), R.chunk_stems(R.search_text(chunks)).alias("held")).collect()
+        assert len(asked) == 410
+        for r in asked:
+            count = {w: (r["tokens"] or []).count(w) for w in set(r["tokens"] or [])}
+            assert dict(zip(r["t"], r["tf"])) == count and len(r["t"]) == len(count) and r["size"] == r["many"]
+            assert sorted(r["stems"]) == sorted(r["held"])
+    questions = spark.createDataFrame([(1, "rare1 rare7 common3 stations"), (2, "walking 007")], "query_id long, question string")
+    lists = tables.kept(R.term_lists(rows, stems=True))
+    same = lambda a, b: sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    told = lambda df, score: df.select("query_id", "chunk_id", "rank", F.round(score, 9))
+    assert same(told(R.bm25_top(rows, questions, 20, lists=lists), "score"), told(R.bm25_top(rows, questions, 20), "score"))
+    assert same(told(R.coverage_top(rows, questions, 20, lists), "coverage"), told(R.coverage_top(rows, questions, 20), "coverage"))
+    assert same(R.idf_table(rows, R.asked_stems(questions), lists), R.idf_table(rows, R.asked_stems(questions)))
+
+
 def test_versions_of_writers_that_start_together_are_their_own(spark, tmp_path):
     out = str(tmp_path / "store")
     assert tables._claimed(spark, f"{out}/v00000001") and not tables._claimed(spark, f"{out}/v00000001")
