@@ -391,6 +391,17 @@ def test_answers_from_the_end_of_a_whole_document(spark, tmp_path):
     assert "seventeen quivels. [Source: manual" in answer_extract(spark, str(tmp_path)).first()["answer"]
 
 
+def test_comparing_answers_from_the_end_of_whole_documents(spark, tmp_path):
+    from quern.jobs.case_jobs import ask_all
+
+    text = lambda code, months: " ".join(f"This sentence number {k} tells nothing of any use." for k in range(40)) + f" The standard warranty of the {code} lasts {months} whole months."
+    rows = [(1, text("X200", "seventeen"), "en", "x200_manual"), (2, text("X300", "thirtysix"), "en", "x300_manual")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "Compare the standard warranty of the X200 and the X300")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    first, second = ask_all(spark, str(tmp_path)).first()["answer"].split("\n")
+    assert "X200 lasts seventeen whole months. [Source: x200_manual" in first and "X300 lasts thirtysix whole months. [Source: x300_manual" in second
+
+
 def test_ask(spark, chunks):
     from quern.operators.asking import ask
 
