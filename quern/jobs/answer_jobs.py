@@ -143,9 +143,9 @@ def suggest_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def lcs_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each turn against the turn after it."""
+    """Each turn against the turn after it, however long they are."""
     from pyspark.sql.window import Window
 
     turns = table(spark, sf_dir, "conversations")
     pairs = turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("pair_id"), F.col("text").alias("a"), F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn")).alias("b")).where("b is not null")
-    return A.word_diff(pairs).groupBy("pair_id", "side").agg(F.count("*").alias("runs"), F.sum(F.size(F.split("words", " "))).alias("words"))
+    return A.word_diff(pairs, most=None).groupBy("pair_id", "side").agg(F.count("*").alias("runs"), F.sum(F.size(F.split("words", " "))).alias("words"))

@@ -247,6 +247,44 @@ def test_word_diff(spark):
     assert [(r["side"], r["words"]) for r in rows] == [("a", long), ("b", long + " end")]
 
 
+def test_word_diff_compares_texts_of_any_length(spark):
+    """Against the table of lengths in full."""
+
+    def plain(a, b):
+        best = np.zeros((len(a) + 1, len(b) + 1), int)
+        for i, j in np.ndindex(len(a), len(b)):
+            i, j = len(a) - 1 - i, len(b) - 1 - j
+            best[i, j] = best[i + 1, j + 1] + 1 if a[i] == b[j] else max(best[i + 1, j], best[i, j + 1])
+        runs, i, j = [], 0, 0
+        while i < len(a) or j < len(b):
+            if i < len(a) and j < len(b) and a[i] == b[j]:
+                side, word, i, j = "both", a[i], i + 1, j + 1
+            elif j == len(b) or (i < len(a) and best[i + 1, j] >= best[i, j + 1]):
+                side, word, i = "a", a[i], i + 1
+            else:
+                side, word, j = "b", b[j], j + 1
+            runs += [] if runs and runs[-1][0] == side else [(side, [])]
+            runs[-1][1].append(word)
+        return [(s, " ".join(w)) for s, w in runs]
+
+    rng = random.Random(8)
+    pairs = []
+    for k, (n, m, words) in enumerate([(500, 450, 3), (450, 520, 60), (401, 30, 5), (12, 430, 900), (420, 420, 1)]):
+        pairs.append((k, *(" ".join(str(rng.randrange(words)) for _ in range(x)) for x in (n, m))))
+    rows = A.word_diff(spark.createDataFrame(pairs, "pair_id long, a string, b string"), most=None).orderBy("pair_id", "pos").collect()
+    for k, a, b in pairs:
+        assert [(r["side"], r["words"]) for r in rows if r["pair_id"] == k] == plain(a.split(), b.split())
+
+
+def test_lcs_diff_compares_turns_of_any_length(spark, tmp_path):
+    from quern.jobs.answer_jobs import lcs_diff
+
+    long = " ".join(f"w{i}" for i in range(501))
+    turns = [(1, 0, "user", long), (1, 1, "assistant", long.replace("w7 ", "other ") + " end")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert sorted(tuple(r) for r in lcs_diff(spark, str(tmp_path)).collect()) == [(1000, "a", 1, 1), (1000, "b", 2, 2), (1000, "both", 2, 500)]
+
+
 def test_word_diff_is_a_longest_common_subsequence(spark):
     """Against subsequences tried one by one, over all pairs of short texts of three words."""
     from itertools import combinations
